@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, quality
 
 
 def queries() -> dict:
-    return {"op10_mix_sources": mixing.op10_mix_sources}
+    return {
+        "op2_quality_rules": quality.op2_quality_rules,
+        "op10_mix_sources": mixing.op10_mix_sources,
+    }
 
 
 def oracle_sql() -> dict:
-    return {"op10_mix_sources": mixing.mix_sql()}
+    return {
+        "op2_quality_rules": quality.quality_sql(),
+        "op10_mix_sources": mixing.mix_sql(),
+    }
