@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, quality
+from . import mixing, quality, simhash
 
 
 def queries() -> dict:
     return {
         "op2_quality_rules": quality.op2_quality_rules,
+        "op9_simhash": simhash.op9_simhash,
         "op10_mix_sources": mixing.op10_mix_sources,
     }
 

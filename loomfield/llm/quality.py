@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import bounded, let, staged, words_of
 
 #: Metric -> (slack above the fence, whether low values are odd too). All metrics are whole numbers.
-METRICS = {"symbols": (40, False), "dup_lines": (350, False), "repeats": (120, False), "capitals": (120, False), "word_length": (120, True)}
+METRICS = {"symbols": (40, False), "dup_lines": (350, False), "repeats": (260, False), "capitals": (120, False), "word_length": (120, True)}
 #: A fence stands FENCE times the spread of the quartiles beyond the upper (or lower) one.
 FENCE = 4
 #: Groups with fewer documents take the sketch of their language, then that of all documents.
