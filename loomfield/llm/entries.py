@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, simhash
+from . import decontamination, mixing, quality, simhash, tokens
 
 
 def queries() -> dict:
     return {
         "op2_quality_rules": quality.op2_quality_rules,
+        "op5_token_counts": tokens.op5_token_counts,
+        "op8_decontamination": decontamination.op8_decontamination,
         "op9_simhash": simhash.op9_simhash,
         "op10_mix_sources": mixing.op10_mix_sources,
     }
@@ -16,5 +18,6 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     return {
         "op2_quality_rules": quality.quality_sql(),
+        "op8_decontamination": decontamination.contained_sql(),
         "op10_mix_sources": mixing.mix_sql(),
     }
