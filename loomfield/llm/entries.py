@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, quality, simhash, tokens
+from . import anchors, decontamination, mixing, quality, simhash, tokens
 
 
 def queries() -> dict:
     return {
         "op2_quality_rules": quality.op2_quality_rules,
+        "op4_substring_dedup": anchors.op4_substring_dedup,
         "op5_token_counts": tokens.op5_token_counts,
         "op8_decontamination": decontamination.op8_decontamination,
         "op9_simhash": simhash.op9_simhash,
@@ -18,6 +19,7 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     return {
         "op2_quality_rules": quality.quality_sql(),
+        "op4_substring_dedup": anchors.repeats_sql(),
         "op8_decontamination": decontamination.contained_sql(),
         "op10_mix_sources": mixing.mix_sql(),
     }
