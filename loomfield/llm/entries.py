@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import anchors, decontamination, mixing, quality, simhash, tokens
+from . import anchors, bwt, decontamination, mixing, quality, simhash, tokens
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_quality_rules": quality.op2_quality_rules,
         "op4_substring_dedup": anchors.op4_substring_dedup,
         "op5_token_counts": tokens.op5_token_counts,
+        "op6_suffix_array_dedup": bwt.op6_suffix_array_dedup,
         "op8_decontamination": decontamination.op8_decontamination,
         "op9_simhash": simhash.op9_simhash,
         "op10_mix_sources": mixing.op10_mix_sources,
