@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import anchors, bwt, decontamination, mixing, quality, simhash, tokens
+from . import anchors, bwt, decontamination, mixing, quality, secrets, simhash, tokens
 
 
 def queries() -> dict:
     return {
+        "op1_secret_scan": secrets.op1_secret_scan,
         "op2_quality_rules": quality.op2_quality_rules,
         "op4_substring_dedup": anchors.op4_substring_dedup,
         "op5_token_counts": tokens.op5_token_counts,
@@ -19,6 +20,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
+        "op1_secret_scan": secrets.secrets_sql(),
         "op2_quality_rules": quality.quality_sql(),
         "op4_substring_dedup": anchors.repeats_sql(),
         "op8_decontamination": decontamination.contained_sql(),
