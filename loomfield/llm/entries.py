@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import anchors, bwt, decontamination, mixing, quality, secrets, simhash, tokens
+from . import anchors, bwt, decontamination, mixing, pii, quality, secrets, simhash, tokens
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_substring_dedup": anchors.op4_substring_dedup,
         "op5_token_counts": tokens.op5_token_counts,
         "op6_suffix_array_dedup": bwt.op6_suffix_array_dedup,
+        "op7_pii": pii.op7_pii,
         "op8_decontamination": decontamination.op8_decontamination,
         "op9_simhash": simhash.op9_simhash,
         "op10_mix_sources": mixing.op10_mix_sources,
