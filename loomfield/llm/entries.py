@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import anchors, bwt, decontamination, mixing, pii, quality, secrets, simhash, tokens
+from . import anchors, bwt, decontamination, language_model, mixing, pii, quality, secrets, simhash, tokens
 
 
 def queries() -> dict:
     return {
         "op1_secret_scan": secrets.op1_secret_scan,
         "op2_quality_rules": quality.op2_quality_rules,
+        "op3_language_model": language_model.op3_language_model,
         "op4_substring_dedup": anchors.op4_substring_dedup,
         "op5_token_counts": tokens.op5_token_counts,
         "op6_suffix_array_dedup": bwt.op6_suffix_array_dedup,
