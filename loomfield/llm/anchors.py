@@ -69,7 +69,7 @@ def _window_keys(window: int):
         each = [_candidates(h, int(n), window) for h, n in zip(batch.column("hits").to_pylist(), np.diff(by_text), strict=True)]
         count = np.array([len(x) for x in each], np.int64)
         if not count.sum():
-            return np.zeros(0, np.uint64), None, count, None
+            return np.zeros(0, np.uint64), None, count, np.zeros(0, np.uint32)
         first = np.concatenate(each) + np.repeat(by_text[:-1], count)
         other = ragged.window_hashes(ragged.mix(words + np.uint64(0x632BE59BD9B4E019)), first, window)
         return ragged.window_hashes(words, first, window), None, count, (other >> np.uint64(32)).astype(np.uint32)

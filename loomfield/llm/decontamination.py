@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ragged
-from .common import staged
+from .common import bounded, staged
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Bytes of item texts that one scan of the documents looks for; more items take more scans.
@@ -126,6 +126,13 @@ def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, parts)
 
 
+def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Rows of ``docs`` that contain no item, with their own columns. Rows are told apart by doc_id and text together."""
+    own = F.xxhash64("doc_id", "text")
+    bad = staged(contained(docs.select(own.alias("doc_id"), "text"), items).select(F.col("doc_id").alias("__own")).distinct(), "contaminated")
+    return docs.withColumn("__own", own).join(bounded(bad), "__own", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:
     return contained(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import anchors, bwt, decontamination, language_model, mixing, pii, quality, secrets, simhash, tokens
 
 
@@ -17,6 +19,7 @@ def queries() -> dict:
         "op8_decontamination": decontamination.op8_decontamination,
         "op9_simhash": simhash.op9_simhash,
         "op10_mix_sources": mixing.op10_mix_sources,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import staged
+from .common import bounded, staged
 from .spans import Rule, joined_spans, matches, text_key
 
 #: The candidates. Runs are possessive and start at their first character, so long runs take linear
@@ -188,7 +188,7 @@ def redact(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
 
     Null texts stay null; other columns, doc_id included, pass through, with n_chars (if there) recounted.
     """
-    found = find(docs) if found is None else found
+    found = bounded(staged(find(docs) if found is None else found, "pii-found"))
     held = docs.withColumn("__blob", text_key(F.col("text"))).join(found.withColumnsRenamed({"blob": "__blob", "spans": "__spans"}), "__blob", "left")
     kind = "array<struct<start:bigint,end:bigint,kind:string>>"
     joined = F.aggregate(

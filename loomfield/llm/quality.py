@@ -148,7 +148,16 @@ def judge(docs: DataFrame) -> DataFrame:
     """
     made = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"}
     docs = docs.drop(*[c for c in docs.columns if c.lower() in made])
-    feats = staged(features(docs), "quality")
+    return _judged(staged(features(docs), "quality"))
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` that ``judge`` keeps, with their own columns only, whatever their names."""
+    held = docs.select("text", "lang", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    return _judged(staged(features(held).drop("text"), "quality")).where("kept").select("__row.*")
+
+
+def _judged(feats: DataFrame) -> DataFrame:
     limit = staged(limits(sketches(feats)), "quality-limits")
     limit = limit.withColumnsRenamed({"lang": "__lang", "source": "__source"})
     df = feats.join(bounded(limit), F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left")

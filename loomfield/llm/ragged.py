@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes handled at once; a longer text is a piece of its own.
-PIECE = 2 << 20
+PIECE = 1 << 19
 U64 = np.uint64
 #: Odd multipliers of the rolling hashes.
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F

@@ -15,7 +15,9 @@ from . import ragged
 from .common import staged
 
 #: Keys that one task compares at once.
-PART_KEYS = 2_000_000
+PART_KEYS = 1_000_000
+#: Keys that are dealt out as one chunk; a text with more is a chunk of its own.
+CHUNK_KEYS = 400_000
 SCHEMA = "part int, chunk binary, body binary"
 
 
@@ -44,27 +46,41 @@ def recurring(docs: DataFrame, keys_of: Callable, parts: int, more: str | None =
     wide = more == "wide"
     kind = np.uint8 if 2 * parts <= 256 else np.uint32
 
+    def dealt_out(text_keys, keys, flag, counts, extra):
+        cell = ((keys >> np.uint64(32)) % np.uint64(parts)).astype(kind) * kind(2)
+        if flag is not None:
+            cell += ~flag
+        chunk = hashlib.md5(b"".join(text_keys)).digest()
+        order = np.argsort(cell, kind="stable")
+        low = keys[order] if wide else (keys[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        edge = np.searchsorted(cell[order], np.arange(2 * parts + 1))
+        part, body = [], []
+        for p in np.flatnonzero(edge[2::2] > edge[:-2:2]).tolist():
+            lo, mid, hi = edge[2 * p], edge[2 * p + 1], edge[2 * p + 2]
+            part.append(p)
+            body.append(np.int64(mid - lo).tobytes() + low[lo:hi].tobytes() + (extra[order[lo:hi]].tobytes() if wide else b""))
+        part.append(parts + int.from_bytes(chunk[:4], "little") % parts)
+        body.append(pickle.dumps((text_keys, counts.astype(np.uint32), cell)))
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([chunk] * len(part), pa.binary()), pa.array(body, pa.binary())], names=["part", "chunk", "body"])
+
     def deal(batches):
+        text_keys, held, size = [], [], 0
+
+        def chunk():
+            keys, flag, counts, extra = (None if x[0] is None else np.concatenate(x) for x in zip(*held, strict=True))
+            return dealt_out(text_keys, keys, flag, counts, extra)
+
         for b in ragged.pieces(batches):
-            keys, flag, counts, extra = keys_of(b)
-            if not len(keys):
-                continue
-            cell = ((keys >> np.uint64(32)) % np.uint64(parts)).astype(np.int64) * 2
-            if flag is not None:
-                cell += ~flag
-            text_keys = b.column("key").to_pylist()
-            chunk = hashlib.md5(b"".join(text_keys)).digest()
-            order = np.argsort(cell.astype(kind), kind="stable")
-            low = keys[order] if wide else (keys[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            edge = np.searchsorted(cell[order], np.arange(2 * parts + 1))
-            part, body = [], []
-            for p in np.flatnonzero(edge[2::2] > edge[:-2:2]).tolist():
-                lo, mid, hi = edge[2 * p], edge[2 * p + 1], edge[2 * p + 2]
-                part.append(p)
-                body.append(np.int64(mid - lo).tobytes() + low[lo:hi].tobytes() + (extra[order[lo:hi]].tobytes() if wide else b""))
-            part.append(parts + int.from_bytes(chunk[:4], "little") % parts)
-            body.append(pickle.dumps((text_keys, counts.astype(np.uint32), cell.astype(kind))))
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([chunk] * len(part), pa.binary()), pa.array(body, pa.binary())], names=["part", "chunk", "body"])
+            got = keys_of(b)
+            if len(got[0]):
+                text_keys += b.column("key").to_pylist()
+                held.append(got)
+                size += len(got[0])
+            if size >= CHUNK_KEYS:
+                yield chunk()
+                text_keys, held, size = [], [], 0
+        if size:
+            yield chunk()
 
     def compare(part, chunks, bodies):
         size = 12 if wide else 4

@@ -229,6 +229,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return fp.join(named.join(least, "root").select("fp", "component_id"), "fp")
 
 
+def keep_first(docs: DataFrame) -> DataFrame:
+    """One row of each group of near-duplicates, the one with the smallest doc_id; rows without one go by a negative
+    number from their text. Columns stay as they are."""
+    own = F.coalesce(F.col("doc_id").cast("bigint"), -F.abs(F.shiftright(F.xxhash64("text"), 2)) - 1)
+    ids = docs.select(own.alias("doc_id"), "text")
+    first = staged(near_duplicates(ids).where("doc_id = component_id").select("doc_id").distinct(), "simhash-kept").withColumnRenamed("doc_id", "__own")
+    mark = "__own"
+    return docs.withColumn(mark, own).join(first, mark, "left_semi").dropDuplicates([mark]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
