@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from . import engine, graph_queries, retrieval_queries, store_queries, text_queries
+
+MODULES = (graph_queries, retrieval_queries, text_queries, store_queries, engine)
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    """Mass of a personalized walk from one region over the whole graph."""
+    return graph_queries.ppr_region(spark, sf)
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for m in MODULES for name, (query, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for m in MODULES for name, (_, sql) in m.QUERIES.items() if sql}
