@@ -1,0 +1,159 @@
+"""The training-data queries against SQL or plain Python, on the smallest tables and on a table of odd rows."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+
+import duck
+from loomfield.llm import entries
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile("[^\x20\x09-\x0d]+")
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, words string, hash string, id string"
+LONG = " ".join(f"w{i % 977}x{i % 13}" for i in range(30_000))
+SHARED = " ".join(f"shared{i}" for i in range(60))
+ODD = [
+    (1, None, None, None, None), (2, "", "en", "a", 0), (3, " \t\n", "en", "a", 3), (4, LONG, "en", "a", len(LONG)), (5, LONG, "en", None, len(LONG)),
+    (6, "one two " + SHARED + " three", "en", "b", 1), (7, SHARED + " é😀 four", None, "b", 1), (8, "password = Abcdef123 mail a.b@c.org +1 (555) 123-4567 10.0.0.1", "en", "b", 1),
+    (9, "password = Abcdef123 mail a.b@c.org +1 (555) 123-4567 10.0.0.1", "en", "b", 1), (10, "a a a a a a a a a a", "fr", "c", 1),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("odd")
+    rows = [(*r, "clash", "clash", "clash") for r in ODD]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+@pytest.fixture(scope="module")
+def empty(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("empty")
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").limit(0).write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+@pytest.fixture(params=["small", "odd"])
+def folder(request):
+    return SF if request.param == "small" else request.getfixturevalue("odd")
+
+
+def texts(spark, sf):
+    return {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+
+
+def rows(spark, sf, name):
+    return {r["doc_id"]: r for r in entries.queries()[name](spark, sf).collect()}
+
+
+@pytest.mark.parametrize("name", sorted(entries.oracle_sql()))
+def test_matches_sql(spark, folder, name):
+    duck.same(entries.queries()[name](spark, folder), folder, entries.oracle_sql()[name])
+
+
+@pytest.mark.parametrize("name", sorted(entries.queries()))
+def test_empty_tables(spark, empty, name):
+    assert entries.queries()[name](spark, empty).count() == 0
+
+
+def test_pipeline_on_odd_rows(spark, odd):
+    assert entries.queries()["pipeline"](spark, odd).count() <= len(ODD)
+
+
+def test_language_model_base_and_score(spark, folder):
+    docs, got = texts(spark, folder), rows(spark, folder, "op3_language_model")
+    words = {d: [re.sub("[A-Z]+", lambda m: m[0].lower(), w) for w in WORD.findall(t)] + [None] for d, t in docs.items()}
+    held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in docs}
+    counts = Counter(w for d in docs if not held[d] for w in words[d])
+    total, kinds = sum(counts.values()), len(counts)
+    for d, r in got.items():
+        assert (r["held_out"], r["n_tokens"], r["train_tokens"]) == (held[d], len(words[d]), total)
+        assert r["n_known"] == sum(counts[w] > 0 for w in words[d])
+        assert r["base_score"] == pytest.approx(sum(math.log10((counts[w] + 1) / (total + kinds + 1)) for w in words[d]), rel=1e-6)
+        assert r["score"] < 0 and math.isfinite(r["score"])
+    assert set(got) == set(docs)
+
+
+def test_token_counts(spark, folder):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
+    got = rows(spark, folder, "op5_token_counts")
+    for d, t in texts(spark, folder).items():
+        n = len(model.encode(t, add_special_tokens=False).ids)
+        assert (got[d]["n_bytes"], got[d]["n_tokens"], got[d]["over_limit"]) == (len(t.encode()), n, n > 2048)
+
+
+def test_byte_repeats(spark, folder):
+    docs, got, least = texts(spark, folder), rows(spark, folder, "op6_suffix_array_dedup"), 200
+    seen = Counter()
+    for t in docs.values():
+        b = t.encode()
+        seen.update(hash(b[i : i + least]) for i in range(len(b) - least + 1))
+    for d, t in docs.items():
+        b = t.encode()
+        gone = np.zeros(len(b) + 1, dtype=int)
+        for i in range(len(b) - least + 1):
+            if seen[hash(b[i : i + least])] > 1:
+                gone[i] += 1
+                gone[min(i + least, len(b))] -= 1
+        mask = np.cumsum(gone)[: len(b)] > 0
+        spans = int((mask & ~np.concatenate([[False], mask[:-1]])).sum()) if len(b) else 0
+        kept = bytes(np.frombuffer(b, np.uint8)[~mask])
+        r = got[d]
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(b), int(mask.sum()), spans, hashlib.sha256(kept).hexdigest())
+
+
+def personal(t):
+    found = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    found += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        digits = [int(c) for c in re.sub("[^0-9]", "", m[0])]
+        luhn = sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(reversed(digits)))
+        if 12 <= len(digits) <= 19 and luhn % 10 == 0:
+            found.append((m.start(), 2, m.end()))
+    found += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return sorted(found)
+
+
+def test_personal_data(spark, folder):
+    kinds, got = ["email", "ip", "card", "phone"], rows(spark, folder, "op7_pii")
+    for d, t in texts(spark, folder).items():
+        base, r = personal(t), got[d]
+        assert [r[f"n_{k}"] for k in kinds] == [sum(b[1] == i for b in base) for i in range(4)]
+        listed = [f"{kinds[k]}:{s}:{e}" for s, k, e in base]
+        assert r["base_sha256"] == hashlib.sha256(",".join(listed).encode()).hexdigest()
+        assert set(listed) <= set(r["spans"].split(",") if r["spans"] else [])
+
+
+def fingerprint(t):
+    words = WORD.findall(re.sub("[A-Z]+", lambda m: m[0].lower(), t))
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 4]) for i in range(max(len(words) - 3, 1))]
+    h = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_fingerprints_and_components(spark, folder):
+    prints = {d: fingerprint(t) for d, t in texts(spark, folder).items()}
+    smallest, changed = {d: d for d in prints}, True
+    links = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 4]
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(smallest[a], smallest[b])
+            changed |= smallest[a] != low or smallest[b] != low
+            smallest[a] = smallest[b] = low
+    got = rows(spark, folder, "op9_simhash")
+    assert {d: (r["fingerprint"], r["component_id"]) for d, r in got.items()} == {d: (f"{p:016x}", smallest[d]) for d, p in prints.items()}
