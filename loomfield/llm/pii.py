@@ -209,7 +209,7 @@ def redact(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
 def op7_pii(spark, sf_dir: str) -> DataFrame:
     """Defined results: a null text counts as empty; texts without personal data have no spans; copies get the same."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = find(docs)
+    found = staged(find(docs), "pii-found")  # a join of plain tables: Spark can split the copies of a hot text
     held = docs.select("doc_id", text_key(F.col("text")).alias("blob")).join(found, "blob", "left")
     spans = F.coalesce("spans", F.array().cast(found.schema["spans"].dataType))
     count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
