@@ -46,8 +46,8 @@ def rate_limit(events: DataFrame, key: str, seconds: Column, window: int, limit:
     return events.withColumn("at", seconds).withColumn("slot", slot).withColumn("place", place).withColumn("allowed", F.col("place") <= limit)
 
 
-def failure_runs(log: DataFrame, key: str, order: str, failed: Column) -> DataFrame:
-    """(key, longest): the longest run of failures without a success between them."""
+def failure_runs(log: DataFrame, key: str, order: str, failed: Column, resets: Column) -> DataFrame:
+    """(key, longest): the longest run of ``failed`` entries; only entries that reset end a run, others (successes) do not."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    runs = log.withColumn("bad", failed).withColumn("run", F.sum((~F.col("bad")).cast("long")).over(w))
+    runs = log.withColumn("bad", failed).withColumn("run", F.sum((resets & ~F.col("bad")).cast("long")).over(w))
     return runs.groupBy(key, "run").agg(F.count_if("bad").alias("n")).groupBy(key).agg(F.max("n").alias("longest"))

@@ -83,8 +83,9 @@ def rate_limit_fixed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def error_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Errors count as an unavailable service, signups as failures of another kind, all else as successes."""
     log = table(spark, sf, "events").select("user_id", "event_id", "event_type")
-    return dataflow.failure_runs(log, "user_id", "event_id", F.col("event_type") == "error")
+    return dataflow.failure_runs(log, "user_id", "event_id", F.col("event_type") == "error", F.col("event_type") == "signup")
 
 
 def comentioned_parts(spark: SparkSession, sf: str) -> DataFrame:
@@ -120,7 +121,7 @@ QUERIES = {
     "rate_limit_fixed": (rate_limit_fixed, """SELECT user_id, count(*) FILTER (place <= 2) AS allowed, count(*) FILTER (place > 2) AS refused FROM
       (SELECT user_id, row_number() OVER (PARTITION BY user_id, floor(epoch(ts))::BIGINT // 86400 ORDER BY floor(epoch(ts)), event_id) AS place FROM events) GROUP BY 1"""),
     "error_runs": (error_runs, """SELECT user_id, max(n) AS longest FROM (SELECT user_id, run, count(*) FILTER (bad) AS n FROM (SELECT user_id, event_type = 'error' AS bad,
-      sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run FROM events) GROUP BY 1, 2) GROUP BY 1"""),
+      sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run FROM events) GROUP BY 1, 2) GROUP BY 1"""),
     "comentioned_parts": (comentioned_parts, """WITH l AS (SELECT DISTINCT l_orderkey, l_partkey, p_brand FROM lineitem JOIN part ON p_partkey = l_partkey)
       SELECT a.l_partkey, b.l_partkey AS other, count(*) AS n FROM l a JOIN l b USING (l_orderkey, p_brand) WHERE a.l_partkey < b.l_partkey GROUP BY 1, 2"""),
     "previous_turns": (previous_turns, "SELECT conv_id, turn, coalesce(right(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), 200), '') AS overlap FROM conversations"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomfield.functions import names, text
+from loomfield.operators import ingestion
 from loomfield.sources.tables import table
 
 
@@ -41,7 +42,29 @@ def ilike_search(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").where(F.col("p_name").ilike("%a%")).orderBy("p_name", "p_partkey").offset(10).limit(20).select("p_partkey", "p_name")
 
 
+def text_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    found = ingestion.chunks(table(spark, sf, "documents"), "doc_id", "text")
+    return found.select("doc_id", "chunk_index", "section", "content_hash")
+
+
+def hashed_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    found = ingestion.hashed_embedding(table(spark, sf, "part"), "p_partkey", "p_name")
+    return found.select("p_partkey", "place", F.round("value", 6).alias("value"))
+
+
+def _fnv(seed: int) -> str:
+    return f"list_reduce(list_prepend({seed}::HUGEINT, list_transform(string_split(f, ''), lambda c: ascii(c)::HUGEINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296)"
+
+
 QUERIES = {
+    "text_chunks": (text_chunks, None),
+    "hashed_embeddings": (hashed_embeddings, f"""WITH w AS (SELECT p_partkey, regexp_extract_all(lower(coalesce(p_name, '')), '[a-z0-9]+') AS w FROM part),
+      words AS (SELECT p_partkey, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
+      f AS (SELECT p_partkey, x AS f FROM words UNION ALL SELECT p_partkey, '#' || substr(x, k, 3) FROM (SELECT p_partkey, x, unnest(range(1, length(x) - 1)) AS k FROM words WHERE length(x) > 3)
+        UNION ALL SELECT a.p_partkey, a.x || '_' || b.x FROM words a JOIN words b ON a.p_partkey = b.p_partkey AND b.i = a.i + 1),
+      s AS (SELECT p_partkey, ({_fnv(0x811C9DC5)} % {ingestion.WIDTH})::INTEGER AS place, sum(CASE WHEN {_fnv(ingestion.SIGN_SEED)} % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS s FROM f GROUP BY 1, 2)
+      SELECT p_partkey, place, round(sign(s) * sqrt(abs(s)) / sqrt(sum(abs(s)) OVER (PARTITION BY p_partkey)), 6) AS value FROM s WHERE s <> 0
+      UNION ALL SELECT p_partkey, 0, 1.0 FROM part WHERE p_partkey NOT IN (SELECT p_partkey FROM s WHERE s <> 0)"""),
     "fnv1a_hash": (fnv1a_hash, """SELECT p_partkey, list_reduce(list_prepend(2166136261::HUGEINT, list_transform(string_split(p_name, ''), lambda c: ascii(c)::HUGEINT)),
       lambda h, c: (xor(h, c) * 16777619) % 4294967296)::BIGINT AS hash FROM part"""),
     "content_hashes": (content_hashes, "SELECT doc_id, sha1(coalesce(source, '') || chr(0) || coalesce(text, '')) AS hash FROM documents"),
