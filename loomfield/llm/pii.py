@@ -92,6 +92,7 @@ def boosted(table: list[tuple[int, int, int, int]]):
 
     The table has a row for each kind and mask at most, so it is small whatever the corpus. Splits ask for a bit of
     the mask or for a kind. Returns (start, trees, thresholds); a tree is (split, (split, no, yes), (split, no, yes)).
+    Kinds with fewer candidates than LEAST share a threshold, that of the pools over all kinds or else the score of PRECISION.
     """
     from math import exp, log
 
@@ -133,19 +134,27 @@ def boosted(table: list[tuple[int, int, int, int]]):
         for r in table:
             inner, no, yes = sides[answer(ask, r)]
             score[r[0], r[1]] += yes if answer(inner, r) else no
-    thresholds: dict[int, float] = {}
-    for place in range(len(RULES)):
+    def threshold(rows) -> float | None:
         # isotonic calibration: neighbours in score pool until the share of true candidates rises with the score
         pools: list[list[float]] = []
-        for low, k, t in sorted((score[r[0], r[1]], r[2], r[3]) for r in table if r[0] == place):
+        for low, k, t in sorted((score[r[0], r[1]], r[2], r[3]) for r in rows):
             pools.append([low, k, t])
             while len(pools) > 1 and pools[-2][2] * pools[-1][1] >= pools[-1][2] * pools[-2][1]:
                 _, k, t = pools.pop()
                 pools[-1][1] += k
                 pools[-1][2] += t
         good = [p for p in pools if p[2] >= PRECISION * p[1]]
-        if sum(p[1] for p in good) >= LEAST:
-            thresholds[place] = good[0][0]
+        return good[0][0] if good else None
+
+    thresholds: dict[int, float] = {}
+    for place in range(len(RULES)):
+        rows = [r for r in table if r[0] == place]
+        low = threshold(rows)
+        if sum(r[2] for r in rows) < LEAST:
+            pooled = threshold(table) if n >= LEAST else None
+            low = log(PRECISION / (1 - PRECISION)) if pooled is None else pooled
+        if low is not None:
+            thresholds[place] = low
     return start, trees, thresholds
 
 
@@ -158,10 +167,10 @@ def _score(start: float, trees) -> Column:
 def find(docs: DataFrame) -> DataFrame:
     """(blob, spans) for every distinct text of ``docs`` (text) with personal data; spans hold (start, place, kind, end).
 
-    Base candidates that pass their kind's test always stay. Others stay where their calibrated score redacts: the
-    trees learn, over all candidates of the corpus, what place and form the ones that pass their test have; isotonic
-    calibration turns scores to shares, and a kind's threshold is the lowest score of share PRECISION (over LEAST
-    candidates or more; else the kind adds nothing beyond its base). An added span that a base span or an earlier added one
+    Candidates that pass their kind's test always stay, however few the table holds. Others stay where their calibrated
+    score redacts: the trees learn, over all candidates of the corpus, what place and form the ones that pass their test
+    have; isotonic calibration turns scores to shares, and a kind's threshold is the lowest score of share PRECISION (kinds
+    with fewer candidates than LEAST share that of all kinds). An added span that a base span or an earlier added one
     overlaps goes.
     """
     texts = docs.select(text_key(F.col("text")).alias("blob"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -172,7 +181,7 @@ def find(docs: DataFrame) -> DataFrame:
     start, trees, thresholds = boosted(table)
     limit = reduce(lambda a, kv: F.when(F.col("place") == kv[0], F.lit(kv[1])).otherwise(a), thresholds.items(), F.lit(None).cast("double"))
     base = F.col("ok") & (F.col("place") < len(BASE))
-    c = c.withColumn("base", base).withColumn("score", _score(start, trees)).where(F.col("base") | F.coalesce(F.col("score") >= limit - 1e-9, F.lit(False)))
+    c = c.withColumn("base", base).withColumn("score", _score(start, trees)).where(F.col("ok") | F.coalesce(F.col("score") >= limit - 1e-9, F.lit(False)))
     order = Window.partitionBy("blob").orderBy("start", "place")
     before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
     base_end, base_start = F.when(F.col("base"), F.col("end")), F.when(F.col("base"), F.col("start"))

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 
 import duck
-from loomfield.llm import entries
+from loomfield.llm import entries, pii
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -136,6 +136,30 @@ def test_personal_data(spark, folder):
         assert set(listed) <= set(r["spans"].split(",") if r["spans"] else [])
 
 
+IDS = ["ssn 123-45-6789 on file", "iban GB82 WEST 1234 5698 7654 32 on file", "call 415-555-2671 today"]
+
+
+def spans_of(spark, docs):
+    found = pii.find(spark.createDataFrame([(t,) for t in docs], "text string")).collect()
+    return {r["blob"]: sorted((s["kind"], s["start"], s["end"]) for s in r["spans"]) for r in found}
+
+
+@pytest.mark.parametrize("more", [0, 40])
+def test_few_or_diluted_ids_are_found(spark, more):
+    looks = [f"iban GB82 WEST 1234 5698 76{i:02d} 33 on file" for i in range(more)] + [f"ssn 000-45-67{i:02d} on file" for i in range(more)] + [f"call 115-555-26{i:02d} today" for i in range(more)]
+    got = spans_of(spark, IDS + looks)
+    want = [("ssn", 4, 15), ("iban", 5, 32), ("local_phone", 5, 17)]
+    for t, w in zip(IDS, want, strict=True):
+        assert w in got.get(hashlib.sha256(t.encode()).hexdigest(), [])
+
+
+def test_kinds_with_few_candidates_share_a_threshold():
+    # place 5 has 5 candidates, place 0 has 400: the pools over both give place 5 a threshold, and it never has none
+    _, _, both = pii.boosted([(0, 3, 400, 400), (5, 3, 5, 4)])
+    _, _, alone = pii.boosted([(5, 3, 5, 4)])
+    assert 5 in both and alone[5] == pytest.approx(math.log(19))
+
+
 def fingerprint(t):
     words = WORD.findall(re.sub("[A-Z]+", lambda m: m[0].lower(), t))
     if not words:
