@@ -153,6 +153,18 @@ def test_few_or_diluted_ids_are_found(spark, more):
         assert w in got.get(hashlib.sha256(t.encode()).hexdigest(), [])
 
 
+def test_texts_with_far_digits_are_read(spark, tmp_path):
+    far = ["+12    34    56    78    90", "call +1..(((2)))....3....4....5....6....7....8....9", "iban GB21 ABCD EFGH IJKL on file", "nothing here"]
+    assert [len(personal(t)) for t in far] == [1, 1, 0, 0]
+    spark.createDataFrame(list(enumerate(far)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = rows(spark, tmp_path, "op7_pii")
+    for d, t in enumerate(far):
+        listed = [f"phone:{s}:{e}" for s, _, e in personal(t)]
+        assert (got[d]["n_phone"], got[d]["base_sha256"]) == (len(listed), hashlib.sha256(",".join(listed).encode()).hexdigest())
+    assert got[2]["spans"] == "iban:5:24"
+    assert [r["text"] for r in pii.redact(spark.createDataFrame([(far[0],)], "text string")).collect()] == ["[PHONE]"]
+
+
 def test_kinds_with_few_candidates_share_a_threshold():
     # place 5 has 5 candidates, place 0 has 400: the pools over both give place 5 a threshold, and it never has none
     _, _, both = pii.boosted([(0, 3, 400, 400), (5, 3, 5, 4)])
