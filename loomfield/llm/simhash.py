@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import ragged
 from .common import staged
@@ -230,13 +231,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of each group of near-duplicates, the one with the smallest doc_id; rows without one go by a negative
-    number from their text. Columns stay as they are."""
-    own = F.coalesce(F.col("doc_id").cast("bigint"), -F.abs(F.shiftright(F.xxhash64("text"), 2)) - 1)
-    ids = docs.select(own.alias("doc_id"), "text")
-    first = staged(near_duplicates(ids).where("doc_id = component_id").select("doc_id").distinct(), "simhash-kept").withColumnRenamed("doc_id", "__own")
-    mark = "__own"
-    return docs.withColumn(mark, own).join(first, mark, "left_semi").dropDuplicates([mark]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One row of each group of near-duplicates, the one with the smallest doc_id, ties by the text's hash; rows without
+    a doc_id go by a negative number from their text. Rows are told apart by doc_id and text together; of rows that
+    agree in both, the one with the smallest hash over all columns stays. Columns stay as they are."""
+    text = F.xxhash64("text")
+    own = F.struct(F.coalesce(F.col("doc_id").cast("bigint"), -F.abs(F.shiftright(text, 2)) - 1).alias("id"), text.alias("text"))
+    first = staged(near_duplicates(docs.select(own.alias("doc_id"), "text")).where("doc_id = component_id").select("doc_id").distinct(), "simhash-kept").withColumnRenamed("doc_id", "__own")
+    hashed = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
+    held = docs.withColumn("__own", own).join(first, "__own", "left_semi")
+    place = F.row_number().over(Window.partitionBy("__own").orderBy(hashed))
+    return held.withColumn("__place", place).where("__place = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 
 import duck
-from loomfield.llm import entries, pii
+from loomfield.llm import entries, pii, simhash
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -193,3 +193,10 @@ def test_fingerprints_and_components(spark, folder):
             smallest[a] = smallest[b] = low
     got = rows(spark, folder, "op9_simhash")
     assert {d: (r["fingerprint"], r["component_id"]) for d, r in got.items()} == {d: (f"{p:016x}", smallest[d]) for d, p in prints.items()}
+
+
+def test_keep_first_tells_rows_of_one_id_apart(spark):
+    text = lambda w: " ".join(f"{w}{i}" for i in range(80))
+    one = [(7, text("a"), "x"), (7, text("b"), "y"), (7, text("c"), "z"), (9, text("a"), "w"), (7, text("b"), "v"), (8, text("c"), "u")]
+    kept = [sorted(tuple(r) for r in simhash.keep_first(spark.createDataFrame(d, "doc_id bigint, text string, source string").repartition(n)).collect()) for d, n in ((one, 1), (one[::-1], 5))]
+    assert [r[:2] for r in kept[0]] == [(7, text("a")), (7, text("b")), (7, text("c"))] and kept[0] == kept[1]
