@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +36,7 @@ class Ledger:
         where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         if where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
             return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
-        return self.spark.createDataFrame([], schema)
+        return self.spark.range(0).select(F.from_json(F.lit("{}"), schema).alias("row")).select("row.*")
 
     def scanned(self) -> DataFrame:
         return self._read("scanned", "blob string, rules array<string>")
@@ -86,8 +88,9 @@ def report(versions: DataFrame, found: DataFrame, rules: list[Rule] = RULES) ->
 
 
 def op1_secret_scan(spark, sf_dir: str) -> DataFrame:
+    """A first scan, through a ledger of its own in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return report(docs, scan(docs))
+    return report(docs, scan(docs, ledger_in_shared_folder(spark, f"op1-{uuid.uuid4().hex}")))
 
 
 def ledger_in_shared_folder(spark, name: str) -> Ledger:
