@@ -29,8 +29,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with how often the mix takes them: ``whole`` times in full, and the first ``extra`` words once more."""
-    return mixing.mix_sources(docs)
+    """Documents that the mix takes, with how often: ``whole`` times in full, and the first ``extra`` words once more."""
+    return mixing.mix_sources(docs).where("whole > 0 or extra > 0")
 
 
 STAGES = [
@@ -41,7 +41,8 @@ STAGES = [
     ("source_mix", source_mix),
 ]
 
-#: Fingerprints need XXH64 and the redaction a trained model, which SQL lacks; tests hold run() against plain Python.
+#: Fingerprints need XXH64 and the redaction a trained model, which SQL lacks; a test holds run() against each stage's rule, by
+#: SQL or plain Python; it takes the spans that pii.find adds to the base ones as given.
 ORACLE_SQL = None
 
 

@@ -12,8 +12,9 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 import duck
-from loomfield.llm import entries, pii, secrets, simhash
+from loomfield.llm import entries, mixing, pii, secrets, simhash
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -227,3 +228,66 @@ def test_keep_first_tells_rows_of_one_id_apart(spark):
     one = [(7, text("a"), "x"), (7, text("b"), "y"), (7, text("c"), "z"), (9, text("a"), "w"), (7, text("b"), "v"), (8, text("c"), "u")]
     kept = [sorted(tuple(r) for r in simhash.keep_first(spark.createDataFrame(d, "doc_id bigint, text string, source string").repartition(n)).collect()) for d, n in ((one, 1), (one[::-1], 5))]
     assert [r[:2] for r in kept[0]] == [(7, text("a")), (7, text("b")), (7, text("c"))] and kept[0] == kept[1]
+
+
+def firsts(docs):
+    """Ids that are the smallest of their component, by brute force over all pairs."""
+    prints = {d: fingerprint(t) for d, t in docs.items()}
+    smallest, changed = {d: d for d in prints}, True
+    while changed:
+        changed = False
+        for a in prints:
+            for b in prints:
+                if smallest[b] < smallest[a] and (prints[a] ^ prints[b]).bit_count() <= 4:
+                    smallest[a], changed = smallest[b], True
+    return [d for d in docs if smallest[d] == d]
+
+
+def redacted(t, spans):
+    joined = []
+    for start, _, kind, end in sorted(spans):
+        if joined and joined[-1][2] > start:
+            joined[-1][2] = max(joined[-1][2], end)
+        else:
+            joined.append([start, kind, end])
+    for start, kind, end in reversed(joined):
+        t = t[:start] + f"[{kind.upper()}]" + t[end:]
+    return t
+
+
+def test_pipeline_stage_by_stage(spark, folder):
+    db, sql, given = duck.database(folder), entries.oracle_sql(), spark.read.parquet(f"{folder}/documents.parquet").collect()
+    row = {r["doc_id"]: r for r in given}
+    assert len(row) == len(given)
+    good = {d for d, kept in db.sql(f"select doc_id, kept from ({sql['op2_quality_rules']})").fetchall() if kept}
+    leaks = {r[0] for r in db.sql(f"select distinct doc_id from ({sql['op8_decontamination']})").fetchall()}
+    clean = [d for d in firsts({d: row[d]["text"] for d in sorted(good)}) if d not in leaks]
+    held = spark.createDataFrame([(row[d]["text"],) for d in clean], "text string")
+    found = {r["blob"]: [tuple(s) for s in r["spans"]] for r in pii.find(held).collect()}
+    new = {}
+    for d in clean:
+        t = row[d]["text"]
+        spans = found.get(hashlib.sha256(t.encode()).hexdigest(), [])
+        assert {(s, k, e) for s, k, e in personal(t)} <= {(s, k, e) for s, k, _, e in spans}
+        new[d] = redacted(t, spans)
+    db.execute("create table kept (doc_id bigint, text varchar, source varchar)")
+    if clean:
+        db.executemany("insert into kept values (?, ?, ?)", [(d, new[d], row[d]["source"]) for d in clean])
+    want = {r[0]: r[1:] for r in db.sql(f"select doc_id, size, source_size, target, taken, whole, extra from ({mixing.mix_sql('kept')})").fetchall() if r[5] or r[6]}
+    got = entries.queries()["pipeline"](spark, folder).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(want) and (not clean or len(want) < len(row))
+    for r in got:
+        w, d = want[r["doc_id"]], r["doc_id"]
+        assert (r["text"], r["lang"], r["source"]) == (new[d], row[d]["lang"], row[d]["source"])
+        assert r["n_chars"] == (row[d]["n_chars"] if new[d] == row[d]["text"] else len(new[d]))
+        assert (r["size"], r["source_size"], r["taken"], r["whole"], r["extra"]) == (w[0], w[1], w[3], w[4], w[5])
+        assert r["target"] == pytest.approx(w[2])
+
+
+def test_pipeline_drops_what_the_mix_does_not_take(spark):
+    docs = [(i, " ".join(f"w{j}" for j in range(10 if i % 7 else 400)), "abc"[i % 3]) for i in range(300)]
+    docs = spark.createDataFrame([d for d in docs if d[2] != "c" or d[0] < 60], "doc_id bigint, text string, source string")
+    mixed = mixing.mix_sources(docs).collect()
+    got = corpus_pipeline.source_mix(spark, docs, "").collect()
+    assert any(r["taken"] == 0 for r in mixed)
+    assert {r["doc_id"] for r in got} == {r["doc_id"] for r in mixed if r["whole"] or r["extra"]}
