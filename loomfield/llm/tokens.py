@@ -138,8 +138,7 @@ class Merger:
             end = kind != 0
             end[:-1] &= (kind[1:] != kind[:-1]) | (kind[1:] == 2)
             last = np.flatnonzero(end) + 1
-            sums = ragged.prefix(code.astype(np.uint64) + np.uint64(1), ragged.BYTE_BASE)
-            h = ragged.mix(ragged.span_hash(sums, first, last, ragged.BYTE_BASE) + (last - first).astype(np.uint64))
+            h = ragged.word_hashes(code.view(np.uint8), 4 * first, 4 * last)
             if len(h):
                 unique, where, back = np.unique(h, return_index=True, return_inverse=True)
                 n = self.counts_of(unique, lambda k: text[first[where[k]] : last[where[k]]].encode())[back]
