@@ -84,6 +84,9 @@ def test_language_model_base_and_score(spark, folder):
         assert r["base_score"] == pytest.approx(sum(math.log10((counts[w] + 1) / (total + kinds + 1)) for w in words[d]), rel=1e-6)
         assert r["score"] < 0 and math.isfinite(r["score"])
     assert set(got) == set(docs)
+    if folder == SF:  # held-out documents that no training document copies
+        new = [d for d in docs if held[d] and docs[d] not in {docs[x] for x in docs if not held[x]} and len(words[d]) > 50]
+        assert sum(got[d]["score"] for d in new) > sum(got[d]["base_score"] for d in new) + 0.05 * sum(len(words[d]) for d in new)
 
 
 def test_token_counts(spark, folder):
