@@ -17,8 +17,10 @@ from .recurring import keyed, parts_for, recurring, total_bytes
 LENGTH = 200
 #: Bytes of the strings that choose which texts are compared; every LENGTH bytes hold LENGTH - SAMPLE + 1 of them.
 SAMPLE = 96
-#: Bytes of segments in one transform, and distinct segments of one sample beyond which its windows are dealt out one by one.
-BATCH, GROUP = 1 << 20, 4096
+#: Bytes of segments in one transform, and of one sample's distinct segments beyond which longer samples split them.
+BATCH, GROUP_BYTES = 1 << 20, 1 << 17
+#: Windows after which a segment of text that repeats itself ends at its next period; bytes of segments held at once.
+LONGEST, HELD = 4096, 1 << 22
 
 
 class Transform:
@@ -119,7 +121,8 @@ def segments(data: np.ndarray, off: np.ndarray, length: int, sample: int):
     """Start, windows, sample hash of each segment, and the segments' offsets by text.
 
     A segment is a run of windows of ``length`` bytes whose smallest sample hash is the same one, at the same place:
-    equal windows lie in segments of equal hash, wherever they are.
+    equal windows lie in segments of equal hash, wherever they are. Where the text repeats itself within a window, the
+    place moves on by a period while the hash stays; from its first move on, a segment holds many periods.
     """
     span = length - sample + 1
     n_samples = len(data) - sample + 1
@@ -136,9 +139,22 @@ def segments(data: np.ndarray, off: np.ndarray, length: int, sample: int):
     least = np.minimum(back[:n], ahead[span - 1 : span - 1 + n])
     valid = np.zeros(n + 1, bool)
     valid[ragged.ranges(count, off[:-1])] = True
+    moved = np.zeros(n, bool)  # the sample of window i has the value of window i - 1, at another place
+    moved[1:] = (least[1:] == least[:-1]) & (h[: n - 1] == least[:-1]) & valid[: n - 1]
     apart = np.ones(n, bool)  # window i does not go on the segment of window i - 1
-    apart[1:] = (least[1:] != least[:-1]) | (h[: n - 1] == least[:-1]) | ~valid[: n - 1]
+    apart[1:] = (least[1:] != least[:-1]) | ~valid[: n - 1]
     apart[off[:-1][off[:-1] < n]] = True
+    moved &= ~apart
+    at = np.flatnonzero(moved)
+    if len(at):
+        # text that repeats itself: two segments of one sample at least, and the second goes on for LONGEST windows
+        run = np.cumsum(apart)[at]
+        edge = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1], [True]]))
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            k = lo
+            while k < hi:
+                apart[at[k]] = True
+                k = lo + int(np.searchsorted(at[lo:hi], at[k] + LONGEST))
     start = np.flatnonzero(apart & valid[:n])
     ends = np.flatnonzero(valid[:n] & (np.append(apart[1:], True) | ~valid[1:])) + 1
     return start, ends - start, least[start], np.searchsorted(start, off)
@@ -149,6 +165,83 @@ def _segments_of(batch: pa.RecordBatch, length: int, sample: int):
     return data, off, *segments(data, off, length, sample)
 
 
+def _judge(length: int):
+    """Windows that recur of segments sorted by sample: (sample, name, body, n) to (name, flags), where any do."""
+
+    def judge(batches):
+        sample_, name, body, n, done = [], [], [], [], 0
+
+        def out():
+            flag = []
+            s = np.array(sample_)
+            edge = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1], [True]]))
+            many = np.repeat(np.diff(edge) > 1, np.diff(edge))
+            at = np.flatnonzero(many)
+            got = {}
+            if len(at):
+                off = np.concatenate([[0], np.cumsum([len(body[i]) for i in at])])
+                rep = Transform(np.frombuffer(b"".join(body[i] for i in at), np.uint8), off, length).repeated(length)
+                got = {i: rep[off[k] : off[k + 1] - length + 1] for k, i in enumerate(at.tolist())}
+            for i, x in enumerate(body):
+                w = len(x) - length + 1
+                f = np.ones(w, bool) if n[i] > 1 else got.get(i, np.zeros(w, bool))
+                flag.append(np.packbits(f).tobytes() if f.any() else None)
+            keep = [i for i, f in enumerate(flag) if f]
+            return pa.RecordBatch.from_arrays([pa.array([name[i] for i in keep], pa.binary()), pa.array([flag[i] for i in keep], pa.binary())], names=["name", "flags"])
+
+        for b in batches:
+            for s, x, t, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if done >= BATCH and s != sample_[-1]:
+                    yield out()
+                    sample_, name, body, n, done = [], [], [], [], 0
+                sample_.append(s), name.append(x), body.append(t), n.append(k)
+                done += len(t)
+        if body:
+            yield out()
+
+    return judge
+
+
+def _judged(distinct: DataFrame, length: int, longer: list[int]) -> DataFrame:
+    """(name, flags) of the segments of ``distinct`` (sample, name, body, n); ``longer`` samples split crowded ones."""
+    few, extra = distinct, None
+    sizes = distinct.groupBy("sample").agg(F.sum(F.octet_length("body")).alias("bytes"), F.count(F.lit(1)).alias("n"))
+    crowded = staged(sizes.where((F.col("bytes") > GROUP_BYTES) & (F.col("n") > 1)).select("sample"), "bwt-crowded") if longer else None
+    if crowded is not None and crowded.take(1):
+        few = distinct.join(bounded(crowded), "sample", "left_anti")
+        many = distinct.join(bounded(crowded), "sample", "left_semi").select("name", "body", "n")
+
+        def split(batches):
+            for b in batches:
+                for name, body, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                    data = np.frombuffer(body, np.uint8)
+                    start, size, key, _ = segments(data, np.array([0, len(data)]), length, longer[0])
+                    parts = [body[x:y] for x, y in zip(start.tolist(), (start + size + length - 1).tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([name] * len(parts), pa.binary()), pa.array(start.astype(np.int32)), pa.array(key.view(np.int64)), pa.array([hashlib.md5(x).digest() for x in parts], pa.binary()), pa.array(parts, pa.binary()), pa.array([n] * len(parts), pa.int64())],
+                        names=["whole", "at", "sample", "name", "body", "n"],
+                    )
+
+        parts = staged(many.mapInArrow(split, "whole binary, at int, sample bigint, name binary, body binary, n bigint"), "bwt-parts")
+        inner = staged(parts.groupBy("sample", "name").agg(F.first("body").alias("body"), F.sum("n").alias("n")), "bwt-segments")
+        got = parts.select("whole", "at", "name").join(_judged(inner, length, longer[1:]), "name").groupBy("whole").agg(F.collect_list(F.struct("at", "flags")).alias("found"))
+
+        def pack(batches):
+            for b in batches:
+                flags = []
+                for found in b.column(1).to_pylist():
+                    f = np.zeros(max(x["at"] + 8 * len(x["flags"]) for x in found), bool)
+                    for x in found:
+                        one = np.unpackbits(np.frombuffer(x["flags"], np.uint8)).astype(bool)
+                        f[x["at"] : x["at"] + len(one)] |= one
+                    flags.append(np.packbits(f).tobytes())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(flags, pa.binary())], names=["name", "flags"])
+
+        extra = got.mapInArrow(pack, "name binary, flags binary")
+    judged = few.repartition("sample").sortWithinPartitions("sample").mapInArrow(_judge(length), "name binary, flags binary")
+    return judged if extra is None else judged.union(extra)
+
+
 def repeated_bytes(docs: DataFrame, length: int = LENGTH, sample: int = SAMPLE) -> DataFrame:
     """Add to every (doc_id, text): n_bytes, n_removed, n_spans, kept_sha256, spans of removed bytes [first, last).
 
@@ -156,8 +249,8 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, sample: int = SAMPLE)
     row with the same one travel as one segment. Segments whose sample occurs once are done. Equal segments fall
     together before they are dealt out, with their number. Where different segments share a sample, a
     Burrows-Wheeler transform of them finds the windows that recur; a segment alone on its sample recurs if it came
-    twice. A sample with over GROUP different segments is dealt out again window by window, by 128 bits of hash, so
-    no task gathers it.
+    twice. Samples with over GROUP_BYTES of different segments are split by longer samples of the same windows, in the
+    end by whole windows, and go through the same transform, so no task gathers a hot sample.
 
     Defined results: null and empty texts have no bytes; texts shorter than ``length`` lose nothing; removing may
     cut a character in two, so only the hash of the bytes that remain is returned with the spans; repeated rows are
@@ -192,96 +285,41 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, sample: int = SAMPLE)
     open_ = met.where("hits is not null")
 
     def hit_segments(b):
+        """Some of a batch's hit segments at a time: text, place in it, sample, body and name of each."""
         data, off, start, size, key, by_text = _segments_of(b, length, sample)
         some = [by_text[i] + np.frombuffer(h, np.uint32).astype(np.int64) for i, h in enumerate(b.column("hits").to_pylist())]
         text = np.repeat(np.arange(len(some)), [len(x) for x in some])
         at = np.concatenate(some) if some else np.zeros(0, np.int64)
-        raw = data.tobytes()
-        start, end = start[at], start[at] + size[at] + length - 1
-        body = [raw[s:e] for s, e in zip(start.tolist(), end.tolist(), strict=True)]
-        return text, start - off[text], key[at].view(np.int64), body, [hashlib.md5(x).digest() for x in body]
+        upto, lo = np.cumsum(size[at] + length - 1), 0
+        while lo < len(at):
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + HELD, "right")))
+            first, last = start[at[lo:hi]], start[at[lo:hi]] + size[at[lo:hi]] + length - 1
+            body = [data[x:y].tobytes() for x, y in zip(first.tolist(), last.tolist(), strict=True)]
+            yield text[lo:hi], first - off[text[lo:hi]], key[at[lo:hi]].view(np.int64), body, [hashlib.md5(x).digest() for x in body]
+            lo = hi
 
     def emit(batches):
         for b in ragged.pieces(batches):
-            _, _, key, body, name = hit_segments(b)
-            first, count = {}, {}
-            for i, x in enumerate(name):
-                first.setdefault(x, i)
-                count[x] = count.get(x, 0) + 1
-            at = list(first.values())
-            yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(list(first), pa.binary()), pa.array([body[i] for i in at], pa.binary()), pa.array(list(count.values()), pa.int64())], names=["sample", "name", "body", "n"])
+            for _, _, key, body, name in hit_segments(b):
+                first, count = {}, {}
+                for i, x in enumerate(name):
+                    first.setdefault(x, i)
+                    count[x] = count.get(x, 0) + 1
+                at = list(first.values())
+                yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(list(first), pa.binary()), pa.array([body[i] for i in at], pa.binary()), pa.array(list(count.values()), pa.int64())], names=["sample", "name", "body", "n"])
 
     distinct = open_.select("text", "hits").mapInArrow(emit, "sample bigint, name binary, body binary, n bigint").groupBy("sample", "name").agg(F.first("body").alias("body"), F.sum("n").alias("n"))
     distinct = staged(distinct, "bwt-segments")
     release(spark)
-    crowded = staged(distinct.groupBy("sample").count().where(F.col("count") > GROUP).select("sample"), "bwt-crowded")
-
-    def judge(batches):
-        sample_, name, body, n, done = [], [], [], [], 0
-
-        def out():
-            flag = []
-            s = np.array(sample_)
-            edge = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1], [True]]))
-            many = np.repeat(np.diff(edge) > 1, np.diff(edge))
-            at = np.flatnonzero(many)
-            got = {}
-            if len(at):
-                off = np.concatenate([[0], np.cumsum([len(body[i]) for i in at])])
-                rep = Transform(np.frombuffer(b"".join(body[i] for i in at), np.uint8), off, length).repeated(length)
-                got = {i: rep[off[k] : off[k + 1] - length + 1] for k, i in enumerate(at.tolist())}
-            for i, x in enumerate(body):
-                w = len(x) - length + 1
-                f = np.ones(w, bool) if n[i] > 1 else got.get(i, np.zeros(w, bool))
-                flag.append(np.packbits(f).tobytes() if f.any() else None)
-            keep = [i for i, f in enumerate(flag) if f]
-            return pa.RecordBatch.from_arrays([pa.array([name[i] for i in keep], pa.binary()), pa.array([flag[i] for i in keep], pa.binary())], names=["name", "flags"])
-
-        for b in batches:
-            for s, x, t, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                if done >= BATCH and s != sample_[-1]:
-                    yield out()
-                    sample_, name, body, n, done = [], [], [], [], 0
-                sample_.append(s), name.append(x), body.append(t), n.append(k)
-                done += len(t)
-        if body:
-            yield out()
-
-    few = distinct
-    extra = None
-    if crowded.take(1):
-        few = distinct.join(bounded(crowded), "sample", "left_anti")
-        many = distinct.join(bounded(crowded), "sample", "left_semi").select("name", "body", "n")
-
-        def windows(batches):
-            for b in batches:
-                for x, t, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                    w = range(len(t) - length + 1)
-                    yield pa.RecordBatch.from_arrays([pa.array([x] * len(w), pa.binary()), pa.array(list(w), pa.int32()), pa.array([hashlib.md5(t[i : i + length]).digest() for i in w], pa.binary()), pa.array([k] * len(w), pa.int64())], names=["name", "at", "hash", "n"])
-
-        each = staged(many.mapInArrow(windows, "name binary, at int, hash binary, n bigint"), "bwt-windows")
-        again = each.groupBy("hash").agg(F.sum("n").alias("c")).where("c > 1").select("hash")
-        hit = each.join(again, "hash").groupBy("name").agg(F.sort_array(F.collect_list("at")).alias("at"))
-
-        def pack(batches):
-            for b in batches:
-                flags = []
-                for at in b.column(1).to_pylist():
-                    f = np.zeros(at[-1] + 1, bool)
-                    f[at] = True
-                    flags.append(np.packbits(f).tobytes())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(flags, pa.binary())], names=["name", "flags"])
-
-        extra = hit.mapInArrow(pack, "name binary, flags binary")
-    judged = few.repartition("sample").sortWithinPartitions("sample").mapInArrow(judge, "name binary, flags binary")
-    judged = staged(judged if extra is None else judged.union(extra), "bwt-judged")
+    longer = [x for x in (length - (length - sample) // 2, length - (length - sample) // 8, length) if x > sample]
+    judged = staged(_judged(distinct, length, longer), "bwt-judged")
     release(spark)
 
     def places(batches):
         for b in ragged.pieces(batches):
-            text, at, _, _, name = hit_segments(b)
             keys = b.column("key").to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in text.tolist()], pa.binary()), pa.array(at.astype(np.int32)), pa.array(name, pa.binary())], names=["key", "at", "name"])
+            for text, at, _, _, name in hit_segments(b):
+                yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in text.tolist()], pa.binary()), pa.array(at.astype(np.int32)), pa.array(name, pa.binary())], names=["key", "at", "name"])
 
     where = open_.select("key", "text", "hits").mapInArrow(places, "key binary, at int, name binary")
     found = where.join(judged, "name").groupBy("key").agg(F.collect_set(F.struct("at", "flags")).alias("found"))
