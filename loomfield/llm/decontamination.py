@@ -18,17 +18,16 @@ BLOCK_BYTES = 8 << 20
 FILTER_BITS = 20
 
 
-def _shingles(data: np.ndarray, off: np.ndarray):
-    """Joined words, word starts there, first word and hash of each window, and the windows' offsets by text."""
+def _words(texts: pa.Array):
+    """Bytes in lower case, start, end and hash of each word, and the words' offsets by text."""
+    data, off = ragged.flat(texts)
     data = ragged.LOWER[data]
     start, end, by_text = ragged.word_bounds(data, off)
-    first, win_off = ragged.windows(by_text, SHINGLE)
-    hashes = ragged.window_hashes(ragged.word_hashes(data, start, end), first, SHINGLE)
-    return data, start, end, first, hashes, win_off
+    return data, start, end, by_text, ragged.word_hashes(data, start, end)
 
 
-def _phrase(data, start, end, first: int) -> bytes:
-    return b" ".join(data[start[i] : end[i]].tobytes() for i in range(first, first + SHINGLE))
+def _phrase(data, start, end, first: int, n: int) -> bytes:
+    return b" ".join(data[start[i] : end[i]].tobytes() for i in range(first, first + n))
 
 
 class ItemIndex:
@@ -37,24 +36,26 @@ class ItemIndex:
     An item of q shingles that lies in a document to the share THRESHOLD lacks at most q - need of them there, so one
     of any q - need + 1 of its shingles is in the document; the ones with the smallest hashes are its signature. A
     class spans a power of two of sizes; it has a largest signature hash, above which no document needs a look, and
-    a least number of shingles, below which no document can contain an item of it.
+    a least number of shingles, below which no document can contain an item of it. An index holds the items of one
+    shingle length: SHINGLE words, or all words of the items that have fewer.
     """
 
-    def __init__(self, rows: list[tuple]):
-        texts = pa.array([r[1] or "" for r in rows], pa.string())
-        data, start, end, first, hashes, win_off = _shingles(*ragged.flat(texts))
+    def __init__(self, rows: list[tuple], length: int):
+        self.length = length
+        data, start, end, by_text, words = _words(pa.array([r[1] or "" for r in rows], pa.string()))
+        first, win_off = ragged.windows(by_text, length)
+        hashes = ragged.window_hashes(words, first, length)
         self.ids, self.need, self.phrases, self.hashes = [], [], [], []
         for i, r in enumerate(rows):
             lo, hi = win_off[i], win_off[i + 1]
-            own = {h: _phrase(data, start, end, f) for h, f in zip(hashes[lo:hi].tolist(), first[lo:hi].tolist(), strict=True)}
-            if own:
+            if hi > lo and (length == SHINGLE or by_text[i + 1] - by_text[i] == length):
                 self.ids.append(r[0])
-                self.phrases.append(frozenset(own.values()))
-                self.hashes.append(np.array(sorted(own), np.uint64))
-                self.need.append(-(-len(own) * 4 // 5))
+                self.phrases.append(frozenset(_phrase(data, start, end, f, length) for f in first[lo:hi].tolist()))
+                self.hashes.append(np.unique(hashes[lo:hi]))
+                self.need.append(-(-len(self.phrases[-1]) * 4 // 5))
         classes: dict[int, list[tuple[int, int]]] = {}
         for k, h in enumerate(self.hashes):
-            keep = len(h) - self.need[k] + 1
+            keep = len(self.phrases[k]) - self.need[k] + 1
             classes.setdefault(len(h).bit_length(), []).extend((int(x), k) for x in h[:keep])
         self.classes = []
         for size, pairs in sorted(classes.items()):
@@ -64,9 +65,10 @@ class ItemIndex:
             seen[(sig & np.uint64(len(seen) - 1)).astype(np.int64)] = True
             self.classes.append((-(-(1 << size - 1) * 4 // 5), sig, np.array([p[1] for p in pairs]), seen))
 
-    def find(self, texts: pa.Array):
-        """(text, item, shared, total) of each containment of THRESHOLD or more."""
-        data, start, end, first, hashes, win_off = _shingles(*ragged.flat(texts))
+    def find(self, data, start, end, by_text, words):
+        """(text, item, shared, total) of each containment of THRESHOLD or more, for texts as ``_words`` gives them."""
+        first, win_off = ragged.windows(by_text, self.length)
+        hashes = ragged.window_hashes(words, first, self.length)
         low = (hashes & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
         n_windows, found = np.diff(win_off), set()
         for least, sig, item, seen in self.classes:
@@ -80,23 +82,23 @@ class ItemIndex:
             found.update(zip(np.repeat(text, hi - lo).tolist(), item[ragged.ranges(hi - lo, lo)].tolist(), strict=True))
         for t, k in sorted(found):
             lo, hi = win_off[t], win_off[t + 1]
-            own = hashes[lo:hi]
-            hits = np.flatnonzero(np.isin(own, self.hashes[k]))
-            if len(np.unique(own[hits])) >= self.need[k]:
-                shared = len(self.phrases[k] & {_phrase(data, start, end, f) for f in first[lo + hits].tolist()})
-                if shared >= self.need[k]:
-                    yield t, k, shared, len(self.phrases[k])
+            hits = np.flatnonzero(np.isin(hashes[lo:hi], self.hashes[k]))
+            if len(hits) + len(self.phrases[k]) - len(self.hashes[k]) < self.need[k]:
+                continue
+            shared = len(self.phrases[k] & {_phrase(data, start, end, f, self.length) for f in first[lo + hits].tolist()})
+            if shared >= self.need[k]:
+                yield t, self.ids[k], shared, len(self.phrases[k])
 
 
 def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item, containment): items of which THRESHOLD of the shingles are in a document.
 
-    Shingles are sets of five words in lower case (A-Z). Items are a stated query set: blocks of BLOCK_BYTES of them
-    are indexed on the driver and sent to the executors, and each block scans all documents once, without a shuffle.
+    Shingles are sets of five words in lower case (A-Z); an item of fewer words is one shingle of all its words. Items
+    are a stated query set: blocks of BLOCK_BYTES of them are indexed on the driver and sent to the executors, and each
+    block scans all documents once, without a shuffle.
 
-    Defined results: items of fewer than five words have no shingle and match nothing, as do null and empty texts;
-    rows that repeat on either side give a row each; empty tables give no rows; other columns are ignored, so their
-    names don't matter.
+    Defined results: null and blank texts match nothing on either side; rows that repeat on either side give a row
+    each; empty tables give no rows; other columns are ignored, so their names don't matter.
     """
     items = items.select("item_id", F.col("text").cast("string").alias("text"))
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
@@ -106,12 +108,13 @@ def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
     blocks = max(1, -(-(total["b"] + 64 * total["n"]) // BLOCK_BYTES))
     item_type = pa.int64() if kind(items, "item_id") == "bigint" else None
 
-    def scan(index: ItemIndex):
+    def scan(indices: list[ItemIndex]):
         def run(batches):
             for b in ragged.pieces(batches):
-                hits = list(index.find(b.column(1)))
+                words = _words(b.column(1))
+                hits = [h for index in indices for h in index.find(*words)]
                 if hits:
-                    ids = pa.array([index.ids[h[1]] for h in hits], item_type)
+                    ids = pa.array([h[1] for h in hits], item_type)
                     shared, size = pa.array([h[2] for h in hits], pa.int64()), pa.array([h[3] for h in hits], pa.int64())
                     share = pa.array([h[2] / h[3] for h in hits], pa.float64())
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([h[0] for h in hits])), ids, shared, size, share], names=["doc_id", "item_id", "n_shared", "n_item", "containment"])
@@ -121,16 +124,23 @@ def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
     parts = []
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        part = scan(ItemIndex([tuple(r) for r in rows]))
+        made = [ItemIndex([tuple(r) for r in rows], n) for n in range(1, SHINGLE + 1)]
+        part = scan([index for index in made if index.ids])
         parts.append(part if blocks == 1 else staged(part, "contained"))
     return reduce(DataFrame.union, parts)
 
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that contain no item, with their own columns. Rows are told apart by doc_id and text together."""
-    own = F.xxhash64("doc_id", "text")
-    bad = staged(contained(docs.select(own.alias("doc_id"), "text"), items).select(F.col("doc_id").alias("__own")).distinct(), "contaminated")
-    return docs.withColumn("__own", own).join(bounded(bad), "__own", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Rows of ``docs`` that contain no item, with their own columns, whatever their names.
+
+    Defined results: rows are told apart by doc_id and text together (SHA-256 of both), so rows of one doc_id are
+    judged each by its text; null and blank texts stay; empty tables change nothing.
+    """
+    name = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("~"))
+    own = F.unhex(F.sha2(F.concat(F.length(name).cast("string"), name, F.coalesce(F.col("text").cast("string"), F.lit(""))), 256))
+    held = docs.select(own.alias("own"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    bad = staged(contained(docs.select(own.alias("doc_id"), "text"), items).select(F.col("doc_id").alias("own")).distinct(), "contaminated")
+    return held.join(bounded(bad), "own", "left_anti").select("row.*")
 
 
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:
@@ -139,9 +149,11 @@ def op8_decontamination(spark, sf_dir: str) -> DataFrame:
 
 def contained_sql(docs: str = "documents", items: str = "benchmark") -> str:
     """DuckDB SQL of op8."""
-    words = lambda t, k: f"select distinct {k}, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) as s from (select {k}, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from {t} where text is not null)"
+    words = lambda t, k: f"select {k}, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from {t} where text is not null"
+    cut = lambda k: f"select distinct {k}, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) as s"
     return f"""
-with d as ({words(docs, 'doc_id')}), i as ({words(items, 'item_id')}), size as (select item_id, count(*) as n from i group by item_id)
-select doc_id, item_id, count(*) as n_shared, any_value(n) as n_item, count(*) / any_value(n)::double as containment
-from d join i using (s) join size using (item_id) group by doc_id, item_id having 5 * count(*) >= 4 * any_value(n)
+with iw as ({words(items, 'item_id')}), dw as ({words(docs, 'doc_id')}), i as ({cut('item_id')} from (select *, least(len(w), {SHINGLE}) as n from iw where len(w) > 0)),
+d as ({cut('doc_id')} from dw join (select distinct n from i) on len(w) >= n), size as (select item_id, count(*) as n_item from i group by item_id)
+select doc_id, item_id, count(*) as n_shared, any_value(n_item) as n_item, count(*) / any_value(n_item)::double as containment
+from d join i using (n, s) join size using (item_id) group by doc_id, item_id having 5 * count(*) >= 4 * any_value(n_item)
 """
