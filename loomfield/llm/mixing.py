@@ -12,44 +12,45 @@ from .common import bounded, n_words_of, staged
 GROUP_DOCS = 2048
 
 
+def _running(df: DataFrame, order: list, sums: dict, name: str) -> DataFrame:
+    """``df`` staged in ``order`` with, for each entry of ``sums``, what the rows before add up to (decimal).
+
+    A range-partitioned sort with per-partition offsets, so no task gathers all rows; one row for each partition comes
+    to the driver.
+    """
+    parts = staged(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), name)
+    wide = {k: F.col(v).cast("decimal(38,0)") if isinstance(v, str) else F.lit(v).cast("decimal(38,0)") for k, v in sums.items()}
+    per = parts.groupBy("part").agg(*[F.sum(v).alias(k) for k, v in wide.items()]).orderBy("part").collect()
+    before, upto = {}, dict.fromkeys(sums, 0)
+    for r in per:
+        before[r["part"]] = dict(upto)
+        upto = {k: upto[k] + int(r[k]) for k in sums}
+    inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    for k, v in wide.items():
+        offset = F.create_map(*[x for p, at in before.items() for x in (F.lit(p), F.lit(str(at[k])))]) if before else F.create_map(F.lit(0), F.lit("0"))
+        parts = parts.withColumn(k, F.coalesce(F.sum(v).over(inside), F.lit(0)).cast("decimal(38,0)") + offset[F.col("part")].cast("decimal(38,0)"))
+    return parts.drop("part")
+
+
 def source_plan(sized: DataFrame, weights=(1, 2, 3), max_epochs: int = 3) -> DataFrame:
     """Per source: n_docs, source_size, weight, target (double). Sources rank by code point, null last.
 
-    The rank comes from a range-partitioned sort with per-partition offsets, so no task gathers all sources.
-    Water-filling clamps sources above ``max_epochs`` times their size and shares what is left by weight, until
-    none is above. Sums are of whole numbers, so the result does not depend on their order.
+    Water-filling on ranked sums: sources fall into order of cap by weight, where a source's cap is ``max_epochs`` times
+    its size. A source is clamped when its cap lies below its share, by weight, of what the clamped ones before it
+    leave; shares only grow along the order, so one pass finds every clamped source, and the others share the rest by
+    weight. Sums are of whole numbers, so the result does not depend on their order.
     """
     src = sized.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size"))
-    parts = staged(
-        src.repartitionByRange(F.col("source").asc_nulls_last())
-        .sortWithinPartitions(F.col("source").asc_nulls_last())
-        .withColumn("part", F.spark_partition_id()),
-        "mix-sources",
-    )
-    per = parts.groupBy("part").count()
-    before = {}
-    run = 0
-    for r in sorted(per.collect()):  # one row for each partition of the range sort
-        before[r["part"]], run = run, run + r["count"]
-    offset = F.create_map(*[F.lit(x) for kv in before.items() for x in kv]) if before else F.create_map(F.lit(0), F.lit(0))
-    rank = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())) - 1 + offset[F.col("part")]
+    ranked = _running(src, [F.col("source").asc_nulls_last()], {"rank": 1}, "mix-sources")
     cycle = F.array(*[F.lit(int(w)).cast("long") for w in weights])
-    ranked = staged(
-        parts.withColumn("weight", cycle[F.pmod(rank, F.lit(len(weights))).cast("int")]).withColumn("cap", F.col("source_size") * F.lit(int(max_epochs))).drop("part"),
-        "mix-ranked",
-    )
-    free, share, total = None, 0, 0
-    got = ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("t"), F.coalesce(F.sum("weight"), F.lit(0)).alias("w"), F.count(F.lit(1)).alias("n")).first()
-    total, share, free, n = got["t"], got["t"], got["w"], 0
-    level = lambda: F.lit(float(share)) * F.col("weight") / F.lit(float(free))
-    while free:
-        above = F.col("cap") < level()
-        got = ranked.agg(F.coalesce(F.sum(F.when(above, F.col("cap"))), F.lit(0)).alias("c"), F.coalesce(F.sum(F.when(above, 0).otherwise(F.col("weight"))), F.lit(0)).alias("w"), F.count_if(above).alias("n")).first()
-        if got["n"] == n or not got["w"]:
-            break
-        share, free, n = total - got["c"], got["w"], got["n"]
-    target = F.least(F.col("cap").cast("double"), level()) if free else F.col("cap").cast("double")
-    return ranked.withColumn("target", target)
+    ranked = ranked.withColumn("weight", cycle[F.pmod(F.col("rank").cast("long"), F.lit(len(weights))).cast("int")]).withColumn("cap", F.col("source_size") * F.lit(int(max_epochs))).drop("rank")
+    filled = _running(ranked, [F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last()], {"caps_before": "cap", "weight_before": "weight"}, "mix-ranked")
+    got = filled.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("t"), F.coalesce(F.sum("weight"), F.lit(0)).alias("w")).first()
+    clamped = F.col("cap").cast("decimal(19,0)") * (F.lit(got["w"]) - F.col("weight_before")).cast("decimal(18,0)") < (F.lit(got["t"]) - F.col("caps_before")).cast("decimal(19,0)") * F.col("weight").cast("decimal(18,0)")
+    held = filled.agg(F.coalesce(F.sum(F.when(clamped, F.col("cap"))), F.lit(0)).alias("c"), F.coalesce(F.sum(F.when(clamped, F.col("weight"))), F.lit(0)).alias("w")).first()
+    share, free = got["t"] - held["c"], got["w"] - held["w"]
+    level = F.lit(float(share)) * F.col("weight") / F.lit(float(free)) if free else F.col("cap").cast("double")
+    return filled.withColumn("target", F.least(F.col("cap").cast("double"), level)).drop("caps_before", "weight_before")
 
 
 def mix_sources(docs: DataFrame, weights=(1, 2, 3), max_epochs: int = 3, seed: str = "mix-0") -> DataFrame:
@@ -65,22 +66,22 @@ def mix_sources(docs: DataFrame, weights=(1, 2, 3), max_epochs: int = 3, seed: s
     (columns named like an added one are replaced).
     """
     added = ("size", "source_size", "target", "taken", "whole", "extra")
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in added])
-    sized = docs.withColumn("size", n_words_of(F.col("text")))
-    plan = source_plan(sized.select("source", "size"), weights, max_epochs)
+    columns = [c for c in docs.columns if c.lower() not in added]
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col("source"), F.md5(F.concat(F.lit(f"{seed}|"), name)).alias("order"), n_words_of(F.col("text")).alias("size"))
+    plan = source_plan(docs.select("source", n_words_of(F.col("text")).alias("size")), weights, max_epochs)
     plan = plan.select(
-        F.col("source").alias("__src"), "source_size", "target",
-        F.ceil(F.col("n_docs") / F.lit(GROUP_DOCS)).cast("long").alias("__groups"),
+        F.col("source").alias("src"), "source_size", "target", F.ceil(F.col("n_docs") / F.lit(GROUP_DOCS)).cast("long").alias("groups"),
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("whole"),
-    ).withColumn("__frac", F.when(F.col("source_size") > 0, (F.col("target") - F.col("whole") * F.col("source_size")) / F.col("source_size")).otherwise(F.lit(0.0)))
-    row = sized.join(bounded(plan), F.col("source").eqNullSafe(F.col("__src")))
-    order = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    row = row.withColumn("__order", order).withColumn("__group", F.pmod(F.conv(F.substring("__order", 1, 8), 16, 10).cast("long"), F.col("__groups")))
-    group = Window.partitionBy("source", "__group")
-    upto = F.sum("size").over(group.orderBy("__order", "size").rowsBetween(Window.unboundedPreceding, 0))
-    row = row.withColumn("__upto", upto).withColumn("__quota", F.floor(F.sum("size").over(group) * F.col("__frac") + F.lit(0.5)).cast("long"))
-    row = row.withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("__quota") - (F.col("__upto") - F.col("size")))).cast("long"))
-    return row.withColumn("taken", F.col("whole") * F.col("size") + F.col("extra")).drop("__src", "__groups", "__frac", "__order", "__group", "__upto", "__quota")
+    ).withColumn("part", F.when(F.col("source_size") > 0, (F.col("target") - F.col("whole") * F.col("source_size")) / F.col("source_size")).otherwise(F.lit(0.0)))
+    row = sized.join(bounded(plan), F.col("source").eqNullSafe(F.col("src")))
+    row = row.withColumn("group", F.pmod(F.conv(F.substring("order", 1, 8), 16, 10).cast("long"), F.col("groups")))
+    group = Window.partitionBy("source", "group")
+    upto = F.sum("size").over(group.orderBy("order", "size").rowsBetween(Window.unboundedPreceding, 0))
+    quota = F.floor(F.sum("size").over(group) * F.col("part") + F.lit(0.5)).cast("long")
+    row = row.withColumn("upto", upto).withColumn("quota", quota)
+    extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("quota") - (F.col("upto") - F.col("size")))).cast("long")
+    return row.withColumn("extra", extra).select("row.*", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra")).alias("taken"), "whole", "extra")
 
 
 def op10_mix_sources(spark, sf_dir: str) -> DataFrame:
