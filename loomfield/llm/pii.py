@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded, staged
+from .common import bounded, fresh, staged
 from .spans import Rule, joined_spans, matches, text_key
 
 #: The candidates. Runs are possessive and start at their first character, so long runs take linear
@@ -25,13 +25,13 @@ RULES = [
 BASE = ("email", "ip", "card", "phone")
 #: Quick test of a text that a match of any rule implies: ip, card, local_phone and ssn have three digits near each other.
 ANY = r"@|\+[0-9]|[A-Z]{2}[0-9]{2}|[0-9][^0-9]{0,3}[0-9][^0-9]{0,3}[0-9]"
-#: Words near a candidate that speak for or against it.
+#: Words near a candidate that speak for or against it. They label candidates and are no features.
 FOR = r"(?i)\b(?:e-?mail|mail|phone|tel|mobile|cell|call|fax|contact|card|visa|account|iban|ssn|social|ip|address|host|from)\b"
 AGAINST = r"(?i)(?:\b(?:version|ver|build|release|id|ref|isbn|sku|order|invoice|total|page|rev)\b|[$#=])"
 CONTEXT = 24
 #: Rounds of boosting, step, depth of two, and the share of true candidates above which a calibrated score redacts.
 ROUNDS, STEP, PRECISION, LEAST = 30, 0.3, 0.95, 20
-FEATURES = ("clean_left", "clean_right", "word_for", "word_against", "separated", "usual_length", "varied", "lettered")
+FEATURES = ("clean_left", "clean_right", "separated", "usual_length", "varied", "lettered", "digits_left", "digits_right")
 
 
 def _digits(x: Column) -> Column:
@@ -72,7 +72,10 @@ def _iban(whole: Column) -> Column:
 
 
 def candidates(texts: DataFrame) -> DataFrame:
-    """All candidates with their features as bits of ``mask`` and ``ok``, the kind's own test."""
+    """All candidates with features of form and surroundings as bits of ``mask``, ``ok`` (the kind's own test) and ``label``.
+
+    The label is a vote that no feature repeats: a word against makes it false; else a word for, or the own test, makes it true.
+    """
     c = matches(texts, RULES, CONTEXT)
     d = _digits(F.col("whole"))
     c = c.where((F.col("kind") != "card") | F.length(d).between(12, 19))
@@ -81,20 +84,22 @@ def candidates(texts: DataFrame) -> DataFrame:
     seen = {
         "clean_left": (F.col("before") == "") | F.col("before").rlike(r"[\s(\[<\"',;:|]$"),
         "clean_right": (F.col("after") == "") | F.col("after").rlike(r"^(?:[\s)\]>\"',;:|!?]|\.(?:\s|$)|\*|%|#|&|\$)"),
-        "word_for": F.col("before").rlike(FOR), "word_against": F.col("before").rlike(AGAINST),
         "separated": F.col("whole").rlike(r"[\x20()-]"), "usual_length": span,
         "varied": F.size(F.array_distinct(F.split(d, ""))) > 3, "lettered": F.col("whole").rlike("[A-Za-z]"),
+        "digits_left": F.col("before").rlike("[0-9]"), "digits_right": F.col("after").rlike("[0-9]"),
     }
     mask = reduce(lambda a, b: a + b, [F.when(seen[f], 1 << i).otherwise(0) for i, f in enumerate(FEATURES)])
-    return c.withColumn("mask", mask.cast("int")).withColumn("ok", F.coalesce(valid(F.col("kind"), F.col("whole")), F.lit(False)))
+    c = c.withColumn("mask", mask.cast("int")).withColumn("ok", F.coalesce(valid(F.col("kind"), F.col("whole")), F.lit(False)))
+    return c.withColumn("label", ~F.col("before").rlike(AGAINST) & (F.col("ok") | F.col("before").rlike(FOR)))
 
 
-def boosted(table: list[tuple[int, int, int, int]]):
+def boosted(table: list[tuple[int, int, int, int]], kept_out: list[tuple[int, int, int, int]] | None = None):
     """Gradient boosting with logistic loss over (place, mask, n, n_true): trees of two levels of yes-no splits.
 
     The table has a row for each kind and mask at most, so it is small whatever the corpus. Splits ask for a bit of
     the mask or for a kind. Returns (start, trees, thresholds); a tree is (split, (split, no, yes), (split, no, yes)).
-    Kinds with fewer candidates than LEAST share a threshold, that of the pools over all kinds or else the score of PRECISION.
+    Thresholds are calibrated on ``kept_out``, rows that no tree was fitted to (on the table itself where none are given).
+    Kinds with fewer of those than LEAST share a threshold, that of the pools over all kinds or else the score of PRECISION.
     """
     from math import exp, log
 
@@ -136,10 +141,20 @@ def boosted(table: list[tuple[int, int, int, int]]):
         for r in table:
             inner, no, yes = sides[answer(ask, r)]
             score[r[0], r[1]] += yes if answer(inner, r) else no
+
+    def scored(r) -> float:
+        out = start
+        for ask, *sides in trees:
+            inner, no, yes = sides[answer(ask, r)]
+            out += yes if answer(inner, r) else no
+        return out
+
+    kept_out = table if kept_out is None else kept_out
+
     def threshold(rows) -> float | None:
         # isotonic calibration: neighbours in score pool until the share of true candidates rises with the score
         pools: list[list[float]] = []
-        for low, k, t in sorted((score[r[0], r[1]], r[2], r[3]) for r in rows):
+        for low, k, t in sorted((scored(r), r[2], r[3]) for r in rows):
             pools.append([low, k, t])
             while len(pools) > 1 and pools[-2][2] * pools[-1][1] >= pools[-1][2] * pools[-2][1]:
                 _, k, t = pools.pop()
@@ -150,10 +165,10 @@ def boosted(table: list[tuple[int, int, int, int]]):
 
     thresholds: dict[int, float] = {}
     for place in range(len(RULES)):
-        rows = [r for r in table if r[0] == place]
+        rows = [r for r in kept_out if r[0] == place]
         low = threshold(rows)
         if sum(r[2] for r in rows) < LEAST:
-            pooled = threshold(table) if n >= LEAST else None
+            pooled = threshold(kept_out) if sum(r[2] for r in kept_out) >= LEAST else None
             low = log(PRECISION / (1 - PRECISION)) if pooled is None else pooled
         if low is not None:
             thresholds[place] = low
@@ -170,16 +185,17 @@ def find(docs: DataFrame) -> DataFrame:
     """(blob, spans) for every distinct text of ``docs`` (text) with personal data; spans hold (start, place, kind, end).
 
     Candidates that pass their kind's test always stay, however few the table holds. Others stay where their calibrated
-    score redacts: the trees learn, over all candidates of the corpus, what place and form the ones that pass their test
-    have; isotonic calibration turns scores to shares, and a kind's threshold is the lowest score of share PRECISION (kinds
-    with fewer candidates than LEAST share that of all kinds). An added span that a base span or an earlier added one
-    overlaps goes.
+    score redacts: the trees learn, over the candidates of half of the texts, what form and surroundings the ones have
+    that words near them or their test speak for; over the other half, isotonic calibration turns scores to shares, and a
+    kind's threshold is the lowest score of share PRECISION (kinds with fewer candidates than LEAST share that of all
+    kinds). An added span that a base span or an earlier added one overlaps goes.
     """
     texts = docs.select(text_key(F.col("text")).alias("blob"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = texts.where(F.col("text").rlike(ANY)).dropDuplicates(["blob"]).withColumn("todo", F.array(*[F.lit(r.kind) for r in RULES]))
-    c = staged(candidates(texts).select("blob", "place", "kind", "start", "end", "mask", "ok"), "pii")
-    table = [tuple(r) for r in c.groupBy("place", "mask").agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("t")).orderBy("place", "mask").collect()]
-    start, trees, thresholds = boosted(table)
+    c = staged(candidates(texts).select("blob", "place", "kind", "start", "end", "mask", "ok", "label"), "pii")
+    half = F.col("blob").rlike("^[0-7]").alias("half")  # of the texts, by content
+    counted = c.groupBy(half, "place", "mask").agg(F.count(F.lit(1)).alias("n"), F.count_if("label").alias("t")).orderBy("place", "mask").collect()
+    start, trees, thresholds = boosted(*[[tuple(r)[1:] for r in counted if r["half"] is side] for side in (True, False)])
     limit = reduce(lambda a, kv: F.when(F.col("place") == kv[0], F.lit(kv[1])).otherwise(a), thresholds.items(), F.lit(None).cast("double"))
     base = F.col("ok") & (F.col("place") < len(BASE))
     c = c.withColumn("base", base).withColumn("score", _score(start, trees)).where(F.col("ok") | F.coalesce(F.col("score") >= limit - 1e-9, F.lit(False)))
@@ -199,6 +215,8 @@ def redact(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     Null texts stay null; other columns, doc_id included, pass through, with n_chars (if there) recounted.
     """
     found = bounded(staged(find(docs) if found is None else found, "pii-found"))
+    row, columns = fresh(docs, "row"), docs.columns  # the row travels in one column: its names cannot clash
+    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias(row), F.col("text"), *([F.col("n_chars")] if "n_chars" in columns else []))
     held = docs.withColumn("__blob", text_key(F.col("text"))).join(found.withColumnsRenamed({"blob": "__blob", "spans": "__spans"}), "__blob", "left")
     kind = "array<struct<start:bigint,end:bigint,kind:string>>"
     joined = F.aggregate(
@@ -211,9 +229,9 @@ def redact(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     tail = F.substr(text, (F.get("__spans", F.size("__spans") - 1)["end"] + 1).cast("int"))
     new = F.when(F.col("text").isNull() | F.col("__spans").isNull(), F.col("text")).otherwise(F.concat(F.array_join(part, ""), tail))
     out = held.withColumn("text", new)
-    if "n_chars" in docs.columns:
+    if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint")))
-    return out.select(*[f"`{c}`" for c in docs.columns])
+    return out.select(*[F.col(c) if c in ("text", "n_chars") else F.col(row).getField(c).alias(c) for c in columns])
 
 
 def op7_pii(spark, sf_dir: str) -> DataFrame:
