@@ -231,16 +231,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of each group of near-duplicates, the one with the smallest doc_id, ties by the text's hash; rows without
-    a doc_id go by a negative number from their text. Rows are told apart by doc_id and text together; of rows that
-    agree in both, the one with the smallest hash over all columns stays. Columns stay as they are."""
-    text = F.xxhash64("text")
-    own = F.struct(F.coalesce(F.col("doc_id").cast("bigint"), -F.abs(F.shiftright(text, 2)) - 1).alias("id"), text.alias("text"))
-    first = staged(near_duplicates(docs.select(own.alias("doc_id"), "text")).where("doc_id = component_id").select("doc_id").distinct(), "simhash-kept").withColumnRenamed("doc_id", "__own")
+    """One row of each group of near-duplicates, the one with the smallest doc_id, ties by the text's SHA-256.
+
+    Defined results: rows are told apart by doc_id and text together, so rows of one doc_id and unlike texts are
+    documents of their own; of rows that agree in both, the one with the smallest hash over all columns stays. Ids order
+    as numbers where they are, before others as text; a null doc_id comes last, by its text. Null and blank texts are
+    copies of each other. An empty table gives no rows. Columns, whatever their names, stay as they are.
+    """
+    number = docs.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    name = F.when(F.col("doc_id").isNull(), "~").otherwise("" if number else F.concat(F.lit("="), F.col("doc_id").cast("string")))
+    own = F.struct(
+        F.coalesce(F.col("doc_id").try_cast("bigint"), F.lit((1 << 63) - 1)).alias("id"), name.alias("name"),
+        F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)).alias("text"),
+    )
+    first = staged(near_duplicates(docs.select(own.alias("doc_id"), "text")).where("doc_id = component_id").select(F.col("doc_id").alias("own")).distinct(), "simhash-kept")
     hashed = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
-    held = docs.withColumn("__own", own).join(first, "__own", "left_semi")
-    place = F.row_number().over(Window.partitionBy("__own").orderBy(hashed))
-    return held.withColumn("__place", place).where("__place = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    held = docs.select(own.alias("own"), hashed.alias("hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(first, "own", "left_semi")
+    place = F.row_number().over(Window.partitionBy("own").orderBy("hash"))
+    return held.withColumn("place", place).where("place = 1").select("row.*")
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
