@@ -9,8 +9,11 @@ from .common import bounded, let, staged, words_of
 
 #: Metric -> (slack above the fence, whether low values are odd too). All metrics are whole numbers.
 METRICS = {"symbols": (40, False), "dup_lines": (350, False), "repeats": (260, False), "capitals": (120, False), "word_length": (120, True)}
-#: A fence stands FENCE times the spread of the quartiles beyond the upper (or lower) one.
-FENCE = 4
+#: Metrics that are not shares.
+OPEN = ("word_length",)
+#: A fence stands FENCE times the spread of the half on the other side of the median beyond it, so that odd documents, a
+#: third of a group or more, do not move it; a metric in parts of TOP is fenced at half its way from the median at most.
+FENCE, TOP = 8, 1000
 #: Groups with fewer documents take the sketch of their language, then that of all documents.
 LEAST_DOCS = 200
 #: Exact buckets below this; above, this many buckets for each power of two.
@@ -112,7 +115,10 @@ def sketches(feats: DataFrame) -> DataFrame:
 
 
 def limits(sketch: DataFrame) -> DataFrame:
-    """Per (lang, source): lo_ and hi_ of each metric, from the smallest level with LEAST_DOCS documents."""
+    """Per (lang, source): lo_ and hi_ of each metric, from the smallest level with LEAST_DOCS documents.
+
+    The upper fence stands on the median and the spread below it, the lower one on the median and the spread above.
+    """
 
     def quartiles(df: DataFrame, keys: list[str]) -> DataFrame:
         merged = df.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n")).groupBy(*keys, "metric").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("hist"))
@@ -123,16 +129,18 @@ def limits(sketch: DataFrame) -> DataFrame:
             step = lambda a, x: F.struct((a["seen"] + x["n"]).alias("seen"), F.when(a["bucket"].isNull() & (4 * (a["seen"] + x["n"]) >= share * F.col("docs")), x["bucket"]).otherwise(a["bucket"]).alias("bucket"))
             return F.aggregate("hist", start, step)["bucket"]
 
-        return merged.withColumn("docs", total).select(*keys, "metric", "docs", bucket_top(at(1)).alias("q1"), bucket_top(at(3)).alias("q3"))
+        return merged.withColumn("docs", total).select(*keys, "metric", "docs", *[bucket_top(at(i)).alias(f"q{i}") for i in (1, 2, 3)])
 
     near, wide, every = quartiles(sketch, ["lang", "source"]), quartiles(sketch, ["lang"]), quartiles(sketch, [])
-    every = every.select("metric", F.col("q1").alias("e1"), F.col("q3").alias("e3"))  # one row for each metric
-    wide = wide.select(F.col("lang").alias("__lang"), F.col("metric").alias("__metric"), F.col("docs").alias("wdocs"), F.col("q1").alias("w1"), F.col("q3").alias("w3"))
+    every = every.select("metric", *[F.col(f"q{i}").alias(f"e{i}") for i in (1, 2, 3)])  # one row for each metric
+    wide = wide.select(F.col("lang").alias("__lang"), F.col("metric").alias("__metric"), F.col("docs").alias("wdocs"), *[F.col(f"q{i}").alias(f"w{i}") for i in (1, 2, 3)])
     df = near.join(wide, F.col("lang").eqNullSafe(F.col("__lang")) & (F.col("metric") == F.col("__metric"))).join(F.broadcast(every), "metric")
-    pick = lambda a, b, c: F.when(F.col("docs") >= LEAST_DOCS, F.col(a)).when(F.col("wdocs") >= LEAST_DOCS, F.col(b)).otherwise(F.col(c))
-    df = df.withColumn("a", pick("q1", "w1", "e1")).withColumn("b", pick("q3", "w3", "e3"))
+    pick = lambda i: F.when(F.col("docs") >= LEAST_DOCS, F.col(f"q{i}")).when(F.col("wdocs") >= LEAST_DOCS, F.col(f"w{i}")).otherwise(F.col(f"e{i}"))
+    df = df.withColumns({"a": pick(1), "b": pick(2), "c": pick(3)})
     slack = F.create_map(*[F.lit(x) for m, (s, _) in METRICS.items() for x in (m, s)])[F.col("metric")]
-    df = df.withColumn("hi", F.col("b") + FENCE * (F.col("b") - F.col("a")) + slack).withColumn("lo", F.col("a") - FENCE * (F.col("b") - F.col("a")) - slack)
+    high = F.col("b") + FENCE * (F.col("b") - F.col("a")) + slack
+    high = F.when(F.col("metric").isin(*OPEN), high).otherwise(F.least(high, F.floor((F.col("b") + TOP) / 2)))
+    df = df.withColumn("hi", high).withColumn("lo", F.col("b") - FENCE * (F.col("c") - F.col("b")) - slack)
     return df.groupBy("lang", "source").agg(*[F.max(F.when(F.col("metric") == m, F.col(k))).alias(f"{k}_{m}") for m in METRICS for k in ("lo", "hi")])
 
 
@@ -180,9 +188,10 @@ def quality_sql(docs: str = "documents") -> str:
     metrics = list(METRICS)
     slack = "case metric " + " ".join(f"when '{m}' then {s}" for m, (s, _) in METRICS.items()) + " end"
     odd = " or ".join([f"coalesce(m_{m} > hi_{m}, false)" for m in metrics] + [f"coalesce(m_{m} < lo_{m}, false)" for m, (_, low) in METRICS.items() if low])
+    high = lambda m: f"b + {FENCE} * (b - a) + {slack}" if m in OPEN else f"least(b + {FENCE} * (b - a) + {slack}, (b + {TOP}) // 2)"
     bucket = lambda v: f"case when {v} < {STEPS} then {v} else greatest(length(bin({v})) - 5, 0) * {STEPS} + ({v} >> greatest(length(bin({v})) - 5, 0)::int)::bigint end"
     quart = lambda keys: f"""
-      select {keys}metric, max(docs) as docs, min(bucket) filter (4 * seen >= docs) as b1, min(bucket) filter (4 * seen >= 3 * docs) as b3 from (
+      select {keys}metric, max(docs) as docs, min(bucket) filter (4 * seen >= docs) as b1, min(bucket) filter (2 * seen >= docs) as b2, min(bucket) filter (4 * seen >= 3 * docs) as b3 from (
         select {keys}metric, bucket, sum(n) over (partition by {keys}metric order by bucket) as seen, sum(n) over (partition by {keys}metric) as docs
         from (select {keys}metric, bucket, sum(n) as n from sk group by {keys}metric, bucket)) group by {keys}metric"""
     top = lambda b: f"case when {b} < {2 * STEPS} then {b} else (({b} - ({b} // {STEPS} - 1) * {STEPS} + 1) * (1::bigint << ({b} // {STEPS} - 1)::int) - 1)::bigint end"
@@ -214,11 +223,10 @@ with words as (
   ) group by all
 ), near as ({quart("lang, source, ")}), wide as ({quart("lang, ")}), every as ({quart("")}
 ), lim as (
-  select n.lang, n.source, n.metric, {top("(case when n.docs >= %d then n.b1 when w.docs >= %d then w.b1 else e.b1 end)" % (LEAST_DOCS, LEAST_DOCS))} as a,
-         {top("(case when n.docs >= %d then n.b3 when w.docs >= %d then w.b3 else e.b3 end)" % (LEAST_DOCS, LEAST_DOCS))} as b
+  select n.lang, n.source, n.metric, {", ".join(f"{top(f'(case when n.docs >= {LEAST_DOCS} then n.b{i} when w.docs >= {LEAST_DOCS} then w.b{i} else e.b{i} end)')} as {k}" for i, k in ((1, "a"), (2, "b"), (3, "c")))}
   from near n join wide w on n.lang is not distinct from w.lang and n.metric = w.metric join every e on n.metric = e.metric
 ), fence as (
-  select lang, source, {", ".join(f"max(case when metric = '{m}' then b + {FENCE} * (b - a) + {slack} end) as hi_{m}, max(case when metric = '{m}' then a - {FENCE} * (b - a) - {slack} end) as lo_{m}" for m in metrics)}
+  select lang, source, {", ".join(f"max(case when metric = '{m}' then {high(m)} end) as hi_{m}, max(case when metric = '{m}' then b - {FENCE} * (c - b) - {slack} end) as lo_{m}" for m in metrics)}
   from lim group by lang, source
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not ({odd}) as kept, {", ".join(f"m_{m}" for m in metrics)}

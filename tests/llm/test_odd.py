@@ -160,3 +160,21 @@ def test_water_filling(spark, seed):
 
 def test_fresh_names(spark):
     assert common.fresh(spark.createDataFrame([(1, 2)], "__Row int, `__row_` int"), "row") == "__row__"
+
+
+@pytest.mark.parametrize("poor", [0, 25, 33, 40])
+def test_fences_hold_where_many_documents_are_poor(spark, poor):
+    from loomfield.llm import quality
+
+    rng = random.Random(poor)
+    prose = lambda: [rng.choice(WORDS) for _ in range(80)]
+    lines = lambda words: "\n".join(" ".join(words[i : i + 8]) for i in range(0, len(words), 8))
+    texts = []
+    for i in range(400):
+        words = prose()
+        if i % 100 < poor:  # symbols, or lines that repeat
+            texts.append((i, " ".join(w + "#$" for w in words) if i % 2 else lines(words[:24]) + ("\n" + words[70]) * 30, "en", "a"))
+        else:
+            texts.append((i, lines(words[:72]) + " %", "en", "a"))
+    got = quality.judge(spark.createDataFrame(texts, "doc_id bigint, text string, lang string, source string")).collect()
+    assert {r["doc_id"] for r in got if r["kept"]} == {i for i in range(400) if i % 100 >= poor}
