@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,20 +39,21 @@ def _initials(words: Column) -> Column:
 
 
 def _abbreviates(short: Column, long: Column) -> Column:
-    """One token that is all initials of the other name, or its first token followed by the initials of the rest."""
-    word = F.get(short, F.lit(0))
+    """A name whose letters and digits are all initials of the other's words, or its first word and the initials of the rest."""
+    letters = F.regexp_replace(F.lower(F.coalesce(short, F.lit(""))), "[^\\p{L}\\p{N}]+", "")
     tail = F.slice(long, 2, F.greatest(F.size(long) - 1, F.lit(0)))
     led = F.concat(F.get(long, F.lit(0)), _initials(tail))
-    return (F.size(short) == 1) & (F.size(long) > 1) & ((word == _initials(long)) | (word == led))
+    return (F.length(letters) > 1) & (F.size(long) > 1) & ((letters == _initials(long)) | (letters == led))
 
 
-def may_merge(a: Column, b: Column, kind: Column) -> Column:
-    """Whether two names may denote one thing.
+def may_merge(a: Column, b: Column, kind: Column, other: Column | None = None) -> Column:
+    """Whether two names, of the types ``kind`` and ``other`` (the same where left out), may denote one thing.
 
-    Papers and empty names never; the multisets of numbers must agree; equal token sets and initialisms may; otherwise
-    every differing token must be generic. Symmetric in ``a`` and ``b``; nulls are empty.
+    Papers, on either side, and empty names never; the multisets of numbers must agree; equal token sets and initialisms
+    may; otherwise every differing token must be generic. Symmetric in the two names; nulls are empty.
     """
     left, right = tokens(a), tokens(b)
+    by_name = [F.lower(F.coalesce(k, F.lit(""))).isin(*BY_NAME_ONLY) for k in ((kind,) if other is None else (kind, other))]
 
     def numbers(words: Column) -> Column:
         return F.array_sort(F.filter(words, lambda w: w.rlike("^[0-9]+$")))
@@ -59,48 +63,48 @@ def may_merge(a: Column, b: Column, kind: Column) -> Column:
     generic = F.forall(apart, lambda w: w.isin(*GENERIC))
     decided = (
         F.when((F.size(left) == 0) | (F.size(right) == 0), False)
-        .when(F.lower(F.coalesce(kind, F.lit(""))).isin(*BY_NAME_ONLY), False)
+        .when(reduce(or_, by_name), False)
         .when(numbers(left) != numbers(right), False)
-        .when(same | _abbreviates(left, right) | _abbreviates(right, left), True)
+        .when(same | _abbreviates(a, right) | _abbreviates(b, left), True)
         .otherwise(generic)
     )
     return F.coalesce(decided, F.lit(False))
 
 
+def _says(verdict: str, confidence: str, reason: str) -> Column:
+    return F.struct(F.lit(verdict).alias("verdict"), F.lit(confidence).alias("confidence"), F.lit(reason).alias("reason"))
+
+
 def judge_name(name: Column) -> Column:
-    """Verdict and confidence of a name, by the first rule that applies."""
+    """(verdict, confidence, reason) of a name, by the first rule that applies."""
     bare = F.trim(F.coalesce(name, F.lit("")))
+    long = F.length(bare) > LONG
+    prose = [(CLAUSE, "clause"), (CUT_SHORT, "cut short"), (INFINITIVE, "cut at an infinitive"), (ARTICLE, "begins with an article")]
+    found = F.when(bare == "", _says("drop", "high", "empty")).when(bare.rlike(FORMULA), _says("drop", "high", "formula"))
+    for pattern, reason in prose:
+        found = found.when(long & bare.rlike(pattern), _says("drop", "high", reason))
+    found = found.when(bare.rlike(CITATION), _says("review", "medium", "citation")).when(F.length(bare) > TOO_LONG, _says("review", "low", "too long"))
+    return found.otherwise(_says("keep", "high", "a name"))
 
-    def says(verdict: str, confidence: str) -> Column:
-        return F.struct(F.lit(verdict).alias("verdict"), F.lit(confidence).alias("confidence"))
 
-    long = F.length(bare) > LONG
-    prose = bare.rlike(CLAUSE) | bare.rlike(CUT_SHORT) | bare.rlike(INFINITIVE) | bare.rlike(ARTICLE)
-    return (
-        F.when((bare == "") | bare.rlike(FORMULA) | (long & prose), says("drop", "high"))
-        .when(bare.rlike(CITATION), says("review", "medium"))
-        .when(F.length(bare) > TOO_LONG, says("review", "low"))
-        .otherwise(says("keep", "high"))
-    )
+def judge_connectivity(degree: Column) -> Column:
+    return F.when(degree == 0, _says("review", "medium", "no edges")).otherwise(_says("keep", "high", "connected"))
 
 
 def bare_name(name: Column) -> Column:
     return F.trim(F.regexp_replace(name, DETERMINERS, ""))
 
 
-def judge_pair(a: Column, b: Column, kind: Column) -> Column:
-    """Whether two co-mentioned names are one thing: ``merge`` on names equal but for a determiner or passing the guard,
-    ``review`` where one begins with the other, else ``keep``."""
-    x, y = F.lower(F.trim(a)), F.lower(F.trim(b))
-
-    def says(verdict: str, confidence: str) -> Column:
-        return F.struct(F.lit(verdict).alias("verdict"), F.lit(confidence).alias("confidence"))
-
+def judge_pair(a: Column, b: Column, kind: Column, other: Column | None = None) -> Column:
+    """(verdict, confidence, reason) for two co-mentioned names, both without their leading determiner: ``merge`` where they
+    are equal or pass the guard, ``review`` where one begins with the other, else ``keep``."""
+    x, y = bare_name(a), bare_name(b)
+    low_x, low_y = F.lower(x), F.lower(y)
     return (
-        F.when(F.lower(bare_name(x)) == F.lower(bare_name(y)), says("merge", "high"))
-        .when(may_merge(a, b, kind), says("merge", "medium"))
-        .when(x.startswith(y) | y.startswith(x), says("review", "low"))
-        .otherwise(says("keep", "high"))
+        F.when(low_x == low_y, _says("merge", "high", "equal but for a determiner"))
+        .when(may_merge(x, y, kind, other), _says("merge", "medium", "generic words only"))
+        .when(low_x.startswith(low_y) | low_y.startswith(low_x), _says("review", "low", "one extends the other"))
+        .otherwise(_says("keep", "high", "distinct"))
     )
 
 

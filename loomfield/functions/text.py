@@ -48,13 +48,15 @@ def normalise_name(name: Column) -> Column:
 
 
 def entity_type(kind: Column) -> Column:
-    bare = F.trim(F.coalesce(kind, F.lit("")))
-    return F.when(bare == "paper_reference", "paper").when(bare == "", "concept").otherwise(kind)
+    """Trimmed, in lower case; references to papers are papers, nothing is a concept."""
+    bare = F.lower(F.trim(F.coalesce(kind, F.lit(""))))
+    return F.when(bare == "paper_reference", "paper").when(bare == "", "concept").otherwise(bare)
 
 
 def edge_type(predicate: Column) -> Column:
     """Identifiers stay as they are; prose takes the first matching keyword, else ``uses``."""
-    return F.when(predicate.rlike("^[a-z][a-z0-9_]*$"), predicate).otherwise(ladder(F.lower(predicate), EDGE_TYPES, F.lit("uses")))
+    bare = F.trim(F.coalesce(predicate, F.lit("")))
+    return F.when(bare.rlike("^[a-z][a-z0-9_]*$"), bare).otherwise(ladder(F.lower(bare), EDGE_TYPES, F.lit("uses")))
 
 
 def role(kind: Column, incoming: Column | None = None) -> Column:
@@ -66,6 +68,12 @@ def role(kind: Column, incoming: Column | None = None) -> Column:
     return F.when(incoming, swapped).otherwise(out)
 
 
+def inverted(phrase: Column) -> Column:
+    """A phrase seen from its other end, underscores as spaces: ``improves`` becomes ``improved by``, others gain ``by``."""
+    spaced = F.lower(F.regexp_replace(F.coalesce(phrase, F.lit("")), "_", " "))
+    return F.when(spaced.endswith("s"), F.regexp_replace(spaced, "e?s$", "ed by")).otherwise(F.concat(spaced, F.lit(" by")))
+
+
 def section_of(text: Column, position: Column, total: Column) -> Column:
     """Section of a chunk by keywords in its first 500 characters, else by its place in the document."""
     head = F.lower(F.substring(text, 1, 500))

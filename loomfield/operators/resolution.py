@@ -20,14 +20,15 @@ def resolve(mentions: DataFrame, nodes: DataFrame, near: DataFrame) -> DataFrame
     """(mention_id, node_id, how): by exact name first, else the most similar candidate above SIMILAR that may be merged.
 
     ``mentions``: (mention_id, name, type); ``nodes``: (id, name, type); ``near``: (mention_id, id, score) candidates.
-    Candidates are of the mention's type unless either side is a paper. Mentions without a match have a null node.
+    Candidates are of the mention's type unless either side is a paper; the guard then refuses papers. Mentions without a
+    match have a null node.
     """
     keyed = mentions.withColumn("key", normalise_name(F.col("name")))
     exact = nodes.groupBy(normalise_name(F.col("name")).alias("key")).agg(F.min("id").alias("exact_id"))
     named = nodes.select("id", F.col("name").alias("node_name"), F.col("type").alias("node_type"))
     pairs = near.where(F.col("score") > SIMILAR).join(named, "id").join(mentions, "mention_id")
     alike = (F.col("type") == F.col("node_type")) | (F.col("type") == "paper") | (F.col("node_type") == "paper")
-    fit = pairs.where(alike & may_merge(F.col("name"), F.col("node_name"), F.col("node_type")))
+    fit = pairs.where(alike & may_merge(F.col("name"), F.col("node_name"), F.col("type"), F.col("node_type")))
     best = fit.groupBy("mention_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "id"))["id"].alias("near_id"))
     found = keyed.join(exact, "key", "left").join(best, "mention_id", "left")
     how = F.when(F.col("exact_id").isNotNull(), "exact").when(F.col("near_id").isNotNull(), "similar").otherwise("new")

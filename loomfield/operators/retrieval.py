@@ -2,66 +2,152 @@
 
 from __future__ import annotations
 
-import re
+from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomfield.functions.vectors import cosine
+from loomfield.functions import words
+from loomfield.sources.tables import staged
 
 #: Fused score of a rank: weight / (FUSE + rank).
 FUSE = 60
 #: BM25 term saturation and length normalisation.
 K1, B = 1.2, 0.75
 #: Questions compared with all rows in one pass.
-BLOCK = 64
-
-
-def nearest(questions: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+BLOCK = 1024
+#: Decimals of a cosine that count: equal vectors tie however their products were rounded.
+DECIMALS = 12
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one width as the rows of a matrix, each of length one (zero vectors stay zero)."""
+    if len(column) == 0:
+        return np.zeros((0, 0))
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    widths = set(pc.list_value_length(column).to_pylist())
+    if len(widths) != 1:
+        raise ValueError(f"vectors of unequal widths: {sorted(widths)}")
+    m = flat.reshape(len(column), -1)
+    length = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
+
+
+def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int):
+    """The ``k`` rows of greatest score for each query, ties by id."""
+    order = np.lexsort((ids, -score, query))
+    query, ids, score = query[order], ids[order], score[order]
+    head = np.concatenate([[True], query[1:] != query[:-1]]) if len(query) else np.zeros(0, bool)
+    start = np.maximum.accumulate(np.where(head, np.arange(len(query)), 0)) if len(query) else np.zeros(0, np.int64)
+    keep = np.arange(len(query)) - start < k
+    return query[keep], ids[keep], score[keep]
+
+
+def nearest(questions: DataFrame, rows: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """(query_id, id, score, rank): the ``k`` rows of greatest cosine for each question; ties by id.
 
-    ``questions``: (query_id, vector), a stated set held in blocks of BLOCK; ``rows``: (id, vector). Each block is one
-    array literal beside the scan, and each task keeps its best ``k`` before anything is shuffled.
+    ``questions``: (query_id, vector), a stated set; ``rows``: (id, vector). Questions go out in blocks of about
+    ``block`` vectors, of which one is on the driver at a time; a task multiplies matrices and keeps its best ``k``, so
+    only those are shuffled. Null vectors are left out on both sides, zero vectors are similar to nothing (0), and
+    unequal widths raise.
     """
-    asked = [(r["query_id"], [float(x) for x in r["vector"]]) for r in questions.select("query_id", "vector").toLocalIterator()]
-    schema = "query_id string, vector array<double>"
-    found = None
-    for at in range(0, len(asked), BLOCK):
-        block = F.from_json(F.lit(_json(asked[at : at + BLOCK])), f"array<struct<{schema.replace(' ', ':').replace(',:', ',')}>>")
-        scored = rows.select(F.col("id"), F.col("vector"), F.explode(block).alias("q"))
-        scored = scored.select(F.col("q.query_id").alias("query_id"), "id", cosine(F.col("vector"), F.col("q.vector")).alias("score"))
-        found = scored if found is None else found.unionByName(scored)
-    if found is None:
-        found = rows.sparkSession.createDataFrame([], "query_id string, id string, score double")
+    spark, kind = rows.sparkSession, rows.schema["id"].dataType.simpleString()
+    asked = staged(questions.where("vector is not null").select(F.col("query_id").cast("string").alias("query_id"), F.col("vector").cast("array<double>").alias("vector")), "questions")
+    blocks = -(-asked.count() // block)
+    rows = rows.where("vector is not null").select("id", F.col("vector").cast("array<double>").alias("vector"))
+    schema = f"query_id string, id {kind}, score double"
+
+    def scan(names: list[str], sent):
+        def run(batches):
+            found = None
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                score = np.round(sent.value @ _matrix(b.column(1)).T, DECIMALS)
+                ids = np.asarray(b.column(0).to_pylist())
+                least = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(score), -np.inf)
+                query, at = np.nonzero(score >= least[:, None])
+                new = query, ids[at], score[query, at]
+                found = _best(*(new if found is None else (np.concatenate(x) for x in zip(found, new, strict=True))), k)
+            if found is not None:
+                query, ids, score = found
+                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in query], pa.string()), pa.array(ids.tolist(), _arrow(kind)), pa.array(score)], names=["query_id", "id", "score"])
+
+        return rows.mapInArrow(run, schema)
+
+    parts = []
+    for i in range(blocks):
+        held = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toArrow()  # one block
+        if held.num_rows:
+            sent = spark.sparkContext.broadcast(_matrix(held.column(1).combine_chunks()))
+            part = scan(held.column(0).to_pylist(), sent)
+            parts.append(part if blocks == 1 else staged(part, "nearest"))
+    found = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _json(asked) -> str:
-    import json
+def _arrow(kind: str) -> pa.DataType:
+    return {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}[kind]
+
+
+def lexical_index(docs: DataFrame, id_column: str, text_column: str, stemmed: bool = False, only: frozenset | None = None) -> DataFrame:
+    """Inverted index (id, term, tf, length), one text a row, made without a shuffle.
+
+    Terms are lower-case runs of letters and digits; ``stemmed`` leaves out stop words and strips suffixes. ``only``
+    keeps just these terms: a search never moves the others.
+    """
+    kind, split = docs.schema[id_column].dataType.simpleString(), words.terms if stemmed else words.words
 
-    return json.dumps([{"query_id": str(q), "vector": v} for q, v in asked])
+    def run(batches):
+        for b in batches:
+            ids, terms, tf, length = [], [], [], []
+            for own, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                listed = split(text)
+                counts = Counter(listed)
+                for t in counts if only is None else counts.keys() & only:
+                    ids.append(own), terms.append(t), tf.append(counts[t]), length.append(len(listed))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(0).type), pa.array(terms, pa.string()), pa.array(tf, pa.int64()), pa.array(length, pa.int64())], names=["id", "term", "tf", "length"])
 
+    return docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, f"id {kind}, term string, tf bigint, length bigint")
 
-def lexical_index(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """Inverted index (id, term, tf, length): lower-case runs of letters and digits."""
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(text_column), F.lit(""))), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
-    listed = docs.select(F.col(id_column).alias("id"), words.alias("words"))
-    terms = listed.select("id", F.size("words").alias("length"), F.explode("words").alias("term"))
-    return terms.groupBy("id", "term", "length").agg(F.count("*").alias("tf"))
 
+def text_sizes(docs: DataFrame, text_column: str, stemmed: bool = False) -> tuple[int, float]:
+    """Texts with a term, and their mean number of terms."""
+    split = words.terms if stemmed else words.words
 
-def lexical(index: DataFrame, question: str, n_docs: int, mean_length: float) -> DataFrame:
-    """(id, score) of the texts with every word of the question, scored by BM25."""
-    words = sorted(set(w for w in re.split(r"[^\w]+|_", question.lower()) if w))
-    hits = index.where(F.col("term").isin(*words)) if words else index.limit(0)
+    def run(batches):
+        for b in batches:
+            n = [len(split(t)) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([sum(x > 0 for x in n)], pa.int64()), pa.array([sum(n)], pa.int64())], names=["docs", "terms"])
+
+    got = docs.select(F.col(text_column).cast("string").alias("text")).mapInArrow(run, "docs bigint, terms bigint").agg(F.sum("docs").alias("d"), F.sum("terms").alias("t")).first()
+    return int(got["d"] or 0), float(got["t"] or 0) / max(int(got["d"] or 0), 1)
+
+
+def lexical(docs: DataFrame, id_column: str, text_column: str, questions: dict[str, str], stemmed: bool = True) -> DataFrame:
+    """(query_id, id, score) of the texts with every term of a question, scored by BM25; blank questions find nothing.
+
+    ``questions`` is a stated set of id and text. Only their terms leave the scan.
+    """
+    split = words.terms if stemmed else words.words
+    asked = [(q, t, len(set(split(text)))) for q, text in questions.items() for t in sorted(set(split(text)))]
+    spark = docs.sparkSession
+    if not asked:
+        return spark.createDataFrame([], f"query_id string, id {docs.schema[id_column].dataType.simpleString()}, score double")
+    n_docs, mean = text_sizes(docs, text_column, stemmed)
+    hits = staged(lexical_index(docs, id_column, text_column, stemmed, frozenset(t for _, t, _ in asked)), "lexical")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean_length))
-    scored = hits.join(df, "term").groupBy("id").agg(F.sum(idf * tf).alias("score"), F.count("*").alias("found"))
-    return scored.where(F.col("found") == len(words)).drop("found")
+    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / (mean or 1.0)))
+    wanted = F.broadcast(spark.createDataFrame(asked, "query_id string, term string, n int"))  # a stated set
+    scored = hits.join(F.broadcast(df), "term").withColumn("part", idf * tf).join(wanted, "term")  # df: terms of the questions only
+    return scored.groupBy("query_id", "id").agg(F.sum("part").alias("score"), F.count("*").alias("found"), F.first("n").alias("n")).where("found = n").select("query_id", "id", "score")
 
 
 def ranked(scores: DataFrame, signal: str, weight: float) -> DataFrame:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomfield.functions.vectors import cosine, norm
+from loomfield.functions.vectors import norm
 from loomfield.operators import evaluation, retrieval
-from loomfield.sources.tables import table
+from loomfield.sources.tables import staged, table
 
-K = 10
+K, DEPTH = 10, 100
 
 
 def _vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -30,22 +30,26 @@ def vector_norms(spark: SparkSession, sf: str) -> DataFrame:
     return _vectors(spark, sf).select("id", F.round(norm(F.col("vector")), 5).alias("norm"))
 
 
+def _asked(rows: DataFrame) -> DataFrame:
+    return rows.where("id % 20 = 0").select(F.col("id").cast("string").alias("query_id"), "label")
+
+
 def same_label_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    """How well the nearest vectors find those of the query's label."""
+    """How well the nearest vectors find those of the query's label: labels are compared, not listed."""
     rows = _vectors(spark, sf)
-    found = retrieval.nearest(_questions(spark, sf), rows, K)
-    asked = rows.where("id % 20 = 0").select(F.col("id").cast("string").alias("query_id"), "label")
-    gold = asked.join(rows.select("id", "label"), "label").select("query_id", "id")
-    scores = evaluation.ranking_metrics(found, gold, K)
+    found = retrieval.nearest(_questions(spark, sf), rows, K).join(rows.select("id", F.col("label").alias("own")), "id")
+    judged = found.join(_asked(rows), "query_id").select("query_id", "rank", (F.col("own") == F.col("label")).alias("good"))
+    sizes = _asked(rows).join(rows.groupBy("label").agg(F.count("*").alias("wanted")), "label").select("query_id", "wanted")
+    scores = evaluation.judged_metrics(judged, sizes, K)
     return scores.select("query_id", *(F.round(c, 5).alias(c) for c in ("recall", "precision", "reciprocal_rank", "ndcg")))
 
 
 def fused_rankings(spark: SparkSession, sf: str) -> DataFrame:
-    """Nearest vectors, twice as heavy, fused with the vectors of the query's label by id."""
+    """Nearest vectors, twice as heavy, fused with the first DEPTH vectors of the query's label by id."""
     rows = _vectors(spark, sf)
     near = retrieval.nearest(_questions(spark, sf), rows, K)
-    asked = rows.where("id % 20 = 0").select(F.col("id").cast("string").alias("query_id"), "label")
-    alike = asked.join(rows, "label").select("query_id", "id", (-F.col("id").cast("double")).alias("score"))
+    firsts = rows.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy("id"))).where(F.col("place") <= DEPTH)
+    alike = _asked(rows).join(firsts, "label").select("query_id", "id", (-F.col("id").cast("double")).alias("score"))
     lists = retrieval.ranked(near, "vector", 2.0).unionByName(retrieval.ranked(alike, "label", 1.0))
     return retrieval.fuse(lists).select("query_id", "id", F.round("score", 6).alias("score"), F.round("relevance", 6).alias("relevance"), F.array_join("signals", ",").alias("signals"))
 
@@ -65,18 +69,18 @@ def document_index(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lexical_bm25(spark: SparkSession, sf: str) -> DataFrame:
-    index = retrieval.lexical_index(table(spark, sf, "documents"), "doc_id", "text")
-    totals = index.groupBy("id").agg(F.first("length").alias("length")).agg(F.count("*"), F.avg("length")).first()
-    return retrieval.lexical(index, "the and", totals[0], totals[1] or 1.0).select("id", F.round("score", 5).alias("score"))
+    found = retrieval.lexical(table(spark, sf, "documents"), "doc_id", "text", {"q": "the and"}, stemmed=False)
+    return found.select("id", F.round("score", 5).alias("score"))
 
 
 def pairs_of_labels(spark: SparkSession, sf: str) -> DataFrame:
     """Cosine between the mean vectors of labels: the label count bounds the pairs."""
     at = _vectors(spark, sf).select("label", F.posexplode("vector").alias("at", "x")).groupBy("label", "at").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    mean = at.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("v"))
-    other = mean.toDF("other", "w").withColumn("one", F.lit(1))
-    both = mean.withColumn("one", F.lit(1)).join(other, "one").where("label < other")
-    return both.select("label", "other", F.round(cosine(F.col("v"), F.col("w")), 5).alias("score"))
+    mean = staged(at.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("v")), "label-means")
+    asked = mean.select(F.col("label").cast("string").alias("query_id"), F.col("v").alias("vector"))
+    every = retrieval.nearest(asked, mean.select(F.col("label").alias("id"), F.col("v").alias("vector")), mean.count())
+    label = F.col("query_id").cast("int").alias("label")
+    return every.where(F.col("query_id").cast("int") < F.col("id")).select(label, F.col("id").alias("other"), F.round("score", 5).alias("score"))
 
 
 def latency_percentiles(spark: SparkSession, sf: str) -> DataFrame:
@@ -98,7 +102,7 @@ QUERIES = {
       SELECT query_id, round(hits / wanted, 5) AS recall, round(hits / n, 5) AS "precision", round(coalesce(1.0::DOUBLE / first, 0), 5) AS reciprocal_rank,
       round(gain / (SELECT sum(1 / log2(i + 1)) FROM range(1, least(wanted, {K}) + 1) t(i)), 5) AS ndcg FROM hits JOIN sizes USING (query_id)"""),
     "fused_rankings": (fused_rankings, f"""WITH {TOPK_SQL}, {GOLD_SQL}, lists AS (SELECT query_id, 'vector' AS signal, id, rank, 2.0::DOUBLE AS w FROM near UNION ALL
-      SELECT query_id, 'label', id, row_number() OVER (PARTITION BY query_id ORDER BY id), 1 FROM gold), f AS (SELECT query_id, id, sum(w / (60 + rank)) AS score, string_agg(signal, ',' ORDER BY signal) AS signals FROM lists GROUP BY 1, 2)
+      SELECT query_id, 'label', id, row_number() OVER (PARTITION BY query_id ORDER BY id) AS place, 1 FROM gold QUALIFY place <= {DEPTH}), f AS (SELECT query_id, id, sum(w / (60 + rank)) AS score, string_agg(signal, ',' ORDER BY signal) AS signals FROM lists GROUP BY 1, 2)
       SELECT query_id, id, round(score, 6) AS score, round(score / max(score) OVER (PARTITION BY query_id), 6) AS relevance, signals FROM f"""),
     "compressed_evidence": (compressed_evidence, None),
     "document_index": (document_index, f"WITH {WORDS_SQL} SELECT term, count(DISTINCT id) AS df, count(*) AS tf FROM words GROUP BY 1"),

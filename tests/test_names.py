@@ -21,6 +21,9 @@ PAIRS = [
     (None, "BERT", "model", False),
     ("4-layer transformer", "6-layer transformer", "model", False),
     ("BERT 2018 model", "BERT 2018", "model", True),
+    ("3D-GS", "3D Gaussian Splatting", "method", True),
+    ("P.P.R.", "personalized page rank", "method", True),
+    ("x", "xylophone", "concept", False),
 ]
 NAMES = [
     ("dmodel = 512", "drop", "high"),
@@ -48,18 +51,30 @@ def test_merge_guard_is_symmetric(spark):
 def test_judged_names(spark):
     df = spark.createDataFrame([(n,) for n, *_ in NAMES], "name string")
     got = df.select("name", names.judge_name(F.col("name")).alias("j")).collect()
-    assert {r["name"]: tuple(r["j"]) for r in got} == {n: (v, c) for n, v, c in NAMES}
+    assert {r["name"]: tuple(r["j"])[:2] for r in got} == {n: (v, c) for n, v, c in NAMES}
 
 
 @pytest.mark.parametrize(
     "a, b, verdict",
-    [("our input-feeding approach", "input-feeding approach", "merge"), ("Base + reverse", "Base + reverse + dropout", "review"), ("BLEU", "Transformer", "keep")],
+    [("our input-feeding approach", "input-feeding approach", "merge"), ("Base + reverse", "Base + reverse + dropout", "review"), ("BLEU", "Transformer", "keep"), ("our X system", "X", "merge"), ("The X", "x models", "merge")],
 )
 def test_judged_pairs(spark, a, b, verdict):
     df = spark.createDataFrame([(a, b)], "a string, b string")
     row = df.select(names.judge_pair(F.col("a"), F.col("b"), F.lit("method")).alias("j"), names.survivor(F.col("a"), F.col("b")).alias("s")).first()
     assert row["j"]["verdict"] == verdict
-    assert verdict != "merge" or row["s"] == "input-feeding approach"
+    assert not a.endswith("approach") or row["s"] == "input-feeding approach"
+
+
+def test_papers_on_either_side_never_merge(spark):
+    df = spark.createDataFrame([("Helios", "Helios system", "paper", "method"), ("Helios", "Helios system", "method", "paper_reference"), ("Helios", "Helios system", "method", "concept")], "a string, b string, x string, y string")
+    assert [r[0] for r in df.select(names.may_merge(F.col("a"), F.col("b"), F.col("x"), F.col("y"))).collect()] == [False, False, True]
+
+
+def test_types(spark):
+    kinds = spark.createDataFrame([(" Paper_Reference ", " exposes"), ("METHOD", "Outperforms X"), (" ", "belongs_to "), (None, None)], "t string, p string")
+    got = kinds.select(text.entity_type(F.col("t")), text.edge_type(F.col("p")), text.inverted(F.col("p"))).collect()
+    assert [tuple(r)[:2] for r in got] == [("paper", "exposes"), ("method", "improves"), ("concept", "belongs_to"), ("concept", "uses")]
+    assert [r[0] for r in spark.createDataFrame([("extends",), ("improves",), ("belongs_to",), ("evaluates_on",)], "p string").select(text.inverted(F.col("p"))).collect()] == ["extended by", "improved by", "belongs to by", "evaluates on by"]
 
 
 def test_identifiers(spark):
