@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomfield.functions.text import ROLE_ORDER, role
 from loomfield.sources.tables import staged
 
-#: Rounds between two written tables in iterated operators.
-STAGE_EVERY = 5
+#: A side of a join with up to so many counted rows of an id and a number is broadcast; beyond it both sides shuffle.
+SMALL = 500_000
 
 
 def ends(edges: DataFrame, *keep: str) -> DataFrame:
@@ -82,30 +83,37 @@ def personalized_pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame |
     total = start.agg(F.sum("w")).first()[0]
     start = staged(start.select("id", (F.col("w") / F.lit(total or 1.0)).alias("s")), "ppr-seeds")
     idle = start.join(steps.select(F.col("node").alias("id")), "id", "left_anti").agg(F.sum("s")).first()[0] or 0.0
+    small = ids.count() <= SMALL
+    steps = (steps if small else steps.repartition("node")).persist(StorageLevel.MEMORY_AND_DISK)  # its lineage is a written table
     mass, held = start.select("id", F.col("s").alias("mass")), idle
-    for turn in range(1, rounds + 1):
+    for _ in range(rounds):
         given = restart + (1 - restart) * held
-        moved = mass.join(steps, mass["id"] == steps["node"]).select(F.col("peer").alias("id"), (F.col("mass") * F.col("share") * (1 - restart)).alias("mass"))
+        moved = steps.join(F.broadcast(mass) if small else mass, mass["id"] == steps["node"])
+        moved = moved.select(F.col("peer").alias("id"), (F.col("mass") * F.col("share") * (1 - restart)).alias("mass"))
         mass = moved.unionByName(start.select("id", (F.col("s") * given).alias("mass"))).groupBy("id").agg(F.sum("mass").alias("mass"))
-        held = idle * given
-        if turn % STAGE_EVERY == 0 and turn < rounds:
-            mass = staged(mass, "ppr-mass")
+        mass, held = staged(mass, "ppr-mass"), idle * given
+    steps.unpersist()
     return ids.join(mass, "id", "left").fillna(0.0, ["mass"])
 
 
 def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:
     """(id, label): all nodes take the most frequent label among their neighbours at once; ties go to the smallest label.
 
-    Rounds are synchronous so that reruns agree. A node's own label has no vote; isolated nodes keep theirs.
+    Rounds are synchronous so that reruns agree, and end early when no label changes. A node's own label has no vote;
+    isolated nodes keep theirs. A node's votes are summed before its labels meet, so a hub is no task of its own.
     """
-    walk = staged(ends(edges.where("source_id <> target_id")), "lpa-walk")
-    labels = nodes.select("id", F.col("id").alias("label")).distinct()
-    for turn in range(1, rounds + 1):
-        votes = walk.join(labels, walk["peer"] == labels["id"]).groupBy("node", "label").agg(F.count("*").alias("votes"))
+    walk = ends(edges.where("source_id <> target_id")).groupBy("node", "peer").agg(F.count("*").alias("n"))
+    labels = staged(nodes.select("id", F.col("id").alias("label")).distinct(), "lpa-labels")
+    small = labels.count() <= SMALL
+    walk = staged(walk, "lpa-walk").persist(StorageLevel.MEMORY_AND_DISK)  # its lineage is a written table
+    for _ in range(rounds):
+        votes = walk.join(F.broadcast(labels) if small else labels, walk["peer"] == labels["id"]).groupBy("node", "label").agg(F.sum("n").alias("votes"))
         won = votes.groupBy(F.col("node").alias("id")).agg(F.min(F.struct((-F.col("votes")).alias("v"), "label"))["label"].alias("won"))
-        labels = labels.join(won, "id", "left").select("id", F.coalesce("won", "label").alias("label"))
-        if turn % STAGE_EVERY == 0 and turn < rounds:
-            labels = staged(labels, "lpa-labels")
+        new = staged(labels.join(won, "id", "left").select("id", F.coalesce("won", "label").alias("label"), (F.col("won") != F.col("label")).alias("moved")), "lpa-labels")
+        labels = new.select("id", "label")
+        if new.where("moved").isEmpty():
+            break
+    walk.unpersist()
     return labels
 
 

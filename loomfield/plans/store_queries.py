@@ -36,8 +36,8 @@ def orphan_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def missing_customers(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers without an order."""
-    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers without an urgent order."""
+    orders = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, sf, "customer").join(orders, "c_custkey", "left_anti").select("c_custkey")
 
 
@@ -45,7 +45,7 @@ def drift_report(spark: SparkSession, sf: str) -> DataFrame:
     """Edges marked with the domain of their target differ from that of their source."""
     at = nodes(spark, sf).select(F.col("id").alias("target_id"), "domain")
     marked = edges(spark, sf).join(at, "target_id")
-    return maintenance.drifted(marked, nodes(spark, sf)).groupBy("type").agg(F.count("*").alias("n"))
+    return maintenance.drifted(marked, nodes(spark, sf)).groupBy("type", "target_id").agg(F.count("*").alias("n"))
 
 
 def upserted_suppliers(spark: SparkSession, sf: str) -> DataFrame:
@@ -111,8 +111,8 @@ QUERIES = {
     "conditional_counts": (conditional_counts, "SELECT o_orderpriority, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS processed FROM orders GROUP BY 1"),
     "null_domain_counts": (null_domain_counts, f"WITH {NODES_SQL} SELECT coalesce(domain, 'atlas') AS domain, count(*) AS n FROM nodes GROUP BY 1"),
     "orphan_edges": (orphan_edges, f"WITH {EDGES_SQL} SELECT id FROM edges WHERE type = 'supplies' AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_returnflag = 'R' AND id = 'supplier#' || l_suppkey || '|supplies|part#' || l_partkey)"),
-    "missing_customers": (missing_customers, "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
-    "drift_report": (drift_report, f"WITH {GRAPH_SQL} SELECT e.type, count(*) AS n FROM edges e JOIN nodes a ON a.id = source_id JOIN nodes b ON b.id = target_id WHERE a.domain IS DISTINCT FROM b.domain GROUP BY 1"),
+    "missing_customers": (missing_customers, "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')"),
+    "drift_report": (drift_report, f"WITH {GRAPH_SQL} SELECT e.type, target_id, count(*) AS n FROM edges e JOIN nodes a ON a.id = source_id JOIN nodes b ON b.id = target_id WHERE a.domain IS DISTINCT FROM b.domain GROUP BY 1, 2"),
     "upserted_suppliers": (upserted_suppliers, "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 99 ELSE s_nationkey END::BIGINT AS s_nationkey FROM supplier"),
     "keep_one_live_job": (keep_one_live_job, f"WITH {JOBS_SQL} SELECT paper_id, id FROM jobs QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY owner IS NULL, created_at, id) = 1"),
     "queue_position": (queue_position, f"WITH {JOBS_SQL} SELECT id, lane, row_number() OVER (PARTITION BY lane ORDER BY created_at, id) AS position FROM jobs WHERE owner IS NULL"),

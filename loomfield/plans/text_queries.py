@@ -10,6 +10,11 @@ from loomfield.operators import ingestion
 from loomfield.sources.tables import table
 
 
+#: Phrases and endings that meet every rule of the ladders.
+PHRASES = [" exposes_", "extends the ", "Improved by ", "presents a ", "is cited in ", "was tested on ", "Compared to ", "written by ", "x ", "fine_tuned on ", "based on ", "beats "]
+ENDINGS = ["", " = x", " et al., 2015", " which is what we want to have in the end here", " as it was written down in a text that ended on the", " set apart here by so many words, one after another, for one long name of things made", " to be led along a very long way so as to predict"]
+
+
 def fnv1a_hash(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", text.fnv1a(F.col("p_name")).alias("hash"))
 
@@ -27,14 +32,22 @@ def sections(spark: SparkSession, sf: str) -> DataFrame:
     return turns.select("conv_id", "turn", text.section_of(F.col("text"), F.col("turn"), F.col("total")).alias("section"))
 
 
+def _phrases(spark: SparkSession, sf: str) -> DataFrame:
+    """A phrase for each part: one of PHRASES, then its name."""
+    return table(spark, sf, "part").select("p_partkey", F.concat(F.get(F.array(*map(F.lit, PHRASES)), (F.col("p_partkey") % len(PHRASES)).cast("int")), "p_name").alias("phrase"))
+
+
 def part_roles(spark: SparkSession, sf: str) -> DataFrame:
-    kinds = table(spark, sf, "part").select("p_type").distinct()
-    return kinds.select("p_type", text.edge_type(F.col("p_type")).alias("edge_type"), text.role(F.col("p_type")).alias("role"), text.slugify(F.col("p_type")).alias("slug"))
+    said = F.col("phrase")
+    return _phrases(spark, sf).select("p_partkey", text.edge_type(said).alias("edge_type"), text.role(said).alias("role"), text.role(said, F.lit(True)).alias("role_in"), text.slugify(said).alias("slug"))
 
 
 def part_names(spark: SparkSession, sf: str) -> DataFrame:
-    says = names.judge_name(F.col("p_name"))
-    return table(spark, sf, "part").select("p_partkey", says["verdict"].alias("verdict"), F.size(names.tokens(F.col("p_name"))).cast("long").alias("n_tokens"))
+    """Names judged after an ending by the part's key: whole, a formula, a citation, a clause, cut short, or too long."""
+    ending = F.get(F.array(*map(F.lit, ENDINGS)), (F.col("p_partkey") % len(ENDINGS)).cast("int"))
+    name = F.concat("p_name", ending)
+    says = names.judge_name(name)
+    return table(spark, sf, "part").select("p_partkey", says["verdict"].alias("verdict"), says["confidence"].alias("confidence"), says["reason"].alias("reason"), F.size(names.tokens(name)).cast("long").alias("n_tokens"))
 
 
 def ilike_search(spark: SparkSession, sf: str) -> DataFrame:
@@ -74,7 +87,16 @@ QUERIES = {
       WHEN regexp_matches(h, 'method|approach|our model') THEN 'methods' WHEN regexp_matches(h, 'experiment|evaluation|results') THEN 'results' WHEN regexp_matches(h, 'conclusion|discussion|future work') THEN 'conclusion'
       WHEN regexp_matches(h, 'reference|bibliography') THEN 'references' WHEN turn / total < 0.2 THEN 'introduction' WHEN turn / total < 0.6 THEN 'methods' WHEN turn / total < 0.85 THEN 'results' ELSE 'conclusion' END AS section
       FROM (SELECT conv_id, turn, left(lower(text), 500) AS h, count(*) OVER (PARTITION BY conv_id) AS total FROM conversations)"""),
-    "part_roles": (part_roles, None),
-    "part_names": (part_names, None),
+    "part_roles": (part_roles, f"""WITH p AS (SELECT p_partkey, ['{"', '".join(PHRASES)}'][p_partkey % {len(PHRASES)} + 1] || p_name AS s FROM part), l AS (SELECT *, trim(s) AS t, lower(s) AS w FROM p),
+      r AS (SELECT *, CASE WHEN s = 'mentions' THEN 'covers' WHEN regexp_matches(w, 'introduc|propos|present|contribut') THEN 'contributes' WHEN regexp_matches(w, 'extend|improv|build|fine_tune|based') THEN 'builds_on'
+        WHEN regexp_matches(w, 'evaluat|achiev|measur|trained_on|tested') THEN 'validated_on' WHEN regexp_matches(w, 'outperform|compar|beat|versus') THEN 'compared_with' WHEN regexp_matches(w, 'use|comput|appl|requir') THEN 'uses' ELSE 'covers' END AS role FROM l)
+      SELECT p_partkey, CASE WHEN regexp_full_match(t, '[a-z][a-z0-9_]*') THEN t WHEN contains(w, 'extend') THEN 'extends' WHEN regexp_matches(w, 'improv|outperform|better than') THEN 'improves' WHEN regexp_matches(w, 'introduc|propos|present') THEN 'introduces'
+        WHEN regexp_matches(w, 'cite|referenc') THEN 'cites' WHEN regexp_matches(w, 'evaluat|benchmark|tested on|trained on') THEN 'evaluates_on' WHEN contains(w, 'compar') THEN 'compares_to' WHEN regexp_matches(w, 'author|written by') THEN 'authored_by' ELSE 'uses' END AS edge_type,
+        role, CASE role WHEN 'contributes' THEN 'builds_on' WHEN 'builds_on' THEN 'contributes' ELSE role END AS role_in, regexp_replace(regexp_replace(lower(t), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM r"""),
+    "part_names": (part_names, f"""WITH p AS (SELECT p_partkey, trim(p_name || ['{"', '".join(ENDINGS)}'][p_partkey % {len(ENDINGS)} + 1]) AS s FROM part),
+      j AS (SELECT *, CASE WHEN contains(s, '=') THEN ['drop', 'high', 'formula'] WHEN length(s) > 45 AND regexp_matches(s, '(?i)\\b(we|which|that|when|where|whose|because|while|although|however|therefore|thus|hence)\\b') THEN ['drop', 'high', 'clause']
+        WHEN length(s) > 45 AND regexp_matches(s, '(?i)\\b(of|in|on|to|for|with|and|or|the|a|an|at|by|from)$') THEN ['drop', 'high', 'cut short'] WHEN length(s) > 45 AND regexp_matches(s, '(?i)\\bto\\s+\\w+$') THEN ['drop', 'high', 'cut at an infinitive']
+        WHEN length(s) > 45 AND regexp_matches(s, '(?i)^(a|an|the)\\s+') THEN ['drop', 'high', 'begins with an article'] WHEN regexp_matches(s, '(?i)\\bet\\s+al\\.?,?\\s*[0-9]{{4}}') THEN ['review', 'medium', 'citation'] WHEN length(s) > 80 THEN ['review', 'low', 'too long'] ELSE ['keep', 'high', 'a name'] END AS v FROM p)
+      SELECT p_partkey, v[1] AS verdict, v[2] AS confidence, v[3] AS reason, len(list_filter(regexp_split_to_array(lower(s), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS n_tokens FROM j"""),
     "ilike_search": (ilike_search, "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%a%' ORDER BY p_name, p_partkey LIMIT 20 OFFSET 10"),
 }

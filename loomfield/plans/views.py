@@ -55,13 +55,13 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select(F.col("url").alias("source_id"), links.alias("target_id")).distinct()
 
 
-NODES_SQL = "nodes AS (" + " UNION ALL ".join(
+NODES_SQL = "nodes AS MATERIALIZED (" + " UNION ALL ".join(
     f"SELECT '{n}#' || {k} AS id, '{n}' AS type, {chr(39) + 'default' + chr(39) if n == 'region' else 'CAST(NULL AS VARCHAR)'} AS domain, {l} AS name FROM {n}" for n, k, l in KINDS
 ) + ")"
-EDGES_SQL = "edges AS (SELECT source_id || '|' || type || '|' || target_id AS id, * FROM (" + " UNION ALL ".join(
+EDGES_SQL = "edges AS MATERIALIZED (SELECT source_id || '|' || type || '|' || target_id AS id, * FROM (" + " UNION ALL ".join(
     f"SELECT '{a}#' || {k} AS source_id, '{b}#' || {r} AS target_id, 'belongs_to' AS type, CAST(1 AS DOUBLE) AS confidence FROM {t}" for t, a, k, b, r in LINKS
 ) + """ UNION ALL SELECT 'supplier#' || l_suppkey, 'part#' || l_partkey, 'supplies',
  CAST((100 * count(*) - CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS BIGINT)) // count(*) AS DOUBLE) / 100
  FROM lineitem GROUP BY l_suppkey, l_partkey))"""
-ENDS_SQL = "walk AS (SELECT source_id AS node, target_id AS peer, confidence AS w FROM edges UNION ALL SELECT target_id, source_id, confidence FROM edges WHERE source_id <> target_id)"
+ENDS_SQL = "walk AS MATERIALIZED (SELECT source_id AS node, target_id AS peer, confidence AS w FROM edges UNION ALL SELECT target_id, source_id, confidence FROM edges WHERE source_id <> target_id)"
 GRAPH_SQL = f"{NODES_SQL}, {EDGES_SQL}, {ENDS_SQL}"

@@ -9,17 +9,21 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of staged tables that this process wrote and has not deleted yet, in the order written.
+_written: list[str] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset and Spark runs in one process, a temporary folder."""
+    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset and Spark runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder shared by driver and executors")
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="loomfield-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(own)
@@ -28,7 +32,39 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder and read again: ends the lineage, and outlives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Written as Parquet to the shared folder and read again: ends the lineage, and outlives lost executors.
+
+    What is staged is deleted by ``forget``, or when the process ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    if not _written:
+        atexit.register(_forget_all, spark)
+    _written.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def mark() -> int:
+    """A point in time to hand to ``forget``."""
+    return len(_written)
+
+
+def forget(spark: SparkSession, since: int = 0, but: int = 0) -> None:
+    """Delete the tables staged after ``since``, the last ``but`` of them excepted; no later plan may read them."""
+    gone = _written[since : len(_written) - but]
+    del _written[since : len(_written) - but]
+    for path in gone:
+        delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _forget_all(spark: SparkSession) -> None:
+    try:
+        forget(spark)
+    except Exception:  # the JVM has gone first; the folder is the caller's to clear
+        pass
