@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomfield.sources.tables import delete, forget, mark, shared_folder, staged  # noqa: F401
+
 #: Separators of words: space and 0x09-0x0D.
 SEPARATORS = " \t\n\x0b\x0c\r"
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -19,34 +16,13 @@ BROADCAST_ROWS = 50_000
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset and Spark runs in one process."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    held = spark.sparkContext.getCheckpointDir()
-    if held:
-        return held.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    root = tempfile.mkdtemp(prefix="loomfield-")
-    atexit.register(shutil.rmtree, root, ignore_errors=True)
-    spark.sparkContext.setCheckpointDir(root)
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it again: cuts lineage, survives lost executors."""
-    path = f"{checkpoint_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return shared_folder(spark)
 
 
 def dropped(df: DataFrame) -> None:
     """Delete the files of a staged table that no later plan reads."""
-    spark = df.sparkSession
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        delete(df.sparkSession, path)
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
