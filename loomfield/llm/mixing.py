@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded, n_words_of, staged
+from .common import bounded, fresh, n_words_of, staged
 
 #: Documents of one seeded sampling group; a source is split into as many groups as its size asks for.
 GROUP_DOCS = 2048
@@ -66,22 +66,23 @@ def mix_sources(docs: DataFrame, weights=(1, 2, 3), max_epochs: int = 3, seed: s
     (columns named like an added one are replaced).
     """
     added = ("size", "source_size", "target", "taken", "whole", "extra")
-    columns = [c for c in docs.columns if c.lower() not in added]
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col("source"), F.md5(F.concat(F.lit(f"{seed}|"), name)).alias("order"), n_words_of(F.col("text")).alias("size"))
-    plan = source_plan(docs.select("source", n_words_of(F.col("text")).alias("size")), weights, max_epochs)
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in added])
+    src, place, groups, group, share, upto, quota = (fresh(docs, x) for x in ("src", "order", "groups", "group", "share", "upto", "quota"))
+    sized = docs.withColumn("size", n_words_of(F.col("text")))
+    plan = source_plan(sized.select("source", "size"), weights, max_epochs)
     plan = plan.select(
-        F.col("source").alias("src"), "source_size", "target", F.ceil(F.col("n_docs") / F.lit(GROUP_DOCS)).cast("long").alias("groups"),
+        F.col("source").alias(src), "source_size", "target", F.ceil(F.col("n_docs") / F.lit(GROUP_DOCS)).cast("long").alias(groups),
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("whole"),
-    ).withColumn("part", F.when(F.col("source_size") > 0, (F.col("target") - F.col("whole") * F.col("source_size")) / F.col("source_size")).otherwise(F.lit(0.0)))
-    row = sized.join(bounded(plan), F.col("source").eqNullSafe(F.col("src")))
-    row = row.withColumn("group", F.pmod(F.conv(F.substring("order", 1, 8), 16, 10).cast("long"), F.col("groups")))
-    group = Window.partitionBy("source", "group")
-    upto = F.sum("size").over(group.orderBy("order", "size").rowsBetween(Window.unboundedPreceding, 0))
-    quota = F.floor(F.sum("size").over(group) * F.col("part") + F.lit(0.5)).cast("long")
-    row = row.withColumn("upto", upto).withColumn("quota", quota)
-    extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("quota") - (F.col("upto") - F.col("size")))).cast("long")
-    return row.withColumn("extra", extra).select("row.*", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra")).alias("taken"), "whole", "extra")
+    ).withColumn(share, F.when(F.col("source_size") > 0, (F.col("target") - F.col("whole") * F.col("source_size")) / F.col("source_size")).otherwise(F.lit(0.0)))
+    row = sized.join(bounded(plan), F.col("source").eqNullSafe(F.col(src)))
+    row = row.withColumn(place, F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
+    row = row.withColumn(group, F.pmod(F.conv(F.substring(place, 1, 8), 16, 10).cast("long"), F.col(groups)))
+    one = Window.partitionBy("source", group)
+    row = row.withColumn(upto, F.sum("size").over(one.orderBy(place, "size").rowsBetween(Window.unboundedPreceding, 0)))
+    row = row.withColumn(quota, F.floor(F.sum("size").over(one) * F.col(share) + F.lit(0.5)).cast("long"))
+    extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col(quota) - (F.col(upto) - F.col("size")))).cast("long")
+    row = row.withColumn("extra", extra).withColumn("taken", F.col("whole") * F.col("size") + F.col("extra"))
+    return row.select(*[F.col(f"`{c}`") for c in docs.columns], *added)
 
 
 def op10_mix_sources(spark, sf_dir: str) -> DataFrame:
