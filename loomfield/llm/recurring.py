@@ -15,9 +15,9 @@ from . import ragged
 from .common import staged
 
 #: Keys that one task compares at once.
-PART_KEYS = 1_000_000
+PART_KEYS = 2_000_000
 #: Keys that are dealt out as one chunk; a text with more is a chunk of its own.
-CHUNK_KEYS = 400_000
+CHUNK_KEYS = 1_000_000
 SCHEMA = "part int, chunk binary, body binary"
 
 
@@ -38,29 +38,38 @@ def recurring(docs: DataFrame, keys_of: Callable, parts: int, more: str | None =
     flag for each key or None, the number of keys of each text and, if ``more`` is "wide", 32 further bits of each
     key. With flags only flagged keys are looked up, among all keys: the flagged ones are the index, all are probes.
 
-    A batch's keys are dealt out by value as one packed array for each part, four bytes a key (the upper bits choose
-    the part) or twelve if wide; a directory row keeps which part each key went to, so answers need indices only.
-    No task gets more than the keys of one part, of PART_KEYS or so: equal keys beyond that are so many copies of
-    one key, which an array of them takes in its stride.
+    A chunk sends each of its keys once, dealt out by value as one packed array for each part, four bytes a key (the
+    upper bits choose the part) or twelve if wide. What a chunk holds twice is a hit at once and only needs to be seen by
+    others, so copies of one key, however many, reach a part once for each chunk that has them. A directory row keeps
+    where the keys stood, so answers need indices only. Work and rows of a chunk are bounded by its keys, whatever the
+    number of parts, and no task gets more than the keys of one part, of PART_KEYS or so.
     """
     wide = more == "wide"
-    kind = np.uint8 if 2 * parts <= 256 else np.uint32
 
     def dealt_out(text_keys, keys, flag, counts, extra):
-        cell = ((keys >> np.uint64(32)) % np.uint64(parts)).astype(kind) * kind(2)
-        if flag is not None:
-            cell += ~flag
+        order = np.lexsort((extra, keys)) if wide else np.argsort(keys)
+        same = keys[order][1:] == keys[order][:-1]
+        if wide:
+            same &= extra[order][1:] == extra[order][:-1]
+        head = np.flatnonzero(np.concatenate([[True], ~same]))
+        alone = np.diff(np.append(head, len(order))) == 1
+        flagged = np.ones(len(keys), bool) if flag is None else flag
+        again = order[np.repeat(~alone, np.diff(np.append(head, len(order))))]
+        again = again[flagged[again]].astype(np.uint32)  # hits within the chunk
+        one = order[head]
+        asks = alone & flagged[one]
+        part = ((keys[one] >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+        by_part = np.argsort(part * 2 + ~asks, kind="stable")
+        one, part, asks = one[by_part], part[by_part], asks[by_part]
+        some, edge = np.unique(part, return_index=True)
+        edge, asked = np.append(edge, len(part)), np.concatenate([[0], np.cumsum(asks)])
+        low = keys[one] if wide else (keys[one] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         chunk = hashlib.md5(b"".join(text_keys)).digest()
-        order = np.argsort(cell, kind="stable")
-        low = keys[order] if wide else (keys[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        edge = np.searchsorted(cell[order], np.arange(2 * parts + 1))
-        part, body = [], []
-        for p in np.flatnonzero(edge[2::2] > edge[:-2:2]).tolist():
-            lo, mid, hi = edge[2 * p], edge[2 * p + 1], edge[2 * p + 2]
-            part.append(p)
-            body.append(np.int64(mid - lo).tobytes() + low[lo:hi].tobytes() + (extra[order[lo:hi]].tobytes() if wide else b""))
-        part.append(parts + int.from_bytes(chunk[:4], "little") % parts)
-        body.append(pickle.dumps((text_keys, counts.astype(np.uint32), cell)))
+        body = []
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            body.append(np.int64(asked[hi] - asked[lo]).tobytes() + low[lo:hi].tobytes() + (extra[one[lo:hi]].tobytes() if wide else b""))
+        body.append(pickle.dumps((text_keys, counts.astype(np.uint32), again, some.astype(np.int32), asked[edge[:-1]].astype(np.int64), one[asks].astype(np.uint32))))
+        part = [*some.tolist(), parts + int.from_bytes(chunk[:4], "little") % parts]
         return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([chunk] * len(part), pa.binary()), pa.array(body, pa.binary())], names=["part", "chunk", "body"])
 
     def deal(batches):
@@ -135,12 +144,12 @@ def recurring(docs: DataFrame, keys_of: Callable, parts: int, more: str | None =
         chunk = held = None
 
         def found():
-            text_keys, counts, cells, hits = held
+            text_keys, counts, some, edge, place, hits = held
             off = np.concatenate([[0], np.cumsum(counts.astype(np.int64))])
-            at = np.sort(np.concatenate(hits)) if hits else np.zeros(0, np.int64)
-            edge = np.searchsorted(at, off)
-            some = np.flatnonzero(edge[1:] > edge[:-1])
-            return pa.RecordBatch.from_arrays([pa.array([text_keys[i] for i in some], pa.binary()), pa.array([(at[edge[i] : edge[i + 1]] - off[i]).astype(np.uint32).tobytes() for i in some], pa.binary())], names=["key", "hits"])
+            at = np.sort(np.concatenate(hits)).astype(np.int64)
+            bound = np.searchsorted(at, off)
+            texts = np.flatnonzero(bound[1:] > bound[:-1])
+            return pa.RecordBatch.from_arrays([pa.array([text_keys[i] for i in texts], pa.binary()), pa.array([(at[bound[i] : bound[i + 1]] - off[i]).astype(np.uint32).tobytes() for i in texts], pa.binary())], names=["key", "hits"])
 
         for b in batches:
             for p, c, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
@@ -148,12 +157,11 @@ def recurring(docs: DataFrame, keys_of: Callable, parts: int, more: str | None =
                     if c != chunk:
                         if held:
                             yield found()
-                        text_keys, counts, cells = pickle.loads(x.as_py())
-                        held, chunk = (text_keys, counts, cells, []), c
-                        order = np.argsort(cells, kind="stable")
-                        edge = np.searchsorted(cells[order], np.arange(2 * parts + 1))
+                        text_keys, counts, again, some, edge, place = pickle.loads(x.as_py())
+                        held, chunk = (text_keys, counts, some, edge, place, [again]), c
                 else:
-                    held[3].append(order[edge[2 * p] + np.frombuffer(x.as_py(), np.uint32)])
+                    _, _, some, edge, place, hits = held
+                    hits.append(place[edge[np.searchsorted(some, p)] + np.frombuffer(x.as_py(), np.uint32)])
         if held:
             yield found()
 
