@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import ragged
-from .common import staged
+from .common import bounded, staged
 from .components import components
 
 SHINGLE, SEED, BITS, REACH = 4, 42, 64, 4
@@ -53,7 +53,11 @@ def fingerprints_of(column: pa.Array) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's 64 bits as a long. Null and blank texts have fingerprint 0."""
+    """(doc_id, fp) for every row: fp is the fingerprint's 64 bits as a long, whole texts however long.
+
+    Defined results: null and blank texts have fingerprint 0; repeated rows and ids (null ones too) give a row each; an
+    empty table gives no rows; other columns are ignored.
+    """
 
     def run(batches):
         for b in ragged.pieces(batches):
@@ -224,10 +228,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     fp = staged(fingerprints(docs), "simhash")
     first = staged(fp.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
     root = components(linked(first))
-    named = first.join(root, first["fp"] == root["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    named = staged(named, "simhash-roots")
-    least = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    return fp.join(named.join(least, "root").select("fp", "component_id"), "fp")
+    named = staged(first.join(root, first["fp"] == root["node"], "left").select("fp", "low", "root"), "simhash-roots")
+    # fingerprints without a link are their own component; of the others a component's smallest id is joined back
+    least = named.where("root is not null").groupBy("root").agg(F.min("low").alias("component_id"))
+    joined = named.where("root is not null").join(bounded(staged(least, "simhash-least")), "root").select("fp", "component_id")
+    alone = named.where("root is null").select("fp", F.col("low").alias("component_id"))
+    return fp.join(joined.unionByName(alone), "fp")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
