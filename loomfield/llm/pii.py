@@ -189,6 +189,9 @@ def find(docs: DataFrame) -> DataFrame:
     that words near them or their test speak for; over the other half, isotonic calibration turns scores to shares, and a
     kind's threshold is the lowest score of share PRECISION (kinds with fewer candidates than LEAST share that of all
     kinds). An added span that a base span or an earlier added one overlaps goes.
+
+    Defined results: a null text counts as empty; empty texts and texts without a candidate have no row; repeated texts
+    are one text, found in and learnt from once; an empty table gives no rows; other columns are ignored.
     """
     texts = docs.select(text_key(F.col("text")).alias("blob"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = texts.where(F.col("text").rlike(ANY)).dropDuplicates(["blob"]).withColumn("todo", F.array(*[F.lit(r.kind) for r in RULES]))
