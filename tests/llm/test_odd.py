@@ -178,3 +178,42 @@ def test_fences_hold_where_many_documents_are_poor(spark, poor):
             texts.append((i, lines(words[:72]) + " %", "en", "a"))
     got = quality.judge(spark.createDataFrame(texts, "doc_id bigint, text string, lang string, source string")).collect()
     assert {r["doc_id"] for r in got if r["kept"]} == {i for i in range(400) if i % 100 >= poor}
+
+
+@pytest.mark.parametrize("chunk, part", [(200, 150), (5000, 10**6), (10**6, 100)])
+def test_repeats_over_many_chunks_and_parts(spark, monkeypatch, chunk, part):
+    from loomfield.llm import recurring
+
+    rng = random.Random(9)
+    shared = [" ".join(rng.choices(WORDS, k=50)) for _ in range(5)]
+    texts = [" ".join(rng.choices(WORDS, k=rng.randrange(60))) + " " + rng.choice(shared) + " " + " ".join(rng.choices(WORDS, k=rng.randrange(60))) for _ in range(40)]
+    texts += [texts[0], " ".join(["a"] * 90), " ".join(["b", "c"] * 40), shared[0]]
+    words = [t.split() for t in texts]
+    seen = Counter(tuple(w[i : i + 35]) for w in words for i in range(len(w) - 34))
+    want = {}
+    for d, w in enumerate(words):
+        gone = {j for i in range(len(w) - 34) if seen[tuple(w[i : i + 35])] > 1 for j in range(i, i + 35)}
+        want[d] = len(gone), hashlib.sha256(" ".join(x for j, x in enumerate(w) if j not in gone).encode()).hexdigest()
+    monkeypatch.setattr(recurring, "CHUNK_KEYS", chunk)
+    monkeypatch.setattr(recurring, "PART_KEYS", part)
+    monkeypatch.setattr(anchors.ragged, "PIECE", 400)
+    got = {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in anchors.repeats(docs_of(spark, texts, 4)).collect()}
+    assert got == want
+    raw, masks = byte_repeats(texts, 200)
+    bytes_got = {r["doc_id"]: r["n_removed"] for r in bwt.repeated_bytes(docs_of(spark, texts, 4)).collect()}
+    assert bytes_got == {i: int(m.sum()) for i, m in enumerate(masks)}
+
+
+def test_long_texts_take_the_slow_path_of_repeated_words(spark, monkeypatch):
+    from loomfield.llm import quality
+
+    rng = random.Random(10)
+    texts = [" ".join(rng.choices(WORDS[:40], k=n)) for n in (2, 3, 10, 60, 200, 300)] + ["a a a a", "a b c a b c d"]
+    docs = docs_of(spark, texts)
+    fast = {r["doc_id"]: r["n"] for r in docs.select("doc_id", quality.repeat_words(common.words_of(docs["text"])).alias("n")).collect()}
+    monkeypatch.setattr(quality, "PACKED", 16)
+    slow = {r["doc_id"]: r["n"] for r in docs.select("doc_id", quality.repeat_words(common.words_of(docs["text"])).alias("n")).collect()}
+    for d, t in enumerate(texts):
+        w = t.split()
+        seen = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        assert fast[d] == slow[d] == len({j for i in range(len(w) - 2) if seen[tuple(w[i : i + 3])] > 1 for j in range(i, i + 3)})
