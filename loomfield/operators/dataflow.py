@@ -15,6 +15,9 @@ MAX_CLAIMS = 25
 MAX_FAILURES = 3
 MISCOUNTED = "Interrupted and out of retry attempts"
 TERMINAL = ("completed", "failed")
+#: Seconds of a lease, and how many jobs a lane runs at once.
+LEASE = 120
+WIDTHS = {"ingest": 2, "process": 1, "other": 1}
 LIVE = ("queued", "running", "paused")
 
 
@@ -46,6 +49,33 @@ def claim(jobs: DataFrame, lane: str, width: Column | int = 1) -> DataFrame:
     return jobs.where(F.col("owner").isNull()).withColumn("position", F.row_number().over(order)).where(F.col("position") <= width)
 
 
+def leased(jobs: DataFrame, ids: DataFrame, owner: str, now: Column, seconds: int = LEASE) -> DataFrame:
+    """Jobs after ``owner`` claims those of ``ids`` (id): running, one more claim, a lease of ``seconds``; only queued ones without an
+    owner can be claimed, so of two claims the second takes nothing."""
+    asked = F.coalesce(F.col("__asked") & F.col("owner").isNull() & (F.col("status") == "queued"), F.lit(False))
+    new = {"owner": F.lit(owner), "status": F.lit("running"), "attempts": F.col("attempts") + 1, "lease_expires_at": F.timestamp_add("SECOND", F.lit(seconds), now)}
+    marked = jobs.join(ids.select("id").distinct().withColumn("__asked", F.lit(True)), "id", "left").withColumn("__asked", asked)
+    return marked.select(*[F.when(F.col("__asked"), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in jobs.columns])
+
+
+def heartbeat(jobs: DataFrame, owner: str, now: Column, seconds: int = LEASE) -> DataFrame:
+    """Jobs after their owner shows that it lives: its running jobs' leases start anew."""
+    own = F.coalesce((F.col("owner") == owner) & (F.col("status") == "running"), F.lit(False))
+    return jobs.withColumn("lease_expires_at", F.when(own, F.timestamp_add("SECOND", F.lit(seconds), now)).otherwise(F.col("lease_expires_at")))
+
+
+def swept(jobs: DataFrame, owner: str, now: Column) -> DataFrame:
+    """Jobs after an owner starts again: what it still held, and every expired lease, returns to the queue or fails."""
+    lost = F.coalesce((F.col("owner") == owner) & (F.col("status") == "running"), F.lit(False))
+    return reap(jobs.withColumn("lease_expires_at", F.when(lost, F.timestamp_add("SECOND", F.lit(-1), now)).otherwise(F.col("lease_expires_at"))), now)
+
+
+def chained(finished: DataFrame) -> DataFrame:
+    """The processing job that follows each completed ingest job (id, type, status, paper_id); ids come from the paper, so it is one."""
+    done = finished.where("type = 'ingest' and status = 'completed' and paper_id is not null").select("paper_id").distinct()
+    return done.select(F.concat(F.lit("process-"), F.col("paper_id").cast("string")).alias("id"), F.lit("process").alias("type"), F.lit("queued").alias("status"), "paper_id")
+
+
 def reap(jobs: DataFrame, now: Column) -> DataFrame:
     """Jobs after their leases are checked: expired ones return to the queue, or fail after MAX_CLAIMS claims."""
     lapsed = F.coalesce((F.col("status") == "running") & (F.col("lease_expires_at") < now), F.lit(False))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomfield.domains import DEFAULT, domain_is
+from loomfield.functions.vectors import cosine
 from loomfield.operators import graph, retrieval
 from loomfield.sources.tables import staged
 
@@ -201,3 +202,30 @@ def naive_baseline(store: Store, questions: DataFrame, domain: str = DEFAULT, k:
     props = store.scoped(domain).propositions
     near = retrieval.nearest(questions, props.select("id", "vector"), k)
     return near.join(props.select("id", "text"), "id").groupBy("query_id").agg(F.sum(F.length("text")).alias("chars"))
+
+
+def retrieve_whole(store: Store, questions: DataFrame, domain: str = DEFAULT, options: Options = Options()) -> DataFrame:
+    """(query_id, place, id) by the earlier algorithm, which walks the whole domain for every question: the benchmark's other arm.
+
+    Evidence counts if it names a top node or any node with mass; its relevance is its cosine, weighted by one and fifty
+    times the mass it names. Each question's walk is a walk over all nodes, so this grows with the corpus where
+    ``retrieve`` does not; questions go one after the other.
+    """
+    own = store.scoped(domain)
+    asked = staged(questions.select(F.col("query_id").cast("string").alias("query_id"), "text", "vector").dropDuplicates(["query_id"]), "field-questions")
+    seeds = staged(retrieval.nearest(asked, own.node_vectors, options.seeds).where("score > 0"), "field-seeds")
+    props = staged(own.propositions.select("id", F.array_distinct("node_ids").alias("node_ids"), "text", "vector"), "field-propositions")
+    weight = F.coalesce(F.col("confidence").cast("double"), F.lit(0.5))
+    edges = staged(own.edges.withColumn("confidence", F.when(weight == 0, 0.5).otherwise(weight)), "field-edges")
+    out = None
+    for row in asked.select("query_id").orderBy("query_id").toLocalIterator():
+        q = row["query_id"]
+        mass = graph.personalized_pagerank(own.nodes, edges, seeds.where(F.col("query_id") == q).select("id", F.col("score").alias("weight")), options.restart, options.rounds)
+        named = props.select("id", F.explode("node_ids").alias("node")).join(mass.select(F.col("id").alias("node"), "mass"), "node").groupBy("id").agg(F.sum("mass").alias("mass")).where("mass > 0")
+        # no more candidates can be chosen than fused candidates could: the best by weighted cosine
+        near = named.join(props, "id").join(F.broadcast(asked.where(F.col("query_id") == q).select("query_id", F.col("vector").alias("asked"))))
+        scored = near.withColumn("relevance", cosine(F.col("vector"), F.col("asked")) * (1 + 50 * F.col("mass"))).orderBy(F.desc("relevance"), "id").limit(options.candidates)
+        picked = retrieval.compress(scored.withColumn("cost", F.length("text").cast("double")), options.evidence, options.chars, options.balance)
+        picked = staged(picked, "field-whole")
+        out = picked if out is None else out.unionByName(picked)
+    return out.select("query_id", "place", "id")

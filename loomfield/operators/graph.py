@@ -129,6 +129,25 @@ def communities(nodes: DataFrame, labels: DataFrame, least: int = 3) -> DataFram
     return sizes.join(firsts, "label").select("label", "size", F.array_join(F.transform("first", lambda x: x["name"]), ", ").alias("title"))
 
 
+def community_rows(nodes: DataFrame, labels: DataFrame, propositions: DataFrame, least: int = 3, samples: int = 8, named: int = 12) -> DataFrame:
+    """``communities`` with a summary of the first ``named`` names and up to ``samples`` pieces of evidence that name a member.
+
+    Names and evidence are ranked and cut in windows, so no community is gathered whole; the members stay in ``labels``.
+    ``propositions``: (id, text, node_ids).
+    """
+    big = communities(nodes, labels, least)
+    kept = labels.join(big.select("label"), "label", "left_semi")
+    order = F.row_number().over(Window.partitionBy("label").orderBy("name", "id"))
+    firsts = nodes.select("id", "name").join(kept, "id").withColumn("rank", order).where(F.col("rank") <= named)
+    firsts = firsts.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("rank", "name"))).alias("first"))
+    summary = F.concat(F.lit("Cluster of: "), F.array_join(F.transform("first", lambda x: x["name"]), ", "))
+    said = propositions.select(F.col("id").alias("pid"), "text", F.explode("node_ids").alias("id")).join(kept, "id").select("label", "pid", "text").distinct()
+    said = said.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("pid"))).where(F.col("rank") <= samples)
+    said = said.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("said"))
+    rows = big.join(firsts, "label").join(said, "label", "left")
+    return rows.select("label", "size", "title", summary.alias("summary"), F.coalesce(F.transform("said", lambda x: x["text"]), F.array().cast("array<string>")).alias("evidence"))
+
+
 def neighbours(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
     """The edges of a node from its own view: (direction, role, type, peer_id, peer_name, peer_type)."""
     out = edges.where(F.col("source_id") == node).select(F.lit("out").alias("direction"), "type", F.col("target_id").alias("peer_id"))

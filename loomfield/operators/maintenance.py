@@ -94,6 +94,12 @@ def repaired(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(drifted(edges, nodes).select("id"), "id", "left_anti")
 
 
+def repaired_evidence(propositions: DataFrame, papers: DataFrame) -> DataFrame:
+    """Propositions (paper_id, domain) without those whose domain is not that of their paper (id, domain)."""
+    at = papers.select(F.col("id").alias("paper_id"), F.col("domain").alias("__domain"))
+    return propositions.join(at, "paper_id", "left").where(F.col("domain").eqNullSafe(F.col("__domain")) | F.col("paper_id").isNull()).select(*propositions.columns)
+
+
 def drift_by_title(papers: DataFrame, nodes: DataFrame) -> DataFrame:
     """(title, paper_domain, node_domain, nodes, connected): nodes of papers that sit in another domain, by the first 44 letters of the
     title. ``papers``: (id, title, domain); ``nodes``: (id, paper_id, domain, connected)."""

@@ -32,6 +32,18 @@ def once_each(events: DataFrame, at: str, key: str, late: str = "1 hour") -> Dat
     return events.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
 
 
+def publish(stream: DataFrame, name: str, handlers: list) -> None:
+    """Hand each batch of a stream to all handlers (batch, number) until all is read; a batch that failed comes again whole."""
+    spark = stream.sparkSession
+
+    def put(batch: DataFrame, number: int) -> None:
+        for handler in handlers:
+            handler(batch, number)
+
+    root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    stream.writeStream.option("checkpointLocation", root).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+
+
 def run_to_end(stream: DataFrame, name: str, keys: list[str] | None = None) -> DataFrame:
     """Read all there is, then stop; what the stream put out, as a table in the shared folder.
 

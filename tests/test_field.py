@@ -146,3 +146,12 @@ def test_nearest_in_blocks(spark):
         assert [r[1] for r in sorted((r for r in whole if r[0] == str(q)), key=lambda r: r[3])] == [i for _, i in best]
     with pytest.raises(Exception, match="unequal widths"):
         retrieval.nearest(asked, spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "id bigint, vector array<double>").coalesce(1), 2).collect()
+
+
+def test_the_whole_corpus_arm(spark):
+    store, questions, gold = evalset.corpus(spark, 2)
+    asked = questions.where("query_id in ('single-hop-0', 'hub-1')")
+    got = field.retrieve_whole(store, asked, evalset.DOMAIN, field.Options(rounds=10)).collect()
+    first = {r["query_id"]: r["id"] for r in got if r["place"] == 1}
+    answers = {r["query_id"]: r["id"] for r in gold.collect()}
+    assert set(first) == {"single-hop-0", "hub-1"} and first["single-hop-0"] == answers["single-hop-0"]

@@ -292,3 +292,53 @@ def test_the_api(spark):
     shares = evaluation.shares(spark.createDataFrame([("a", 999), ("b", 1)], "t string, n int")).collect()
     assert {r["t"]: (round(r["share"], 3), r["bar"]) for r in shares} == {"a": (99.9, 100.0), "b": (0.1, 1.5)}
     assert isinstance(field.Options().depth, int)
+
+
+def test_rules_extract_stated_relationships(spark):
+    from loomfield.operators import extraction
+    from loomfield import protocols
+
+    text = "Mip-Splatting improves 3D Gaussian Splatting model by a lot. We like it. Scaffold-GS is evaluated on the Tanks and Temples dataset! nothing uses this"
+    entities, relations = extraction.by_rules(spark.createDataFrame([(1, text), (2, None), (3, "")], "chunk int, text string"))
+    got = [(r["chunk"], r["subject"], r["type"], r["object"]) for r in relations.orderBy("place").collect()]
+    assert got == [(1, "Mip-Splatting", "improves", "3D Gaussian Splatting"), (1, "Scaffold-GS", "evaluates_on", "Tanks and Temples")]
+    assert {(r["mention"], r["type"]) for r in entities.collect()} == {("Mip-Splatting", "concept"), ("3D Gaussian Splatting", "method"), ("Scaffold-GS", "concept"), ("Tanks and Temples", "dataset")}
+    assert "edge_type" in protocols.register_functions(spark)
+    assert tuple(spark.sql("SELECT edge_type('Improved by X'), edge_type(' exposes '), entity_type(' PAPER_REFERENCE'), edge_role('extends'), normalise_name(' A ')").first()) == ("improves", "exposes", "paper", "builds_on", "a")
+
+
+def test_leases(spark):
+    rows = [("a", "queued", None, 0, None), ("b", "running", "w1", 1, "2024-01-01 00:00:00"), ("c", "running", "w2", 25, "2023-01-01 00:00:00"), ("d", "running", "w2", 1, "2024-01-01 02:00:00")]
+    jobs = spark.createDataFrame(rows, "id string, status string, owner string, attempts int, lease string").withColumn("lease_expires_at", F.to_timestamp("lease")).drop("lease")
+    now = F.lit("2024-01-01 01:00:00").cast("timestamp")
+    state = lambda df: {r["id"]: (r["status"], r["owner"], r["attempts"], str(r["lease_expires_at"])[11:]) for r in df.collect()}
+    taken = state(dataflow.leased(jobs, spark.createDataFrame([("a",), ("a",), ("b",)], "id string"), "w3", now))
+    assert taken["a"] == ("running", "w3", 1, "01:02:00") and taken["b"] == ("running", "w1", 1, "00:00:00")
+    assert state(dataflow.heartbeat(jobs, "w1", now))["b"][3] == "01:02:00"
+    assert {k: v[0] for k, v in state(dataflow.reap(jobs, now)).items()} == {"a": "queued", "b": "queued", "c": "failed", "d": "running"}
+    assert {k: v[0] for k, v in state(dataflow.swept(jobs, "w2", now)).items()} == {"a": "queued", "b": "queued", "c": "failed", "d": "queued"}
+    done = spark.createDataFrame([("i1", "ingest", "completed", "p1"), ("i2", "ingest", "completed", "p1"), ("i3", "ingest", "failed", "p2")], "id string, type string, status string, paper_id string")
+    assert [tuple(r) for r in dataflow.chained(done).collect()] == [("process-p1", "process", "queued", "p1")]
+
+
+def test_community_rows_and_evidence_repair(spark):
+    from loomfield.operators import graph
+
+    nodes = spark.createDataFrame([(f"n{i}", f"name {i}") for i in range(6)], "id string, name string")
+    labels = spark.createDataFrame([(f"n{i}", "x" if i < 4 else "y") for i in range(6)], "id string, label string")
+    props = spark.createDataFrame([(f"p{i:02d}", f"text {i}", ["n0", "n1"]) for i in range(10)] + [("p99", "text", ["n5"])], "id string, text string, node_ids array<string>")
+    got = graph.community_rows(nodes, labels, props).collect()
+    assert [(r["label"], r["size"], r["title"], r["summary"], r["evidence"]) for r in got] == [("x", 4, "name 0, name 1, name 2", "Cluster of: name 0, name 1, name 2, name 3", [f"text {i}" for i in range(8)])]
+    said = spark.createDataFrame([("q1", "p1", "nlp"), ("q2", "p1", None), ("q3", None, None)], "id string, paper_id string, domain string")
+    papers = spark.createDataFrame([("p1", "nlp")], "id string, domain string")
+    assert sorted(r["id"] for r in maintenance.repaired_evidence(said, papers).collect()) == ["q1", "q3"]
+
+
+def test_events_are_published(spark, tmp_path):
+    from loomfield.streaming import events
+
+    spark.createDataFrame([(i,) for i in range(5)], "id int").coalesce(1).write.parquet(f"{tmp_path}/in.parquet")
+    seen = []
+    stream = spark.readStream.schema("id int").parquet(f"{tmp_path}/in.parquet")
+    events.publish(stream, "bus", [lambda df, n: seen.extend(r["id"] for r in df.collect()), lambda df, n: seen.append(-1)])
+    assert sorted(seen) == [-1, 0, 1, 2, 3, 4]
