@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 
 from . import ragged
 from .common import staged
+from .exchange import by_chunk, exchange
 
 #: Keys that one task compares at once.
 PART_KEYS = 2_000_000
 #: Keys that are dealt out as one chunk; a text with more is a chunk of its own.
 CHUNK_KEYS = 1_000_000
-SCHEMA = "part int, chunk binary, body binary"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -42,7 +42,7 @@ def recurring(docs: DataFrame, keys_of: Callable, parts: int, more: str | None =
     upper bits choose the part) or twelve if wide. What a chunk holds twice is a hit at once and only needs to be seen by
     others, so copies of one key, however many, reach a part once for each chunk that has them. A directory row keeps
     where the keys stood, so answers need indices only. Work and rows of a chunk are bounded by its keys, whatever the
-    number of parts, and no task gets more than the keys of one part, of PART_KEYS or so.
+    number of parts, and no task gets more at once than the keys of one part, of PART_KEYS or so.
     """
     wide = more == "wide"
 
@@ -68,9 +68,8 @@ def recurring(docs: DataFrame, keys_of: Callable, parts: int, more: str | None =
         body = []
         for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             body.append(np.int64(asked[hi] - asked[lo]).tobytes() + low[lo:hi].tobytes() + (extra[one[lo:hi]].tobytes() if wide else b""))
-        body.append(pickle.dumps((text_keys, counts.astype(np.uint32), again, some.astype(np.int32), asked[edge[:-1]].astype(np.int64), one[asks].astype(np.uint32))))
-        part = [*some.tolist(), parts + int.from_bytes(chunk[:4], "little") % parts]
-        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([chunk] * len(part), pa.binary()), pa.array(body, pa.binary())], names=["part", "chunk", "body"])
+        memo = pickle.dumps((text_keys, counts.astype(np.uint32), again, some.astype(np.int32), asked[edge[:-1]].astype(np.int64), one[asks].astype(np.uint32)))
+        return chunk, memo, list(zip(some.tolist(), body, strict=True))
 
     def deal(batches):
         text_keys, held, size = [], [], 0
@@ -113,61 +112,18 @@ def recurring(docs: DataFrame, keys_of: Callable, parts: int, more: str | None =
             hit = np.flatnonzero(twice[at : at + f]).astype(np.uint32)
             at += k
             if len(hit):
-                yield part, chunk, hit.tobytes()
-
-    def answer(batches):
-        part, chunks, bodies, out = None, [], [], []
-
-        def flush(rows):
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "chunk", "body"])
-
-        for b in batches:
-            for p, c, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                if p != part:
-                    if bodies:
-                        yield flush(list(compare(part, chunks, bodies)))
-                    part, chunks, bodies = p, [], []
-                if p >= parts:
-                    out.append((-1, c, x.as_py()))
-                    if len(out) >= 16:
-                        yield flush(out)
-                        out = []
-                else:
-                    chunks.append(c)
-                    bodies.append(x.as_py())
-        if bodies:
-            yield flush(list(compare(part, chunks, bodies)))
-        if out:
-            yield flush(out)
-
-    def gather(batches):
-        chunk = held = None
-
-        def found():
-            text_keys, counts, some, edge, place, hits = held
-            off = np.concatenate([[0], np.cumsum(counts.astype(np.int64))])
-            at = np.sort(np.concatenate(hits)).astype(np.int64)
-            bound = np.searchsorted(at, off)
-            texts = np.flatnonzero(bound[1:] > bound[:-1])
-            return pa.RecordBatch.from_arrays([pa.array([text_keys[i] for i in texts], pa.binary()), pa.array([(at[bound[i] : bound[i + 1]] - off[i]).astype(np.uint32).tobytes() for i in texts], pa.binary())], names=["key", "hits"])
-
-        for b in batches:
-            for p, c, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                if p < 0:
-                    if c != chunk:
-                        if held:
-                            yield found()
-                        text_keys, counts, again, some, edge, place = pickle.loads(x.as_py())
-                        held, chunk = (text_keys, counts, some, edge, place, [again]), c
-                else:
-                    _, _, some, edge, place, hits = held
-                    hits.append(place[edge[np.searchsorted(some, p)] + np.frombuffer(x.as_py(), np.uint32)])
-        if held:
-            yield found()
-
-    dealt = docs.mapInArrow(deal, SCHEMA)
-    told = dealt.repartition(max(2, 2 * parts), "part").sortWithinPartitions("part").mapInArrow(answer, SCHEMA)
-    back = told.repartition("chunk").sortWithinPartitions("chunk", "part").mapInArrow(gather, "key binary, hits binary")
+                yield chunk, hit.tobytes()
+
+    def gather(_, memo, answers):
+        text_keys, counts, again, some, edge, place = pickle.loads(memo)
+        hits = [again] + [place[edge[np.searchsorted(some, p)] + np.frombuffer(x, np.uint32)] for p, x in answers]
+        off = np.concatenate([[0], np.cumsum(counts.astype(np.int64))])
+        at = np.unique(np.concatenate(hits)).astype(np.int64)
+        bound = np.searchsorted(at, off)
+        texts = np.flatnonzero(bound[1:] > bound[:-1])
+        return pa.RecordBatch.from_arrays([pa.array([text_keys[i] for i in texts], pa.binary()), pa.array([(at[bound[i] : bound[i + 1]] - off[i]).astype(np.uint32).tobytes() for i in texts], pa.binary())], names=["key", "hits"])
+
+    back = by_chunk(exchange(docs, deal, compare, parts), gather, "key binary, hits binary")
     return staged(back.groupBy("key").agg(F.max("hits").alias("hits")), "recurring")
 
 

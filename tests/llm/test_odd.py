@@ -180,9 +180,11 @@ def test_fences_hold_where_many_documents_are_poor(spark, poor):
     assert {r["doc_id"] for r in got if r["kept"]} == {i for i in range(400) if i % 100 >= poor}
 
 
-@pytest.mark.parametrize("chunk, part", [(200, 150), (5000, 10**6), (10**6, 100)])
-def test_repeats_over_many_chunks_and_parts(spark, monkeypatch, chunk, part):
-    from loomfield.llm import recurring
+@pytest.mark.parametrize("chunk, part, fan", [(200, 150, 8192), (200, 60, 4), (10**6, 100, 3)])
+def test_repeats_over_many_chunks_and_parts(spark, monkeypatch, chunk, part, fan):
+    from loomfield.llm import exchange, recurring
+
+    monkeypatch.setattr(exchange, "FAN", fan)
 
     rng = random.Random(9)
     shared = [" ".join(rng.choices(WORDS, k=50)) for _ in range(5)]
