@@ -155,3 +155,19 @@ def test_the_whole_corpus_arm(spark):
     first = {r["query_id"]: r["id"] for r in got if r["place"] == 1}
     answers = {r["query_id"]: r["id"] for r in gold.collect()}
     assert set(first) == {"single-hop-0", "hub-1"} and first["single-hop-0"] == answers["single-hop-0"]
+
+
+def test_compressed_evidence_by_hand(spark):
+    from loomfield.plans import retrieval_queries
+
+    sf = "/root/testdata/sf0.001"
+    vec = {r["vec_id"]: [float(x) for x in r["embedding"]] for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    got = {}
+    for r in retrieval_queries.compressed_evidence(spark, sf).orderBy("query_id", "place").collect():
+        got.setdefault(r["query_id"], []).append(r["id"])
+    for q in list(got)[:8]:
+        near = sorted(vec, key=lambda i: (-round(cos(vec[int(q)], vec[i]), 12), i))[:50]
+        rel, taken = {i: round(cos(vec[int(q)], vec[i]), 12) for i in near}, []
+        while len(taken) < 5:
+            taken.append(max((i for i in near if i not in taken), key=lambda i: 0.7 * rel[i] - 0.3 * max([0] + [cos(vec[i], vec[t]) for t in taken])))
+        assert got[q] == taken

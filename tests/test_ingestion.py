@@ -1,5 +1,9 @@
+import hashlib
+import re
+
 import pytest
 
+from loomfield.operators import ingestion
 from loomfield.operators.ingestion import chunks, hashed_embedding, split_text
 
 
@@ -35,3 +39,42 @@ def test_sessions_end_after_a_gap(spark):
 
     log = spark.sql("SELECT * FROM VALUES ('a', timestamp'2024-01-01 00:00:00'), ('a', timestamp'2024-01-01 00:20:00'), ('a', timestamp'2024-01-01 02:00:00') AS t(k, at)")
     assert sorted(r["n"] for r in session_counts(log, "at", "k", "30 minutes").collect()) == [1, 2]
+
+
+def chunked(text, size, overlap):
+    """Chunks by a state of one open string, paragraph by paragraph."""
+    raw, cur = [], ""
+    strip = lambda t: t.strip(ingestion.BLANK)
+
+    def close():
+        nonlocal cur
+        if cur:
+            raw.append(strip(cur))
+        cur = ""
+
+    for paragraph in re.split("\n\n+", text or ""):
+        if len(paragraph) > size:
+            close()
+            for word in paragraph.split(" "):
+                if len(cur) + len(word) + 1 > size:
+                    close()
+                cur = f"{cur} {word}" if cur else word
+        elif len(cur) + len(paragraph) + 2 <= size:
+            cur = f"{cur}\n\n{paragraph}" if cur else paragraph
+        else:
+            close()
+            cur = paragraph
+    close()
+    return [c if i == 0 else raw[i - 1][-overlap:] + "\n\n" + c for i, c in enumerate(raw)]
+
+
+def test_chunks_of_all_documents_by_hand(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    got = {}
+    for r in ingestion.chunks(docs, "doc_id", "text").orderBy("doc_id", "chunk_index").collect():
+        got.setdefault(r["doc_id"], []).append((r["chunk"], r["section"], r["content_hash"]))
+    for r in docs.collect():
+        want = chunked(r["text"], ingestion.SIZE, ingestion.OVERLAP)
+        found = got.get(r["doc_id"], [])
+        assert [c for c, _, _ in found] == want
+        assert [h for _, _, h in found] == [hashlib.sha1(f"{s}\0{c}".encode()).hexdigest() for c, s, _ in found]

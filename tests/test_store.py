@@ -342,3 +342,23 @@ def test_events_are_published(spark, tmp_path):
     stream = spark.readStream.schema("id int").parquet(f"{tmp_path}/in.parquet")
     events.publish(stream, "bus", [lambda df, n: seen.extend(r["id"] for r in df.collect()), lambda df, n: seen.append(-1)])
     assert sorted(seen) == [-1, 0, 1, 2, 3, 4]
+
+
+def test_small_pieces(spark):
+    from loomfield.functions import text, vectors
+
+    state = spark.createDataFrame([(1, "a")], "k int, v string")
+    assert sorted(map(tuple, maintenance.insert_new(state, spark.createDataFrame([(1, "z"), (2, "b"), (2, "b")], "k int, v string"), ["k"]).collect())) == [(1, "a"), (2, "b")]
+    chunks = spark.createDataFrame([("p", 0, "x"), ("p", 1, "y")], "paper_id string, chunk_index int, content_hash string")
+    assert [r["chunk_index"] for r in dataflow.unfinished_chunks(chunks, chunks.withColumn("content_hash", F.lit("x"))).collect()] == [1]
+    props = spark.createDataFrame([("P", ["a", "b"])], "paper_id string, node_ids array<string>")
+    held = spark.createDataFrame([("P", "a", "mentions"), ("P", "b", "uses")], "source_id string, target_id string, type string")
+    assert [tuple(r) for r in maintenance.missing_mentions(props, held).collect()] == [("P", "b")]
+    grants = spark.createDataFrame([(["*"], ["read"]), (["nlp"], ["admin"]), ([], None), (None, ["write"])], "d array<string>, s array<string>")
+    got = [tuple(r) for r in grants.select(domains.granted(F.col("d"), F.lit("nlp")), domains.granted(F.col("d"), F.lit("x")), domains.has_scope(F.col("s"), "write")).collect()]
+    assert got == [(True, True, False), (True, False, True), (False, False, False), (False, False, True)]
+    row = spark.range(1).select(text.truncate(F.lit("abcdef"), 4), text.truncate(F.lit("abcd"), 4), text.slugify(F.lit(" A b--C! ")), vectors.poincare_distance(F.array(F.lit(0.0)), F.array(F.lit(0.5)))).first()
+    assert tuple(row)[:3] == ("abc…", "abcd", "a-b-c") and row[3] == pytest.approx(hyperbolic.distances(np.array([0.0]), np.array([0.5])))
+    assert [r["id"] for r in browse.by_type_then_id(spark.createDataFrame([("b", "x"), ("a", "y"), ("a", "x")], "id string, type string")).collect()] == ["a", "b", "a"]
+    feed = spark.createDataFrame([("A", "Mip-Splatting", "uses")], "id string, name string, type string")
+    assert browse.types(feed).first()["type"] == "uses" and browse.datasets(spark.createDataFrame([("e", "m", "d", "evaluates_on", 0.5)], "id string, source_id string, target_id string, type string, confidence double"), spark.createDataFrame([("m", "M", "method"), ("d", "D", "dataset")], "id string, name string, type string")).first()["dataset"] == "D"
