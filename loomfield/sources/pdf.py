@@ -1,0 +1,79 @@
+"""Text of PDF files, by the standard library alone: the strings that page streams show, without fonts or layout."""
+
+from __future__ import annotations
+
+import re
+import time
+import zlib
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomfield.functions.text import clean_text
+
+#: Seconds that one file may take, and bytes that one stream may unpack to.
+DEADLINE, MOST_BYTES = 30.0, 64 << 20
+STREAM = re.compile(rb"<<((?:[^<>]|<[^<]|>[^>]|<<[^<>]*>>)*)>>\s*stream\r?\n(.*?)\r?\nendstream", re.S)
+SHOWN = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]+>|\bT(?:\*|[JjdDm]\b)|\bET\b|['\"]|-?\d+(?:\.\d+)?", re.S)
+ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f", b"\n": b""}
+
+
+def _literal(raw: bytes) -> str:
+    if raw.startswith(b"<"):
+        digits = re.sub(rb"\s", b"", raw[1:-1])
+        data = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+    else:
+        data = re.sub(rb"\\([0-7]{1,3}|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1].isdigit() else ESCAPES.get(m[1], m[1]), raw[1:-1], flags=re.S)
+    return data.decode("utf-16") if data.startswith((b"\xfe\xff", b"\xff\xfe")) else data.decode("latin-1")
+
+
+def text_of(content: bytes | None, deadline: float = DEADLINE) -> tuple[str | None, str | None]:
+    """(text, error) of one file: what its streams show, a line for each move of the pen; streams that are no text say nothing."""
+    if not content or not content.lstrip()[:5] == b"%PDF-":
+        return None, "not a PDF"
+    if b"/Encrypt" in content:
+        return None, "encrypted"
+    end, out = time.monotonic() + deadline, []
+    for head, body in STREAM.findall(content):
+        if time.monotonic() > end:
+            return None, "took too long"
+        if b"FlateDecode" in head:
+            try:
+                body = zlib.decompressobj().decompress(body, MOST_BYTES)
+            except zlib.error:
+                continue
+        elif b"/Filter" in head:
+            continue
+        if b"BT" not in body:
+            continue
+        line: list[str] = []
+        gap = 0.0
+        for token in SHOWN.findall(body):
+            if token[:1] in b"(<":
+                line.append((" " if gap < -200 else "") + _literal(token))
+                gap = 0.0
+            elif token in (b"T*", b"Td", b"TD", b"Tm", b"ET", b"'", b'"'):
+                out.append("".join(line))
+                line = []
+            elif token not in (b"Tj", b"TJ"):
+                gap = float(token)
+        out.append("".join(line))
+    text = "\n".join(x for x in out if x.strip())
+    return (text, None) if text else (None, "no text")
+
+
+def read(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, text, error) of the PDF files of a folder, read as binary files, their text cleaned; a file that fails has its error."""
+    return texts(spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(folder).select("path", "content"))
+
+
+def texts(files: DataFrame) -> DataFrame:
+    """(path, text, error) of (path, content)."""
+
+    def run(batches):
+        for b in batches:
+            got = [text_of(c.as_py()) for c in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.string())], names=["path", "text", "error"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, text string, error string").withColumn("text", clean_text(F.col("text")))

@@ -362,3 +362,23 @@ def test_small_pieces(spark):
     assert [r["id"] for r in browse.by_type_then_id(spark.createDataFrame([("b", "x"), ("a", "y"), ("a", "x")], "id string, type string")).collect()] == ["a", "b", "a"]
     feed = spark.createDataFrame([("A", "Mip-Splatting", "uses")], "id string, name string, type string")
     assert browse.types(feed).first()["type"] == "uses" and browse.datasets(spark.createDataFrame([("e", "m", "d", "evaluates_on", 0.5)], "id string, source_id string, target_id string, type string, confidence double"), spark.createDataFrame([("m", "M", "method"), ("d", "D", "dataset")], "id string, name string, type string")).first()["dataset"] == "D"
+
+
+def test_pdf_files(spark, tmp_path):
+    import zlib
+
+    from loomfield.sources import pdf
+
+    shown = b"BT /F1 12 Tf 72 700 Td (Hello \\(PDF\\) w) Tj T* [(or) -20 (ld) -300 (again)] TJ 0 -14 Td <48692E> Tj ET"
+    packed = zlib.compress(shown)
+    stream = lambda head, body: b"1 0 obj\n<< " + head + b" /Length %d >>\nstream\n" % len(body) + body + b"\nendstream\nendobj\n"
+    files = {
+        "a.pdf": b"%PDF-1.4\n" + stream(b"/Filter /FlateDecode", packed) + stream(b"/Filter /DCTDecode", b"\xff\xd8(BT no) Tj"), "b.pdf": b"%PDF-1.4\n" + stream(b"", shown),
+        "c.pdf": b"plain", "d.pdf": b"%PDF-1.4\n/Encrypt", "e.pdf": b"%PDF-1.4\n" + stream(b"/Filter /FlateDecode", b"broken"), "f.txt": b"%PDF-",
+    }
+    for name, body in files.items():
+        (tmp_path / name).write_bytes(body)
+    got = {r["path"].rsplit("/", 1)[1]: (r["text"], r["error"]) for r in pdf.read(spark, str(tmp_path)).collect()}
+    words = ("Hello (PDF) w\norld again\nHi.", None)
+    assert got == {"a.pdf": words, "b.pdf": words, "c.pdf": (None, "not a PDF"), "d.pdf": (None, "encrypted"), "e.pdf": (None, "no text")}
+    assert pdf.text_of(files["b.pdf"], -1)[1] == "took too long"
