@@ -18,7 +18,7 @@ LENGTH = 200
 #: Bytes of the strings that choose which texts are compared; every LENGTH bytes hold LENGTH - SAMPLE + 1 of them.
 SAMPLE = 96
 #: Bytes of segments in one transform, and of one sample's distinct segments beyond which longer samples split them.
-BATCH, GROUP_BYTES = 1 << 20, 1 << 17
+BATCH, GROUP_BYTES = 1 << 18, 1 << 17
 #: Windows after which a segment of text that repeats itself ends at its next period; bytes of segments held at once.
 LONGEST, HELD = 4096, 1 << 22
 
