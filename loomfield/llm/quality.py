@@ -154,15 +154,19 @@ def judge(docs: DataFrame) -> DataFrame:
     groups of their own; groups that the sketches lack (only short texts) keep what the base rules keep; repeated
     rows are judged alike; an empty table gives no rows; columns named like an added one are replaced.
     """
-    made = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"}
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in made])
-    return _judged(staged(features(docs), "quality"))
+    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *[f"m_{m}" for m in METRICS]]
+    held = _held(docs, [c for c in docs.columns if c.lower() not in made])
+    return _judged(staged(features(held).drop("text"), "quality")).select("row.*", *made)
+
+
+def _held(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """What the rules read, and the row in one column, so that its names cannot clash."""
+    return docs.select("text", "lang", "source", F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` that ``judge`` keeps, with their own columns only, whatever their names."""
-    held = docs.select("text", "lang", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
-    return _judged(staged(features(held).drop("text"), "quality")).where("kept").select("__row.*")
+    return _judged(staged(features(_held(docs, docs.columns)).drop("text"), "quality")).where("kept").select("row.*")
 
 
 def _judged(feats: DataFrame) -> DataFrame:

@@ -87,6 +87,12 @@ def test_columns_may_have_any_name(spark):
     assert {r["text"] for r in pii.redact(docs).collect()} == {t.replace("a.b@c.org", "[EMAIL]") if t else t for t in (r[1] for r in data)}
     for out in (pii.redact(docs), decontamination.keep_clean(docs, items), simhash.keep_first(docs)):
         assert out.columns == docs.columns and {r["own"] for r in out.collect()} == {"x"}
+    from loomfield.llm import quality
+
+    named = docs.withColumns({c: docs["own"] for c in ("lang", "__words", "__lang", "hi_symbols", "m_symbols", "kept")})
+    judged = quality.judge(named)
+    assert [c for c in judged.columns if c in named.columns] == [c for c in named.columns if c not in ("m_symbols", "kept")] + ["kept", "m_symbols"] and judged.count() == 10
+    assert quality.keep_good(named).columns == named.columns
     mixed = mixing.mix_sources(docs)
     assert mixed.columns[: len(docs.columns) - 1] == [c for c in docs.columns if c != "size"] and mixed.count() == 10
 
