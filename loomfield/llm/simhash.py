@@ -249,7 +249,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     own = F.struct(
         F.coalesce(F.col("doc_id").try_cast("bigint"), F.lit((1 << 63) - 1)).alias("id"), name.alias("name"),
         F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)).alias("text"),
-    )
+    ).cast("struct<id:bigint,name:string,text:binary>")  # as it is read back: the join and the window then share one shuffle
     first = staged(near_duplicates(docs.select(own.alias("doc_id"), "text")).where("doc_id = component_id").select(F.col("doc_id").alias("own")).distinct(), "simhash-kept")
     hashed = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
     held = docs.select(own.alias("own"), hashed.alias("hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(first, "own", "left_semi")
