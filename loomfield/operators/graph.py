@@ -11,6 +11,8 @@ from loomfield.sources.tables import staged
 
 #: A side of a join with up to so many counted rows of an id and a number is broadcast; beyond it both sides shuffle.
 SMALL = 500_000
+#: Rounds of a walk between two written tables.
+STAGE_EVERY = 5
 
 
 def ends(edges: DataFrame, *keep: str) -> DataFrame:
@@ -69,31 +71,33 @@ def personalized_pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame |
     only ever hold what the seeds give them, so their total follows a recurrence on one number, and a round is one
     join and one aggregation.
     """
-    ids = nodes.select("id").distinct()
+    ids = staged(nodes.select("id").distinct().withColumn("n", F.monotonically_increasing_id()), "ppr-ids")  # rounds join numbers, not names
     weight = F.coalesce(F.col("confidence").cast("double"), F.lit(0.5))
     walk = ends(edges.where("source_id <> target_id").withColumn("w", F.when(weight > 0, weight).otherwise(0.01)), "w")
-    walk = walk.join(ids.withColumnRenamed("id", "node"), "node", "left_semi").join(ids.withColumnRenamed("id", "peer"), "peer", "left_semi")
-    pairs = walk.groupBy("node", "peer").agg(F.sum("w").alias("w"))
-    sums = walk.groupBy("node").agg(F.sum("w").alias("total"))
-    steps = staged(pairs.join(sums, "node").select("node", "peer", (F.col("w") / F.col("total")).alias("share")), "ppr-steps")
-    start = ids.withColumn("w", F.lit(1.0))
+    walk = walk.join(ids.toDF("node", "a"), "node").join(ids.toDF("peer", "b"), "peer").select("a", "b", "w")
+    pairs = walk.groupBy("a", "b").agg(F.sum("w").alias("w"))
+    sums = walk.groupBy("a").agg(F.sum("w").alias("total"))
+    steps = staged(pairs.join(sums, "a").select("a", "b", (F.col("w") / F.col("total")).alias("share")), "ppr-steps")
+    start = ids.select("n", F.lit(1.0).alias("w"))
     if seeds is not None:
-        usable = seeds.where("weight > 0").groupBy("id").agg(F.sum("weight").alias("w")).join(ids, "id", "left_semi")
+        usable = seeds.where("weight > 0").groupBy("id").agg(F.sum("weight").alias("w")).join(ids, "id").select("n", "w")
         start = usable if not usable.isEmpty() else start
     total = start.agg(F.sum("w")).first()[0]
-    start = staged(start.select("id", (F.col("w") / F.lit(total or 1.0)).alias("s")), "ppr-seeds")
-    idle = start.join(steps.select(F.col("node").alias("id")), "id", "left_anti").agg(F.sum("s")).first()[0] or 0.0
+    start = staged(start.select("n", (F.col("w") / F.lit(total or 1.0)).alias("s")), "ppr-seeds")
+    idle = start.join(steps.select(F.col("a").alias("n")), "n", "left_anti").agg(F.sum("s")).first()[0] or 0.0
     small = ids.count() <= SMALL
-    steps = (steps if small else steps.repartition("node")).persist(StorageLevel.MEMORY_AND_DISK)  # its lineage is a written table
-    mass, held = start.select("id", F.col("s").alias("mass")), idle
-    for _ in range(rounds):
+    steps = (steps if small else steps.repartition("a")).persist(StorageLevel.MEMORY_AND_DISK)  # its lineage is a written table
+    mass, held = start.select("n", F.col("s").alias("mass")), idle
+    for turn in range(1, rounds + 1):
         given = restart + (1 - restart) * held
-        moved = steps.join(F.broadcast(mass) if small else mass, mass["id"] == steps["node"])
-        moved = moved.select(F.col("peer").alias("id"), (F.col("mass") * F.col("share") * (1 - restart)).alias("mass"))
-        mass = moved.unionByName(start.select("id", (F.col("s") * given).alias("mass"))).groupBy("id").agg(F.sum("mass").alias("mass"))
-        mass, held = staged(mass, "ppr-mass"), idle * given
+        moved = steps.join(F.broadcast(mass) if small else mass, mass["n"] == steps["a"])
+        moved = moved.select(F.col("b").alias("n"), (F.col("mass") * F.col("share") * (1 - restart)).alias("mass"))
+        mass = moved.unionByName(start.select("n", (F.col("s") * given).alias("mass"))).groupBy("n").agg(F.sum("mass").alias("mass"))
+        held = idle * given
+        if turn % STAGE_EVERY == 0 or turn == rounds:
+            mass = staged(mass, "ppr-mass")
     steps.unpersist()
-    return ids.join(mass, "id", "left").fillna(0.0, ["mass"])
+    return ids.join(mass, "n", "left").select("id", F.coalesce("mass", F.lit(0.0)).alias("mass"))
 
 
 def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:
