@@ -106,19 +106,22 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> D
     Rounds are synchronous so that reruns agree, and end early when no label changes. A node's own label has no vote;
     isolated nodes keep theirs. A node's votes are summed before its labels meet, so a hub is no task of its own.
     """
+    # numbers in the order of the ids: the smallest number is the smallest label
+    ids = staged(nodes.select("id").distinct().orderBy("id").withColumn("n", F.monotonically_increasing_id()), "lpa-ids")
     walk = ends(edges.where("source_id <> target_id")).groupBy("node", "peer").agg(F.count("*").alias("n"))
-    labels = staged(nodes.select("id", F.col("id").alias("label")).distinct(), "lpa-labels")
+    walk = walk.join(ids.toDF("node", "a"), "node").join(ids.toDF("peer", "b"), "peer").select("a", "b", F.col("n").alias("w"))
+    labels = staged(ids.select("n", F.col("n").alias("label")), "lpa-labels")
     small = labels.count() <= SMALL
     walk = staged(walk, "lpa-walk").persist(StorageLevel.MEMORY_AND_DISK)  # its lineage is a written table
     for _ in range(rounds):
-        votes = walk.join(F.broadcast(labels) if small else labels, walk["peer"] == labels["id"]).groupBy("node", "label").agg(F.sum("n").alias("votes"))
-        won = votes.groupBy(F.col("node").alias("id")).agg(F.min(F.struct((-F.col("votes")).alias("v"), "label"))["label"].alias("won"))
-        new = staged(labels.join(won, "id", "left").select("id", F.coalesce("won", "label").alias("label"), (F.col("won") != F.col("label")).alias("moved")), "lpa-labels")
-        labels = new.select("id", "label")
+        votes = walk.join(F.broadcast(labels) if small else labels, walk["b"] == labels["n"]).groupBy("a", "label").agg(F.sum("w").alias("votes"))
+        won = votes.groupBy(F.col("a").alias("n")).agg(F.min(F.struct((-F.col("votes")).alias("v"), "label"))["label"].alias("won"))
+        new = staged(labels.join(won, "n", "left").select("n", F.coalesce("won", "label").alias("label"), (F.col("won") != F.col("label")).alias("moved")), "lpa-labels")
+        labels = new.select("n", "label")
         if new.where("moved").isEmpty():
             break
     walk.unpersist()
-    return labels
+    return labels.join(ids, "n").join(ids.toDF("name_of", "label"), "label").select("id", F.col("name_of").alias("label"))
 
 
 def communities(nodes: DataFrame, labels: DataFrame, least: int = 3) -> DataFrame:
