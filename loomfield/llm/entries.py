@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import anchors, bwt, decontamination, language_model, mixing, pii, quality, secrets, simhash, tokens
+from . import anchors, bwt, decontamination, hyperminhash, language_model, merkle, mixing, pii, quality, secrets, simhash, spelling, tokens
 
 
 def queries() -> dict:
@@ -19,6 +19,9 @@ def queries() -> dict:
         "op8_decontamination": decontamination.op8_decontamination,
         "op9_simhash": simhash.op9_simhash,
         "op10_mix_sources": mixing.op10_mix_sources,
+        "op11_merkle_manifest": merkle.op11_merkle_manifest,
+        "op12_hyperminhash": hyperminhash.op12_hyperminhash,
+        "op13_spelling_variants": spelling.op13_spelling_variants,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -30,4 +33,6 @@ def oracle_sql() -> dict:
         "op4_substring_dedup": anchors.repeats_sql(),
         "op8_decontamination": decontamination.contained_sql(),
         "op10_mix_sources": mixing.mix_sql(),
+        "op11_merkle_manifest": merkle.manifest_sql(),
+        "op13_spelling_variants": spelling.variants_sql(),
     }
