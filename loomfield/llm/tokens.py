@@ -18,6 +18,15 @@ LIMIT = 2048
 #: Distinct pre-tokens whose counts a worker remembers; beyond it starts anew.
 REMEMBERED = 1 << 20
 NO_RANK = np.int64(1) << 40
+# Letters whose lower-case form the library has and Python's tables lack, and sigma, which it does not fit to its place.
+NEWER_CASE = {0x3A3: 0x3C3, 0xA7CB: 0x264, 0xA7DC: 0x19B}
+# Letters and numbers that Unicode 16.0, the library's version, added to Python's tables.
+NEWER_LETTERS = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E),
+    (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+]
+NEWER_NUMBERS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
+# End of fixed values.
 
 
 def byte_symbols() -> list[str]:
@@ -45,18 +54,24 @@ class Merger:
         order = np.argsort(np.array(pairs, np.int64), kind="stable")
         self.pairs, self.rank, self.made = np.array(pairs, np.int64)[order], order.astype(np.int64), np.array(made, np.int64)
         self.known, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        kinds = np.zeros(0x110000, np.uint8)
-        for c in range(0x110000):
-            kinds[c] = {"L": 1, "N": 2}.get(unicodedata.category(chr(c))[0], 3)
-        self.kinds = kinds
+        kinds = np.array([{"L": 1, "N": 2}.get(unicodedata.category(chr(c))[0], 3) for c in range(0x110000)], np.uint8)
+        for kind, ranges in ((1, NEWER_LETTERS), (2, NEWER_NUMBERS)):
+            for first, last in ranges:
+                kinds[first : last + 1] = kind
         blank = regex.compile(r"\p{White_Space}")
-        for c in range(0x3001):
-            if blank.match(chr(c)):
-                kinds[c] = 0
+        kinds[[c for c in range(0x3001) if blank.match(chr(c))]] = 0
+        self.kinds = kinds
+        letter, number = (self._class(kinds == kind) for kind in (1, 2))  # both paths take their classes from one table
         self.space = regex.compile(r"\p{White_Space}+")
-        self.parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
+        self.parts = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^\p{{White_Space}}{letter}{number}]+")
         self.cut = re.compile("|".join(map(re.escape, self.special))) if self.special else None
 
+    @staticmethod
+    def _class(member: np.ndarray) -> str:
+        """The code points of a mask as ranges of a character class."""
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], member, [False]]).astype(np.int8)))
+        return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edge.reshape(-1, 2).tolist())
+
     def merged(self, tokens: list[bytes]) -> np.ndarray:
         """Symbols left of each pre-token. All sequences merge their lowest-ranked pair at once, round by round."""
         size = np.array([len(t) for t in tokens], np.int64)
@@ -109,7 +124,7 @@ class Merger:
     def clean(self, text: str) -> str:
         """Composed, with runs of white space as one space, in lower case letter by letter."""
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            text = unicodedata.normalize("NFC", text).translate(NEWER_CASE)
         return self.space.sub(" ", text).lower() if not text.isascii() else text.lower()
 
     def count(self, texts: list[str | None]) -> np.ndarray:
