@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import ragged
 from .common import bounded, staged
@@ -106,7 +107,7 @@ def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
     schema = f"doc_id {kind(docs, 'doc_id')}, item_id {kind(items, 'item_id')}, n_shared bigint, n_item bigint, containment double"
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("n")).first()
     blocks = max(1, -(-(total["b"] + 64 * total["n"]) // BLOCK_BYTES))
-    item_type = pa.int64() if kind(items, "item_id") == "bigint" else None
+    item_type = to_arrow_type(items.schema["item_id"].dataType)
 
     def scan(indices: list[ItemIndex]):
         def run(batches):
