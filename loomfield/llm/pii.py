@@ -30,7 +30,9 @@ FOR = r"(?i)\b(?:e-?mail|mail|phone|tel|mobile|cell|call|fax|contact|card|visa|a
 AGAINST = r"(?i)(?:\b(?:version|ver|build|release|id|ref|isbn|sku|order|invoice|total|page|rev)\b|[$#=])"
 CONTEXT = 24
 #: Rounds of boosting, step, depth of two, and the share of true candidates above which a calibrated score redacts.
-ROUNDS, STEP, PRECISION, LEAST = 30, 0.3, 0.95, 20
+ROUNDS, STEP, PRECISION = 30, 0.3, 0.95
+#: Candidates that the curve of all kinds counts for in a kind's own: few candidates follow it, many outweigh it, without a step.
+PRIOR = 20
 FEATURES = ("clean_left", "clean_right", "separated", "usual_length", "varied", "lettered", "digits_left", "digits_right")
 
 
@@ -99,7 +101,8 @@ def boosted(table: list[tuple[int, int, int, int]], kept_out: list[tuple[int, in
     The table has a row for each kind and mask at most, so it is small whatever the corpus. Splits ask for a bit of
     the mask or for a kind. Returns (start, trees, thresholds); a tree is (split, (split, no, yes), (split, no, yes)).
     Thresholds are calibrated on ``kept_out``, rows that no tree was fitted to (on the table itself where none are given).
-    Kinds with fewer of those than LEAST share a threshold, that of the pools over all kinds or else the score of PRECISION.
+    A kind's shares are shrunk toward those of all kinds at the same score, which count for PRIOR candidates; without any
+    candidate to calibrate on, the threshold is the score of PRECISION.
     """
     from math import exp, log
 
@@ -151,27 +154,33 @@ def boosted(table: list[tuple[int, int, int, int]], kept_out: list[tuple[int, in
 
     kept_out = table if kept_out is None else kept_out
 
-    def threshold(rows) -> float | None:
-        # isotonic calibration: neighbours in score pool until the share of true candidates rises with the score
+    def pooled(rows) -> list[list[float]]:
+        # isotonic calibration of (score, n, n_true): neighbours in score pool until the share of true candidates rises with the score
         pools: list[list[float]] = []
-        for low, k, t in sorted((scored(r), r[2], r[3]) for r in rows):
+        for low, k, t in sorted(rows):
             pools.append([low, k, t])
             while len(pools) > 1 and pools[-2][2] * pools[-1][1] >= pools[-1][2] * pools[-2][1]:
                 _, k, t = pools.pop()
                 pools[-1][1] += k
                 pools[-1][2] += t
-        good = [p for p in pools if p[2] >= PRECISION * p[1]]
-        return good[0][0] if good else None
+        return pools
 
+    def threshold(pools, above: float = float("-inf")) -> float:
+        """Lowest score of share PRECISION; if no pool has it, that of the model's own share, above all scores that were calibrated."""
+        good = [p[0] for p in pools if p[2] >= PRECISION * p[1] - 1e-9]
+        return good[0] if good else max(log(PRECISION / (1 - PRECISION)), above + 1e-6)
+
+    every = pooled((scored(r), r[2], r[3]) for r in kept_out)
+    share = lambda x: next((t / k for low, k, t in reversed(every) if low <= x), every[0][2] / every[0][1])
     thresholds: dict[int, float] = {}
     for place in range(len(RULES)):
-        rows = [r for r in kept_out if r[0] == place]
-        low = threshold(rows)
-        if sum(r[2] for r in rows) < LEAST:
-            pooled = threshold(kept_out) if sum(r[2] for r in kept_out) >= LEAST else None
-            low = log(PRECISION / (1 - PRECISION)) if pooled is None else pooled
-        if low is not None:
-            thresholds[place] = low
+        rows = [(scored(r), r[2], r[3]) for r in kept_out if r[0] == place]
+        own = sum(k for _, k, _ in rows)
+        if rows:
+            shrunk = pooled((x, k + PRIOR * k / own, t + PRIOR * k / own * share(x)) for x, k, t in rows)
+            thresholds[place] = threshold(shrunk, max(x for x, _, _ in rows))
+        else:
+            thresholds[place] = threshold(every)
     return start, trees, thresholds
 
 
@@ -187,8 +196,7 @@ def find(docs: DataFrame) -> DataFrame:
     Candidates that pass their kind's test always stay, however few the table holds. Others stay where their calibrated
     score redacts: the trees learn, over the candidates of half of the texts, what form and surroundings the ones have
     that words near them or their test speak for; over the other half, isotonic calibration turns scores to shares, and a
-    kind's threshold is the lowest score of share PRECISION (kinds with fewer candidates than LEAST share that of all
-    kinds). An added span that a base span or an earlier added one overlaps goes.
+    kind's threshold is the lowest score of share PRECISION, the kind's shares shrunk toward those of all kinds. An added span that a base span or an earlier added one overlaps goes.
 
     Defined results: a null text counts as empty; empty texts and texts without a candidate have no row; repeated texts
     are one text, found in and learnt from once; an empty table gives no rows; other columns are ignored.

@@ -225,3 +225,40 @@ def test_long_texts_take_the_slow_path_of_repeated_words(spark, monkeypatch):
         w = t.split()
         seen = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
         assert fast[d] == slow[d] == len({j for i in range(len(w) - 2) if seen[tuple(w[i : i + 3])] > 1 for j in range(i, i + 3)})
+
+
+def test_every_class_and_case_of_letters_counts_as_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from loomfield.llm import tokens
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), tokens.Merger(path)
+    edges = {c + d for a, b in [*tokens.NEWER_LETTERS, *tokens.NEWER_NUMBERS] for c in range(a, b + 1) for d in (-1, 0, 1)}
+    cased = {c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).lower() != chr(c)}
+    sample = [c for c in range(0, 0x110000, 23) if not 0xD800 <= c < 0xE000]
+    odd = [0x32808, 0x3285C, 0x32988, 0x3D808, 0x3E85C, 0x3F988, 0x13808, 0xA7CB, 0xA7DC, 0x3A3]
+    chars = [chr(c) for c in sorted(edges | cased | {*sample, *odd})]
+    for form in ("a{0}b {0}{0}1{0}", "it's a{0}b {0}1"):  # without and with an apostrophe
+        texts = [form.format(c) for c in chars]
+        want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert [(hex(ord(c)), w) for c, w in zip(chars, want, strict=True)] == [(hex(ord(c)), int(g)) for c, g in zip(chars, own.count(texts), strict=True)]
+
+
+@pytest.mark.parametrize("kind, cast", [("int", int), ("smallint", int), ("decimal(10,2)", str), ("date", str), ("string", str)])
+def test_items_and_documents_of_any_id_type(spark, kind, cast):
+    passage = " ".join(f"p{i}" for i in range(40))
+    ids = ["2024-01-02", "2024-01-03"] if kind == "date" else ["1", "2"]
+    docs = spark.createDataFrame([(ids[0], f"before {passage} after"), (ids[1], "nothing of it here at all")], "doc_id string, text string").selectExpr(f"cast(doc_id as {kind}) doc_id", "text")
+    items = spark.createDataFrame([(ids[1], passage)], "item_id string, text string").selectExpr(f"cast(item_id as {kind}) item_id", "text")
+    got = decontamination.contained(docs, items).collect()
+    assert [(str(r["doc_id"])[:10], str(r["item_id"])[:10], r["n_shared"]) for r in got] == [tuple((x + (".00" if "decimal" in kind else ""))[:10] for x in ids) + (36,)]
+
+
+@pytest.mark.parametrize("n", [5, 19, 20, 21, 400])
+def test_thresholds_have_no_step(n):
+    # 60 per cent of a kind's candidates are true: however many there are, none is redacted on the strength of other kinds
+    _, _, thresholds = pii.boosted([(0, 3, 400, 400), (5, 1, n, 6 * n // 10)])
+    _, trees, _ = pii.boosted([(0, 3, 400, 400), (5, 1, n, 6 * n // 10)])
+    assert trees and thresholds[5] >= 2.9
