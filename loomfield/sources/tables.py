@@ -6,6 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +16,36 @@ from pyspark.sql import DataFrame, SparkSession
 _written: list[str] = []
 
 
+class Scope:
+    """What one caller has staged since it opened the scope, and nobody else: other threads and earlier results are not in it."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def forget(self, but: int = 0) -> None:
+        """Delete what was staged in the scope, the last ``but`` tables excepted; no later plan may read them."""
+        gone = self.paths[: len(self.paths) - but]
+        self.paths = self.paths[len(self.paths) - but :]
+        for path in gone:
+            if path in _written:
+                _written.remove(path)
+            delete(self.spark, path)
+
+
+_scope: ContextVar[Scope | None] = ContextVar("scope", default=None)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[Scope]:
+    """Collect what this thread stages inside the block."""
+    own = Scope(spark)
+    held = _scope.set(own)
+    try:
+        yield own
+    finally:
+        _scope.reset(held)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -31,31 +64,26 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Written as Parquet to the shared folder and read again: ends the lineage, and outlives lost executors.
-
-    What is staged is deleted by ``forget``, or when the process ends.
-    """
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted by the scope it was taken in, or when the process ends."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
     if not _written:
         atexit.register(_forget_all, spark)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+    if _scope.get() is not None:
+        _scope.get().paths.append(path)
+    return path
 
-def mark() -> int:
-    """A point in time to hand to ``forget``."""
-    return len(_written)
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Written as Parquet to the shared folder and read again: ends the lineage, and outlives lost executors.
 
-def forget(spark: SparkSession, since: int = 0, but: int = 0) -> None:
-    """Delete the tables staged after ``since``, the last ``but`` of them excepted; no later plan may read them."""
-    gone = _written[since : len(_written) - but]
-    del _written[since : len(_written) - but]
-    for path in gone:
-        delete(spark, path)
+    What is staged is deleted by its ``scope``, or when the process ends.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -65,6 +93,7 @@ def delete(spark: SparkSession, path: str) -> None:
 
 def _forget_all(spark: SparkSession) -> None:
     try:
-        forget(spark)
+        while _written:
+            delete(spark, _written.pop())
     except Exception:  # the JVM has gone first; the folder is the caller's to clear
         pass

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomfield.sources.tables import shared_folder
+from loomfield.sources.tables import scratch
 
 
 def event_stream(spark: SparkSession, folder: str, name: str, files_at_once: int = 8) -> DataFrame:
@@ -40,7 +38,7 @@ def publish(stream: DataFrame, name: str, handlers: list) -> None:
         for handler in handlers:
             handler(batch, number)
 
-    root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    root = scratch(spark, name)
     stream.writeStream.option("checkpointLocation", root).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
 
 
@@ -51,7 +49,7 @@ def run_to_end(stream: DataFrame, name: str, keys: list[str] | None = None) -> D
     With ``keys`` the stream puts out updated rows and the latest batch's row of each key counts; else rows are final.
     """
     spark = stream.sparkSession
-    root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    root = scratch(spark, name)
 
     def put(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/out/number={number}")
