@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomfield.sources.tables import delete, forget, mark, shared_folder, staged  # noqa: F401
+from loomfield.sources.tables import delete, scope, scratch, staged  # noqa: F401
 
 #: Separators of words: space and 0x09-0x0D.
 SEPARATORS = " \t\n\x0b\x0c\r"
@@ -15,10 +15,6 @@ GAP = "[\\x20\\x09-\\x0D]+"
 BROADCAST_ROWS = 50_000
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    return shared_folder(spark)
-
-
 def dropped(df: DataFrame) -> None:
     """Delete the files of a staged table that no later plan reads."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
-from . import anchors, bwt, decontamination, hyperminhash, language_model, merkle, mixing, pii, quality, secrets, simhash, spelling, tokens
+from . import anchors, bwt, decontamination, hyperminhash, language_model, merkle, mixing, pii, pipeline, quality, secrets, simhash, spelling, tokens
 
 
 def queries() -> dict:
@@ -22,7 +20,7 @@ def queries() -> dict:
         "op11_merkle_manifest": merkle.op11_merkle_manifest,
         "op12_hyperminhash": hyperminhash.op12_hyperminhash,
         "op13_spelling_variants": spelling.op13_spelling_variants,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 

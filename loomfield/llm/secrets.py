@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint_root, staged
+from .common import scratch, staged
 from .spans import Rule, joined_spans, matches, text_key
 
 #: What secrets look like. The first three are the base kinds, their order is the order in lists of spans.
@@ -88,13 +86,13 @@ def report(versions: DataFrame, found: DataFrame, rules: list[Rule] = RULES) ->
 
 
 def op1_secret_scan(spark, sf_dir: str) -> DataFrame:
-    """A first scan, through a ledger of its own in the shared folder."""
+    """A first scan, through a ledger of its own in the shared folder, which goes with the process."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return report(docs, scan(docs, ledger_in_shared_folder(spark, f"op1-{uuid.uuid4().hex}")))
+    return report(docs, scan(docs, ledger_in_shared_folder(spark, "op1")))
 
 
 def ledger_in_shared_folder(spark, name: str) -> Ledger:
-    return Ledger(spark, f"{checkpoint_root(spark)}/ledger-{name}")
+    return Ledger(spark, scratch(spark, f"ledger-{name}"))
 
 
 def secrets_sql(docs: str = "documents") -> str:
