@@ -1,56 +1,3 @@
-"""From raw documents to a training mix: five stages, each one operator over all rows its predecessor kept."""
+"""From raw documents to a training mix: the stages of the library's pipeline, where the driver looks for them."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-
-from loomfield.llm import decontamination, mixing, pii, quality, simhash
-from loomfield.llm.common import forget, mark, staged
-
-
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and their group's adaptive limits."""
-    return quality.keep_good(docs)
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of linked fingerprints."""
-    return simhash.keep_first(docs)
-
-
-def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no item of the benchmark."""
-    return decontamination.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-
-
-def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data in their texts replaced by the kind in brackets."""
-    return pii.redact(docs)
-
-
-def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with how often: ``whole`` times in full, and the first ``extra`` words once more."""
-    return mixing.mix_sources(docs).where("whole > 0 or extra > 0")
-
-
-STAGES = [
-    ("quality_rules", quality_rules),
-    ("near_duplicates", near_duplicates),
-    ("benchmark_decontamination", benchmark_decontamination),
-    ("personal_data", personal_data),
-    ("source_mix", source_mix),
-]
-
-#: Fingerprints need XXH64 and the redaction a trained model, which SQL lacks; a test holds run() against each stage's rule, by
-#: SQL or plain Python; it takes the spans that pii.find adds to the base ones as given.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``, each written to the shared folder and read again; what a stage leaves beside
-    its result, and the result before it, is deleted once the next one is written."""
-    docs, start = spark.read.parquet(f"{sf_dir}/documents.parquet"), mark()
-    for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        forget(spark, start, but=1)
-    return docs
+from loomfield.llm.pipeline import ORACLE_SQL, STAGES, run  # noqa: F401
