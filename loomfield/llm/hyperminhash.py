@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import ragged
 from .common import bounded, staged
 from .components import components
+from .simhash import joined_labels
 
 SHINGLE = 3
 #: Documents link at LINK_PER_CENT percent of Jaccard similarity or more.
@@ -22,8 +23,10 @@ BUCKETS = BANDS * ROWS
 COLLISIONS = 0.169919487159739093975315012348630288992889
 #: Standard deviations that an estimate may fall below the threshold: a link is lost to the estimate once in 10**9.
 SLACK = 6
-#: Members of a cell that compares registers; texts of one side of a cell that compares sets, and shingles of the side it holds.
-CELL, STAR, HELD = 2048, 256, 1 << 20
+#: Members of a cell that compares registers; members that one cell holds a pivot for.
+CELL, STAR = 2048, 256
+#: Nodes and shingles of one chunk of a family whose full sets are compared.
+FAMILY, HELD = 512, 1 << 20
 U64 = np.uint64
 
 
@@ -121,41 +124,71 @@ def _estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def _verified(asked: DataFrame, texts: DataFrame) -> DataFrame:
-    """(u, v): for each node on side 1 of a cell the first node of side 0 that it links with, by their full sets.
+    """(u, v): links by full sets between nodes that meet in a cell, enough to join all of a cell's components that link.
 
-    ``asked`` has cell, side and node; ``texts`` node and text. A cell holds the sets of its side 0 and goes through its side 1.
+    ``asked`` has cell, side, node and comp; ``texts`` node and text. Nodes of side 0 meet those of side 1, nodes of side 2 each
+    other. A cell holds the sets of its sides 0 and 2 and goes through its side 1; nodes of one component are not compared.
     """
 
+    class Cell:
+        def __init__(self, name):
+            self.name, self.kept, self.index, self.root = name, [], None, {}
+
+        def top(self, comp):
+            while self.root.get(comp, comp) != comp:
+                comp = self.root[comp]
+            return comp
+
+        def links(self, node, comp, own, upto):
+            """Links of a set with the first ``upto`` sets held, one for each component that it joins."""
+            if self.index is None:
+                size = np.array([len(h) for _, _, h in self.kept])
+                values, owner = np.concatenate([h for _, _, h in self.kept]), np.repeat(np.arange(len(self.kept)), size)
+                order = np.argsort(values, kind="stable")
+                self.index = values[order], owner[order], size
+            if all(self.top(c) == self.top(comp) for c in {c for _, c, _ in self.kept[:upto]}):
+                return
+            values, owner, size = self.index
+            lo, hi = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+            both = np.bincount(owner[ragged.ranges(hi - lo, lo)], minlength=len(size))[:upto]
+            for k in np.flatnonzero(100 * both >= LINK_PER_CENT * (size[:upto] + len(own) - both)):
+                other, its, _ = self.kept[k]
+                if self.top(its) != self.top(comp):
+                    self.root[self.top(its)] = self.top(comp)
+                    yield node, other
+
+        def inner(self):
+            if self.kept and self.name[1] == 2:
+                for k, (node, comp, own) in enumerate(self.kept):
+                    if k:
+                        yield from self.links(node, comp, own, k)
+
+    def rows(found):
+        return pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], names=["u", "v"])
+
     def run(batches):
-        cell, kept, left = None, [], None
+        cell = Cell(None)
         for batch in batches:
             for b in ragged.pieces([batch]):
-                h, off = shingle_sets(b.column(3))
-                cells, sides, nodes = (b.column(i).to_numpy() for i in (0, 1, 2))
-                us, vs = [], []
+                h, off = shingle_sets(b.column(4))
+                cells, sides, nodes, comps = (b.column(i).to_numpy() for i in range(4))
+                found = []
                 for i in range(len(cells)):
-                    if cells[i] != cell:
-                        cell, kept, left = cells[i], [], None
+                    name = (cells[i], 2 if sides[i] == 2 else 0)
+                    if name != cell.name:
+                        found += cell.inner()
+                        cell = Cell(name)
                     own = h[off[i] : off[i + 1]]
-                    if sides[i] == 0:
-                        kept.append((nodes[i], own))
-                        left = None
-                    elif kept:
-                        if left is None:
-                            size = np.array([len(x) for _, x in kept])
-                            values, owner = np.concatenate([x for _, x in kept]), np.repeat(np.arange(len(kept)), size)
-                            order = np.argsort(values, kind="stable")
-                            left = values[order], owner[order], size
-                        values, owner, size = left
-                        lo, hi = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
-                        both = np.bincount(owner[ragged.ranges(hi - lo, lo)], minlength=len(size))
-                        hits = np.flatnonzero(100 * both >= LINK_PER_CENT * (size + len(own) - both))
-                        if len(hits):
-                            us.append(nodes[i])
-                            vs.append(kept[hits[0]][0])
-                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
-
-    return asked.join(texts, "node").select("cell", "side", "node", "text").repartition("cell").sortWithinPartitions("cell", "side").mapInArrow(run, "u bigint, v bigint")
+                    if sides[i] != 1:
+                        cell.kept.append((nodes[i], comps[i], own))
+                        cell.index = None
+                    elif cell.kept:
+                        found += cell.links(nodes[i], comps[i], own, len(cell.kept))
+                yield rows(found)
+        yield rows(list(cell.inner()))
+
+    asked = asked.join(texts, "node").select("cell", "side", "node", "comp", "text")
+    return asked.repartition("cell").sortWithinPartitions("cell", "side").mapInArrow(run, "u bigint, v bigint")
 
 
 def _stars(bands: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
@@ -164,17 +197,17 @@ def _stars(bands: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
     pairs = bands.join(groups, "band").where("node <> pivot").select("node", "pivot").distinct()
     pairs = staged(_estimated(pairs, reps), "hyperminhash-pairs")
     cells = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("long").alias("cells"))
-    member = pairs.join(cells, "pivot").select(F.xxhash64("pivot", F.pmod(F.xxhash64("node"), "cells")).alias("cell"), F.lit(1).alias("side"), "node")
+    member = pairs.join(cells, "pivot").select(F.xxhash64("pivot", F.pmod(F.xxhash64("node"), "cells")).alias("cell"), F.lit(1).alias("side"), "node", F.col("node").alias("comp"))
     pivot = cells.select(F.col("pivot").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("i"))
-    return _verified(member.union(pivot.select(F.xxhash64("node", "i").alias("cell"), F.lit(0), "node")), texts)
+    return _verified(member.union(pivot.select(F.xxhash64("node", "i").alias("cell"), F.lit(0), "node", "node")), texts)
 
 
 def _meetings(bands: DataFrame, reps: DataFrame, root: DataFrame) -> DataFrame:
-    """(a, b, side, node): nodes of components a < b that meet in a band and may link with one on the other side.
+    """(u, v): nodes of different components that meet in a band and may link, enough pairs to join all that do.
 
     Only bands whose members are in more than one component are looked at. The members of a band's largest component meet the
     others, and the others each other, in cells of CELL members; a component's members never meet among themselves, so a hot
-    group of copies costs a pass over it for each CELL of strangers in it.
+    group of copies costs a pass over it for each CELL of strangers in it. A cell returns a forest, never its pairs.
     """
     named = bands.join(root.select("node", F.col("root").alias("own")), "node", "left").select("band", "node", F.coalesce("own", "node").alias("comp"))
     named = staged(named, "hyperminhash-named")
@@ -199,26 +232,23 @@ def _meetings(bands: DataFrame, reps: DataFrame, root: DataFrame) -> DataFrame:
         def met():
             side, node, comp, n = (np.concatenate([h[k] for h in held]) for k in range(4))
             regs = np.concatenate([h[4] for h in held])
-            out = []
             inner = np.flatnonzero(side == 2)
-            for rows, cols, later in ((np.flatnonzero(side == 0), np.flatnonzero(side == 1), False), (inner, inner, True)):
-                full = (regs[cols] != 0).astype(np.float32)
-                for lo in range(0, len(rows), 64) if len(cols) else ():
-                    r = rows[lo : lo + 64]
-                    x = regs[r]
-                    some = (x != 0).astype(np.float32)
-                    equal = np.stack([((q == regs[cols]) & (q != 0)).sum(1) for q in x])
-                    either = some.sum(1)[:, None] + full.sum(1)[None, :] - some @ full.T
-                    ok = similar(equal, either, n[r][:, None], n[cols][None, :]) & (comp[r][:, None] != comp[cols][None, :])
-                    i, j = np.nonzero(ok)
-                    i, j = r[i], cols[j]
-                    if later:
-                        i, j = i[i < j], j[i < j]
-                    a, b = np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])
-                    for k in (i, j):
-                        out.append(np.stack([a, b, (comp[k] == b).astype(np.int64), node[k]], 1))
-            rows = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 4), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(np.int32)), pa.array(rows[:, 3])], names=["a", "b", "side", "node"])
+
+            def pairs():
+                for rows, cols in ((np.flatnonzero(side == 0), np.flatnonzero(side == 1)), (inner, inner)):
+                    full = (regs[cols] != 0).astype(np.float32)
+                    for lo in range(0, len(rows), 64) if len(cols) else ():
+                        r = rows[lo : lo + 64]
+                        x = regs[r]
+                        some = (x != 0).astype(np.float32)
+                        equal = np.stack([((q == regs[cols]) & (q != 0)).sum(1) for q in x])
+                        either = some.sum(1)[:, None] + full.sum(1)[None, :] - some @ full.T
+                        i, j = np.nonzero(similar(equal, either, n[r][:, None], n[cols][None, :]) & (comp[r][:, None] != comp[cols][None, :]))
+                        yield r[i], cols[j]
+
+            label = joined_labels(len(node), pairs())
+            far = np.flatnonzero(label != np.arange(len(node)))
+            return pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(node[label[far]])], names=["u", "v"])
 
         for t in batches:
             cells = t.column(0).to_numpy()
@@ -234,19 +264,20 @@ def _meetings(bands: DataFrame, reps: DataFrame, root: DataFrame) -> DataFrame:
             yield met()
 
     dealt = dealt.join(reps, "node").select("cell", "side", "node", "comp", "n", "regs")
-    return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a bigint, b bigint, side int, node bigint").distinct()
+    return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "u bigint, v bigint").distinct()
 
 
-def _between(met: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links between components whose nodes met; the side that a cell holds has about HELD shingles."""
-    met = staged(met, "hyperminhash-met")
-    sized = met.join(reps.select("node", "n"), "node")
-    n_of = lambda side: F.ceil(F.sum(F.when(F.col("side") == side, F.col("n")).otherwise(0)) / HELD).cast("long")
-    cells = sized.groupBy("a", "b").agg(n_of(0).alias("zero"), n_of(1).alias("one"))
-    row = met.join(cells, ["a", "b"]).withColumn("i", F.pmod(F.xxhash64("node"), F.when(F.col("side") == 0, F.col("zero")).otherwise(F.col("one"))))
-    row = row.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("side") == 0, F.col("one")).otherwise(F.col("zero")) - 1)))
-    cell = F.xxhash64("a", "b", F.when(F.col("side") == 0, F.col("i")).otherwise(F.col("j")), F.when(F.col("side") == 0, F.col("j")).otherwise(F.col("i")))
-    return _verified(row.select(cell.alias("cell"), "side", "node"), texts)
+def _between(met: DataFrame, reps: DataFrame, texts: DataFrame, root: DataFrame) -> DataFrame:
+    """Links between components whose nodes met: families of nodes that may link, each compared in cells of its chunks.
+
+    A family is one cell unless it has more than FAMILY nodes or HELD shingles; then each two of its chunks are one.
+    """
+    family = staged(components(met).join(reps.select("node", "n"), "node").join(root.select("node", F.col("root").alias("own")), "node", "left"), "hyperminhash-families")
+    chunks = F.greatest(F.ceil(F.count(F.lit(1)) / FAMILY), F.ceil(F.sum("n") / HELD)).cast("long")
+    row = family.join(family.groupBy("root").agg(chunks.alias("chunks")), "root").withColumn("i", F.pmod(F.xxhash64("node"), "chunks"))
+    row = row.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    cell, side = F.xxhash64("root", F.least("i", "j"), F.greatest("i", "j")), F.when(F.col("i") == F.col("j"), 2).when(F.col("i") < F.col("j"), 0).otherwise(1)
+    return _verified(row.select(cell.alias("cell"), side.alias("side"), "node", F.coalesce("own", "node").alias("comp")), texts)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -254,8 +285,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Documents of one set fall together before anything is compared. The others meet where a band of registers agrees: each
     member first with the band's smallest node, which joins families of copies in a pass over their members; then only
-    members of different components, found by their registers. What the estimate lets through is compared by full sets of
-    shingles. Two documents at the threshold share none of the bands once in three million; more alike ones less often.
+    members of different components, whose registers tell which may link. What the estimate lets through is compared by full
+    sets of shingles. Two documents at the threshold share none of the bands once in three million; more alike ones less often.
 
     Defined results: null texts and texts without words have an empty set, link with nothing and are kept; repeated rows share a
     component; component_id is the smallest doc_id, nulls aside (null if there is no other), and a row is kept if that is
@@ -267,7 +298,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts, bands = signed.select(F.col("row").alias("node"), "text"), _bands(reps)
     links = staged(_stars(bands, reps, texts), "hyperminhash-links")
     root = components(links)
-    more = staged(_between(_meetings(bands, reps, root), reps, texts), "hyperminhash-more")
+    more = staged(_between(_meetings(bands, reps, root), reps, texts, root), "hyperminhash-more")
     root = components(links.union(more)) if more.limit(1).count() else root
     named = staged(nodes.join(root, "node", "left").select("key", "low", "root"), "hyperminhash-roots")
     least = staged(named.where("root is not null").groupBy("root").agg(F.min("low").alias("component_id")), "hyperminhash-least")

@@ -19,6 +19,9 @@ from loomfield.functions.vectors import cosine
 from loomfield.operators import graph, retrieval
 from loomfield.sources.tables import staged
 
+#: Whole units that a walk's masses and an edge's weight are counted in; sums of them are exact in a double.
+UNITS, WEIGHT_UNITS = 1e15, 1e9
+
 
 @dataclass(frozen=True)
 class Options:
@@ -72,19 +75,65 @@ class Answer:
     stats: DataFrame
 
 
-def expand(seeds: DataFrame, edges: DataFrame, hops: int, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+class Scanned:
+    """One domain of a store as tables that are scanned for each set of questions; ``standing.Standing`` answers the same at rest."""
+
+    def __init__(self, own: Store):
+        weight = F.coalesce(F.col("confidence").cast("double"), F.lit(0.5))
+        self.own, self.edges = own, own.edges.withColumn("w", F.when(weight == 0, 0.5).otherwise(weight))
+
+    def near_nodes(self, asked: DataFrame, k: int) -> DataFrame:
+        return retrieval.nearest(asked, self.own.node_vectors, k)
+
+    def near_evidence(self, asked: DataFrame, k: int) -> DataFrame:
+        return retrieval.nearest(asked, self.own.propositions.select("id", "vector"), k)
+
+    def by_words(self, asked: DataFrame, k: int) -> DataFrame:
+        """(query_id, id, score) of the ``k`` best by their words, ties by id."""
+        found = retrieval.lexical(self.own.propositions, "id", "text", {r["query_id"]: r["text"] for r in asked.select("query_id", "text").toLocalIterator()})
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+        return found.withColumn("score", F.round("score", 12)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    def walk(self):
+        """The edges at the nodes of a frontier, from either end: a function of (id)."""
+        held = _walk(self.edges)
+        return lambda frontier: held
+
+    def named(self, ids: DataFrame) -> DataFrame:
+        """(id, name, type) of at least these nodes."""
+        return self.own.nodes.select("id", "name", "type")
+
+    def naming(self, ids: DataFrame) -> DataFrame:
+        """(node, id, node_ids): evidence that names at least these nodes, once for each of them."""
+        return self.own.propositions.select("id", F.array_distinct("node_ids").alias("node_ids")).select(F.explode("node_ids").alias("node"), "id", "node_ids")
+
+    def evidence(self, ids: DataFrame) -> DataFrame:
+        """(id, text, node_ids, vector) of at least this evidence."""
+        return self.own.propositions.select("id", "text", "node_ids", "vector")
+
+
+def _walk(edges: DataFrame) -> DataFrame:
+    return staged(graph.ends(edges, "id", "source_id", "target_id", "w").withColumnRenamed("id", "edge"), "field-walk")
+
+
+def expand(seeds: DataFrame, edges, hops: int, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Bounded neighbourhoods of (query_id, id): (query_id, id), (query_id, edge columns), (query_id) of those cut short.
 
     A hop takes up to 4 * ``most`` edges at the newest nodes, smallest ids first, and new nodes, smallest ids first, until
     there are ``most``; an edge stays also where its far node does not. Frontiers meet the edges as an equi join.
+    ``edges``: a table, or a function that gives the rows (node, peer, edge, source_id, target_id, w) at the ids of a frontier.
     """
-    walk = staged(graph.ends(edges, "id", "source_id", "target_id", "w").withColumnRenamed("id", "edge"), "field-walk")
+    held = None if callable(edges) else _walk(edges)
+    near = edges if held is None else lambda frontier: held
     seen = staged(seeds.select("query_id", "id").distinct().withColumn("hop", F.lit(0)), "field-seen")
     taken, cut = [], []
     for hop in range(1, hops + 1):
         size = seen.groupBy("query_id").agg(F.count("*").alias("n"), F.max("hop").alias("last"))
         frontier = seen.join(size, "query_id").where((F.col("hop") == hop - 1) & (F.col("n") < most)).select("query_id", "id", "n")
         cut.append(size.where((F.col("n") >= most) & (F.col("last") == hop - 1)).select("query_id"))
+        if held is None:
+            frontier = staged(frontier, "field-frontier")
+        walk = near(frontier.select("id"))
         met = frontier.join(walk, frontier["id"] == walk["node"]).groupBy("query_id", "n", "edge").agg(F.first(F.struct("source_id", "target_id", "w")).alias("e"))
         order = Window.partitionBy("query_id").orderBy("edge")
         met = met.withColumn("place", F.row_number().over(order)).where(F.col("place") <= 4 * most)
@@ -103,7 +152,8 @@ def walked(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, restart: float
 
     ``nodes``: (query_id, id); ``edges``: (query_id, source_id, target_id, w); ``seeds``: (query_id, id, score). Edges count both
     ways, parallel ones add up, loops and edges with an end outside drop out, weights of 0 or less count 0.01; scores of 0
-    or less seed nothing, and without seeds every node is one; mass of nodes without edges returns to the seeds.
+    or less seed nothing, and without seeds every node is one; mass of nodes without edges returns to the seeds. Masses are
+    whole numbers of 1 / UNITS after each round, so that their sums do not depend on an order.
     """
     usable = seeds.where("score > 0").select("query_id", "id", "score")
     rows = nodes.join(usable, ["query_id", "id"], "left").select("query_id", "id", F.lit(None).cast("string").alias("peer"), F.coalesce("score", F.lit(0.0)).alias("w"))
@@ -119,30 +169,33 @@ def walked(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, restart: float
         a, b = ids.get_indexer(links["id"]), ids.get_indexer(links["peer"])
         fit = (a >= 0) & (b >= 0) & (a != b)
         w = links["w"].to_numpy(float)[fit]
-        w = np.where(w > 0, w, 0.01)
+        w = np.floor(np.where(w > 0, w, 0.01) * WEIGHT_UNITS + 0.5)
         source, target = np.concatenate([a[fit], b[fit]]), np.concatenate([b[fit], a[fit]])
         w = np.concatenate([w, w])
         total = np.bincount(source, w, n)
         share = w / total[source] if len(w) else w
-        idle, mass = total == 0, start
+        idle, mass = total == 0, np.floor(start * UNITS + 0.5)
         for _ in range(rounds):
-            moved = np.bincount(target, mass[source] * share, n) if len(w) else np.zeros(n)
-            mass = (1 - restart) * (moved + mass[idle].sum() * start) + restart * start
-        return pd.DataFrame({"query_id": df["query_id"].iloc[0], "id": ids, "mass": mass})
+            moved = np.bincount(target, np.floor(mass[source] * share + 0.5), n) if len(w) else np.zeros(n)
+            mass = np.floor((1 - restart) * (moved + mass[idle].sum() * start) + restart * UNITS * start + 0.5)
+        return pd.DataFrame({"query_id": df["query_id"].iloc[0], "id": ids, "mass": mass / UNITS})
 
     return rows.groupBy("query_id").applyInPandas(walk, "query_id string, id string, mass double")
 
 
-def graph_signal(mentions: DataFrame, mass: DataFrame, top: DataFrame, depth: int) -> DataFrame:
-    """(query_id, id, score): evidence that names one of the ``top`` nodes, by the mass of all nodes it names."""
-    hit = mentions.join(top.select("query_id", F.col("id").alias("node")), "node").select("query_id", "id").distinct()
-    scored = hit.join(mentions, "id").join(mass.select("query_id", F.col("id").alias("node"), "mass"), ["query_id", "node"], "left")
+def graph_signal(naming: DataFrame, mass: DataFrame, top: DataFrame, depth: int) -> DataFrame:
+    """(query_id, id, score): evidence that names one of the ``top`` nodes, by the mass of all nodes it names.
+
+    ``naming``: (node, id, node_ids) of the evidence that names them.
+    """
+    hit = naming.join(top.select("query_id", F.col("id").alias("node")), "node").groupBy("query_id", "id").agg(F.first("node_ids").alias("node_ids"))
+    scored = hit.select("query_id", "id", F.explode("node_ids").alias("node")).join(mass.select("query_id", F.col("id").alias("node"), "mass"), ["query_id", "node"], "left")
     scored = scored.groupBy("query_id", "id").agg(F.round(F.sum(F.coalesce("mass", F.lit(0.0))), 12).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= depth).drop("rank")
 
 
-def retrieve(store: Store, questions: DataFrame, domain: str = DEFAULT, options: Options = Options()) -> Answer:
+def retrieve(store, questions: DataFrame, domain: str = DEFAULT, options: Options = Options()) -> Answer:
     """Evidence for every question of (query_id, text, vector), a stated set, out of one domain.
 
     The nearest nodes seed a bounded expansion and a walk; evidence is ranked by the mass of the nodes it names, by its own
@@ -150,38 +203,36 @@ def retrieve(store: Store, questions: DataFrame, domain: str = DEFAULT, options:
 
     Defined results: a question of a domain without node vectors has no seeds, no evidence and zeros in its stats; a blank
     text has no lexical list; ties go to the smaller id; questions that repeat an id are one question.
+
+    ``store``: a Store, whose tables are scanned for the set of questions, or one domain of it at rest (``standing.Standing``),
+    of which only what the questions touch is read.
     """
-    own = store.scoped(domain)
+    own = Scanned(store.scoped(domain)) if isinstance(store, Store) else store
     asked = staged(questions.select(F.col("query_id").cast("string").alias("query_id"), "text", "vector").dropDuplicates(["query_id"]), "field-questions")
-    seeds = staged(retrieval.nearest(asked, own.node_vectors, options.seeds), "field-seeds")
-    answered = asked.join(seeds.select("query_id").distinct(), "query_id", "left_semi")
-    weight = F.coalesce(F.col("confidence").cast("double"), F.lit(0.5))
-    nodes, edges, cut = expand(seeds, own.edges.withColumn("w", F.when(weight == 0, 0.5).otherwise(weight)), options.hops, options.nodes)
+    seeds = staged(own.near_nodes(asked, options.seeds), "field-seeds")
+    answered = staged(asked.join(seeds.select("query_id").distinct(), "query_id", "left_semi"), "field-answered")
+    nodes, edges, cut = expand(seeds, own.walk(), options.hops, options.nodes)
     nodes, edges = staged(nodes, "field-nodes"), staged(edges, "field-subgraph")
     mass = staged(walked(nodes, edges, seeds, options.restart, options.rounds).withColumn("mass", F.round("mass", 12)), "field-mass")
     order = Window.partitionBy("query_id").orderBy(F.desc("mass"), "id")
     top = mass.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= options.top_nodes)
-    top = staged(top.join(own.nodes.select("id", "name", "type"), "id", "left"), "field-top")
+    top = staged(top, "field-top")
+    top = staged(top.join(own.named(top.select("id")), "id", "left"), "field-top")
 
     weights, lists = options.weights, []
-    props = own.propositions
     if weights.get("graph", 0) > 0:
-        mentions = props.select("id", F.explode(F.array_distinct("node_ids")).alias("node"))
-        lists.append(retrieval.ranked(graph_signal(mentions, mass, top, options.depth), "graph", float(weights["graph"])))
+        naming = own.naming(top.select("id"))
+        lists.append(retrieval.ranked(graph_signal(naming, mass, top, options.depth), "graph", float(weights["graph"])))
     if weights.get("vector", 0) > 0:
-        near = retrieval.nearest(answered, props.select("id", "vector"), options.depth)
-        lists.append(retrieval.ranked(near, "vector", float(weights["vector"])))
+        lists.append(retrieval.ranked(own.near_evidence(answered, options.depth), "vector", float(weights["vector"])))
     if weights.get("lexical", 0) > 0:
-        found = retrieval.lexical(props, "id", "text", {r["query_id"]: r["text"] for r in answered.select("query_id", "text").toLocalIterator()})
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-        found = found.withColumn("score", F.round("score", 12)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= options.depth)
-        lists.append(retrieval.ranked(found, "lexical", float(weights["lexical"])))
+        lists.append(retrieval.ranked(own.by_words(answered, options.depth), "lexical", float(weights["lexical"])))
     fused = staged(retrieval.fuse(reduce(DataFrame.unionByName, lists), options.candidates), "field-fused")
-    chosen = fused.join(props.select("id", "text", "node_ids", "vector"), "id").withColumn("cost", F.length("text").cast("double"))
+    chosen = fused.join(own.evidence(fused.select("id")), "id").withColumn("cost", F.length("text").cast("double"))
     picked = retrieval.compress(chosen, options.evidence, options.chars, options.balance)
     evidence = staged(picked.join(chosen.select("query_id", "id", "text", "node_ids"), ["query_id", "id"]), "field-evidence")
 
-    named = seeds.join(own.nodes.select("id", "name"), "id", "left")
+    named = seeds.join(own.named(seeds.select("id")).select("id", "name"), "id", "left")
     counts = lambda df, name: df.groupBy("query_id").agg(F.count("*").alias(name))
     stats = asked.select("query_id")
     for df, name in ((seeds, "seeds"), (nodes, "subgraph_nodes"), (edges, "subgraph_edges"), (fused, "candidates")):

@@ -16,10 +16,11 @@ STAGE_EVERY = 5
 
 
 def ends(edges: DataFrame, *keep: str) -> DataFrame:
-    """Each edge once from either end, as (node, peer, ...); a loop appears once."""
-    from_source = edges.select(F.col("source_id").alias("node"), F.col("target_id").alias("peer"), *keep)
-    from_target = edges.where("source_id <> target_id").select(F.col("target_id").alias("node"), F.col("source_id").alias("peer"), *keep)
-    return from_source.unionByName(from_target)
+    """Each edge once from either end, as (node, peer, ...), in one pass over the edges; a loop appears once."""
+    way = lambda a, b: F.struct(F.col(a).alias("node"), F.col(b).alias("peer"))
+    out, back = way("source_id", "target_id"), way("target_id", "source_id")
+    both = edges.select(F.explode(F.when(F.col("source_id") != F.col("target_id"), F.array(out, back)).otherwise(F.array(out))).alias("way"), *keep)
+    return both.select("way.node", "way.peer", *keep)
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -75,8 +76,8 @@ def personalized_pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame |
     weight = F.coalesce(F.col("confidence").cast("double"), F.lit(0.5))
     walk = ends(edges.where("source_id <> target_id").withColumn("w", F.when(weight > 0, weight).otherwise(0.01)), "w")
     walk = walk.join(ids.toDF("node", "a"), "node").join(ids.toDF("peer", "b"), "peer").select("a", "b", "w")
-    pairs = walk.groupBy("a", "b").agg(F.sum("w").alias("w"))
-    sums = walk.groupBy("a").agg(F.sum("w").alias("total"))
+    pairs = staged(walk.groupBy("a", "b").agg(F.sum("w").alias("w")), "ppr-pairs")
+    sums = pairs.groupBy("a").agg(F.sum("w").alias("total"))
     steps = staged(pairs.join(sums, "a").select("a", "b", (F.col("w") / F.col("total")).alias("share")), "ppr-steps")
     start = ids.select("n", F.lit(1.0).alias("w"))
     if seeds is not None:

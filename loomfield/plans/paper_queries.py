@@ -311,16 +311,16 @@ HOPS, ROUNDS = 2, 4
 
 
 def field_walks(spark: SparkSession, sf: str) -> DataFrame:
-    """Every nation as a question: the walk over what lies within HOPS of it in the graph of places."""
-    links = edges(spark, sf).where("type = 'belongs_to'").withColumn("w", F.col("confidence"))
+    """Every nation as a question: the walk over what lies within HOPS of it."""
+    links = edges(spark, sf).withColumn("w", F.col("confidence"))
     seeds = nodes(spark, sf).where("type = 'nation'").select(F.col("id").alias("query_id"), "id", F.lit(1.0).alias("score"))
     near, inner, _ = field.expand(seeds, links, HOPS, 10**6)
-    return field.walked(near, inner, seeds, rounds=ROUNDS).select("query_id", "id", F.round("mass", 6).alias("mass"))
+    return field.walked(near, inner, seeds, rounds=ROUNDS).select("query_id", "id", (F.floor(F.col("mass") * 1e6 + 0.5) / 1e6).alias("mass"))
 
 
 def field_sizes(spark: SparkSession, sf: str) -> DataFrame:
     """The sizes of those neighbourhoods, cut at 40 nodes."""
-    links = edges(spark, sf).where("type = 'belongs_to'").withColumn("w", F.col("confidence"))
+    links = edges(spark, sf).withColumn("w", F.col("confidence"))
     seeds = nodes(spark, sf).where("type = 'nation'").select(F.col("id").alias("query_id"), "id")
     near, _, cut = field.expand(seeds, links, HOPS, 40)
     sizes = near.groupBy("query_id").agg(F.count("*").alias("n"))
@@ -342,17 +342,17 @@ def nation_hierarchy(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _walk_sql() -> str:
-    steps = ["r0 AS (SELECT q, id, CASE WHEN q = id THEN 1.0::DOUBLE ELSE 0 END AS mass FROM near)"]
+    steps = ["r0 AS (SELECT q, id, CASE WHEN q = id THEN 1e15::DOUBLE ELSE 0 END AS mass FROM near)"]
     for i in range(ROUNDS):
-        steps.append(f"""r{i + 1} AS MATERIALIZED (SELECT n.q, n.id, CASE WHEN n.q = n.id THEN 0.15 ELSE 0 END + 0.85 * coalesce(m.mass, 0) AS mass
-          FROM near n LEFT JOIN (SELECT r.q, s.peer AS id, sum(r.mass * s.share) AS mass FROM r{i} r JOIN steps s ON s.q = r.q AND s.node = r.id GROUP BY 1, 2) m USING (q, id))""")
-    return f"""WITH {GRAPH_SQL}, w AS MATERIALIZED (SELECT source_id AS node, target_id AS peer, id AS e, confidence AS w FROM edges WHERE type = 'belongs_to' UNION ALL SELECT target_id, source_id, id, confidence FROM edges WHERE type = 'belongs_to'),
+        steps.append(f"""r{i + 1} AS MATERIALIZED (SELECT n.q, n.id, floor(0.85::DOUBLE * coalesce(m.mass, 0) + CASE WHEN n.q = n.id THEN 0.15::DOUBLE * 1e15::DOUBLE ELSE 0::DOUBLE END + 0.5::DOUBLE) AS mass
+          FROM near n LEFT JOIN (SELECT r.q, s.peer AS id, sum(floor(r.mass * s.share + 0.5::DOUBLE)) AS mass FROM r{i} r JOIN steps s ON s.q = r.q AND s.node = r.id GROUP BY 1, 2) m USING (q, id))""")
+    return f"""WITH {GRAPH_SQL}, w AS MATERIALIZED (SELECT source_id AS node, target_id AS peer, id AS e, floor(confidence * 1e9::DOUBLE + 0.5::DOUBLE) AS w FROM edges UNION ALL SELECT target_id, source_id, id, floor(confidence * 1e9::DOUBLE + 0.5::DOUBLE) FROM edges),
       h0 AS (SELECT id AS q, id FROM nodes WHERE type = 'nation'), h1 AS MATERIALIZED (SELECT q, id FROM h0 UNION SELECT q, peer FROM h0 JOIN w ON node = id), near AS MATERIALIZED (SELECT q, id FROM h1 UNION SELECT q, peer FROM h1 JOIN w ON node = id),
       kept AS MATERIALIZED (SELECT DISTINCT q, e FROM h1 JOIN w ON node = id), links AS MATERIALIZED (SELECT k.q, w.node, w.peer, w.w FROM kept k JOIN w USING (e)),
-      steps AS MATERIALIZED (SELECT q, node, peer, w / sum(w) OVER (PARTITION BY q, node) AS share FROM links), {', '.join(steps)} SELECT q AS query_id, id, round(mass, 6) AS mass FROM r{ROUNDS}"""
+      steps AS MATERIALIZED (SELECT q, node, peer, w / sum(w) OVER (PARTITION BY q, node) AS share FROM links), {', '.join(steps)} SELECT q AS query_id, id, floor(mass / 1e15::DOUBLE * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE AS mass FROM r{ROUNDS}"""
 
 
-SIZES_SQL = f"""WITH {GRAPH_SQL}, w AS MATERIALIZED (SELECT source_id AS node, target_id AS peer FROM edges WHERE type = 'belongs_to' UNION ALL SELECT target_id, source_id FROM edges WHERE type = 'belongs_to'),
+SIZES_SQL = f"""WITH {GRAPH_SQL}, w AS MATERIALIZED (SELECT source_id AS node, target_id AS peer FROM edges UNION ALL SELECT target_id, source_id FROM edges),
   h0 AS (SELECT id AS q, id FROM nodes WHERE type = 'nation'), h1 AS MATERIALIZED (SELECT q, peer AS id, row_number() OVER (PARTITION BY q ORDER BY peer) AS place FROM h0 JOIN w ON node = id),
   k1 AS (SELECT q, id FROM h1 WHERE place <= 39), h2 AS MATERIALIZED (SELECT DISTINCT q, peer AS id FROM k1 JOIN w ON node = id WHERE peer <> q AND (q, peer) NOT IN (SELECT q, id FROM k1)),
   n1 AS (SELECT q, count(*) AS n FROM h1 GROUP BY 1), n2 AS (SELECT q, count(*) AS n FROM h2 GROUP BY 1)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import engine, graph_queries, paper_queries, retrieval_queries, store_queries, stream_queries, text_queries
+from . import engine, graph_queries, paper_queries, retrieval_queries, standing_queries, store_queries, stream_queries, text_queries
 
-MODULES = (graph_queries, paper_queries, retrieval_queries, text_queries, store_queries, stream_queries, engine)
+MODULES = (graph_queries, paper_queries, retrieval_queries, text_queries, store_queries, standing_queries, stream_queries, engine)
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

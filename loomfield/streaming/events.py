@@ -42,14 +42,15 @@ def publish(stream: DataFrame, name: str, handlers: list) -> None:
     stream.writeStream.option("checkpointLocation", root).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
 
 
-def run_to_end(stream: DataFrame, name: str, keys: list[str] | None = None) -> DataFrame:
+def run_to_end(stream: DataFrame, name: str, keys: list[str] | None = None, root: str | None = None) -> DataFrame:
     """Read all there is, then stop; what the stream put out, as a table in the shared folder.
 
     Each batch writes a folder of its own number, so a batch that is run again after a failure replaces its rows.
-    With ``keys`` the stream puts out updated rows and the latest batch's row of each key counts; else rows are final.
+    With ``keys`` the stream puts out updated rows and the latest batch's row of each key counts; else rows are final. A run in the
+    folder ``root`` goes on where the last one there ended, and gives the rows of both.
     """
     spark = stream.sparkSession
-    root = scratch(spark, name)
+    root = root or scratch(spark, name)
 
     def put(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/out/number={number}")
