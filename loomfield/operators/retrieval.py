@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from loomfield.functions import words
 from loomfield.sources.tables import staged
@@ -56,7 +57,7 @@ def nearest(questions: DataFrame, rows: DataFrame, k: int, block: int = BLOCK) -
     only those are shuffled. Null vectors are left out on both sides, zero vectors are similar to nothing (0), and
     unequal widths raise.
     """
-    spark, kind = rows.sparkSession, rows.schema["id"].dataType.simpleString()
+    spark, kind, kind_of_id = rows.sparkSession, rows.schema["id"].dataType.simpleString(), to_arrow_type(rows.schema["id"].dataType)
     asked = staged(questions.where("vector is not null").select(F.col("query_id").cast("string").alias("query_id"), F.col("vector").cast("array<double>").alias("vector")), "questions")
     blocks = -(-asked.count() // block)
     rows = rows.where("vector is not null").select("id", F.col("vector").cast("array<double>").alias("vector"))
@@ -76,7 +77,7 @@ def nearest(questions: DataFrame, rows: DataFrame, k: int, block: int = BLOCK) -
                 found = _best(*(new if found is None else (np.concatenate(x) for x in zip(found, new, strict=True))), k)
             if found is not None:
                 query, ids, score = found
-                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in query], pa.string()), pa.array(ids.tolist(), _arrow(kind)), pa.array(score)], names=["query_id", "id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in query], pa.string()), pa.array(ids.tolist(), kind_of_id), pa.array(score)], names=["query_id", "id", "score"])
 
         return rows.mapInArrow(run, schema)
 
@@ -92,15 +93,11 @@ def nearest(questions: DataFrame, rows: DataFrame, k: int, block: int = BLOCK) -
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _arrow(kind: str) -> pa.DataType:
-    return {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}[kind]
-
-
 def lexical_index(docs: DataFrame, id_column: str, text_column: str, stemmed: bool = False, only: frozenset | None = None) -> DataFrame:
     """Inverted index (id, term, tf, length), one text a row, made without a shuffle.
 
     Terms are lower-case runs of letters and digits; ``stemmed`` leaves out stop words and strips suffixes. ``only``
-    keeps just these terms: a search never moves the others.
+    keeps just these terms, so a search never moves the others, and adds a row of the empty term for each text that has any.
     """
     kind, split = docs.schema[id_column].dataType.simpleString(), words.terms if stemmed else words.words
 
@@ -110,26 +107,15 @@ def lexical_index(docs: DataFrame, id_column: str, text_column: str, stemmed: bo
             for own, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 listed = split(text)
                 counts = Counter(listed)
-                for t in counts if only is None else counts.keys() & only:
+                if only is not None and listed:
+                    counts[""] = len(listed)
+                for t in counts if only is None else counts.keys() & (only | {""}):
                     ids.append(own), terms.append(t), tf.append(counts[t]), length.append(len(listed))
             yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(0).type), pa.array(terms, pa.string()), pa.array(tf, pa.int64()), pa.array(length, pa.int64())], names=["id", "term", "tf", "length"])
 
     return docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, f"id {kind}, term string, tf bigint, length bigint")
 
 
-def text_sizes(docs: DataFrame, text_column: str, stemmed: bool = False) -> tuple[int, float]:
-    """Texts with a term, and their mean number of terms."""
-    split = words.terms if stemmed else words.words
-
-    def run(batches):
-        for b in batches:
-            n = [len(split(t)) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([sum(x > 0 for x in n)], pa.int64()), pa.array([sum(n)], pa.int64())], names=["docs", "terms"])
-
-    got = docs.select(F.col(text_column).cast("string").alias("text")).mapInArrow(run, "docs bigint, terms bigint").agg(F.sum("docs").alias("d"), F.sum("terms").alias("t")).first()
-    return int(got["d"] or 0), float(got["t"] or 0) / max(int(got["d"] or 0), 1)
-
-
 def lexical(docs: DataFrame, id_column: str, text_column: str, questions: dict[str, str], stemmed: bool = True) -> DataFrame:
     """(query_id, id, score) of the texts with every term of a question, scored by BM25; blank questions find nothing.
 
@@ -140,8 +126,9 @@ def lexical(docs: DataFrame, id_column: str, text_column: str, questions: dict[s
     spark = docs.sparkSession
     if not asked:
         return spark.createDataFrame([], f"query_id string, id {docs.schema[id_column].dataType.simpleString()}, score double")
-    n_docs, mean = text_sizes(docs, text_column, stemmed)
-    hits = staged(lexical_index(docs, id_column, text_column, stemmed, frozenset(t for _, t, _ in asked)), "lexical")
+    found = staged(lexical_index(docs, id_column, text_column, stemmed, frozenset(t for _, t, _ in asked)), "lexical")
+    size = found.where("term = ''").agg(F.count("*").alias("n"), F.sum("tf").alias("terms")).first()
+    n_docs, mean, hits = size["n"], (size["terms"] or 0) / max(size["n"], 1), found.where("term <> ''")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / (mean or 1.0)))

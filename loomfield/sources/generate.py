@@ -38,3 +38,20 @@ def load_edges(spark: SparkSession, n: int, per_node: int = 3, domain: str = "lo
     to = F.when(to == F.col("a"), F.pmod(to + 1, F.lit(n))).otherwise(to)
     return rows.select(F.concat_ws("|", _name(F.col("a")), F.col("k").cast("string")).alias("id"), _name(F.col("a")).alias("source_id"), _name(to).alias("target_id"), F.lit("uses").alias("type"), (0.3 + 0.7 * _unit("a", "k", F.lit("w"))).alias("confidence"), F.lit(domain).alias("domain"))
 
+
+
+def load_evidence(spark: SparkSession, n: int, domain: str = "load", width: int = 64) -> DataFrame:
+    """A piece of evidence for each node (id, text, node_ids, vector, domain): it names the node and the next one."""
+    _, vectors = load_nodes(spark, n, f"{domain} evidence", width)
+    i = F.substring("id", 6, 10).cast("long")
+    said = F.format_string("entity %d relates to topic %d and entity %d", i, i % 1000, (i + 1) % n)
+    turned = F.transform("vector", lambda x, j: F.when(j % 2 == 0, x).otherwise(-x))
+    return vectors.select(F.concat(F.lit("p-"), "id").alias("id"), said.alias("text"), F.array(F.col("id"), _name((i + 1) % n)).alias("node_ids"), turned.alias("vector"), F.lit(domain).alias("domain"))
+
+
+def load_store(spark: SparkSession, n: int, domain: str = "load", width: int = 64):
+    """The whole of a generated store: nodes, edges, vectors and evidence."""
+    from loomfield.operators.field import Store
+
+    nodes, vectors = load_nodes(spark, n, domain, width)
+    return Store(nodes, load_edges(spark, n, domain=domain), vectors, load_evidence(spark, n, domain, width))

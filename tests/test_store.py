@@ -365,6 +365,7 @@ def test_small_pieces(spark):
 
 
 def test_pdf_files(spark, tmp_path):
+    import base64
     import zlib
 
     from loomfield.sources import pdf
@@ -382,3 +383,8 @@ def test_pdf_files(spark, tmp_path):
     words = ("Hello (PDF) w\norld again\nHi.", None)
     assert got == {"a.pdf": words, "b.pdf": words, "c.pdf": (None, "not a PDF"), "d.pdf": (None, "encrypted"), "e.pdf": (None, "no text")}
     assert pdf.text_of(files["b.pdf"], -1)[1] == "took too long"
+    hexed, a85 = stream(b"/Filter /ASCIIHexDecode", shown.hex().encode() + b">"), stream(b"/Filter [/ASCII85Decode /FlateDecode]", base64.a85encode(packed, adobe=True))
+    assert [pdf.text_of(b"%PDF-1.4\n" + x)[1] for x in (hexed, a85)] == [None, None] and pdf.text_of(b"%PDF-1.4\n" + hexed)[0].split() == words[0].split()
+    assert pdf.text_of(b"%PDF-1.4\n" + stream(b"", shown) + stream(b"/Filter /LZWDecode", b"x"))[1] == "streams not read: LZWDecode"
+    bomb = stream(b"/Filter /FlateDecode", zlib.compress(bytes(pdf.MOST_BYTES + 1)))
+    assert pdf.text_of(b"%PDF-1.4\n" + bomb)[1].startswith("a stream unpacks to more")
