@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomfield.operators import field, graph, postings, vector_index
+from loomfield.operators import field, graph, postings, sketches, vector_index
 from loomfield.plans.paper_queries import HOPS, SIZES_SQL
 from loomfield.plans.retrieval_queries import K, TOPK_SQL
 from loomfield.plans.views import edges, nodes
 from loomfield.sources import buckets
-from loomfield.sources.tables import scratch, table
+from loomfield.sources.tables import scratch, staged, table
 
 CELLS, BEST = 24, 5
 
@@ -60,7 +60,21 @@ def stored_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return sizes.join(cut.withColumn("truncated", F.lit(True)), "query_id", "left").fillna({"truncated": False})
 
 
+def bucketed_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    """p50 and p95 of each event type from sketches of its days, merged; whether their ranks are within twice the sketch's error."""
+    log = table(spark, sf, "events").withColumn("day", F.to_date("ts"))
+    days = staged(sketches.sketched(log, "event_type", "day", value="value"), "sketches")
+    found = sketches.merged(days, "event_type").withColumn("p50", sketches.percentile(0.5)).withColumn("p95", sketches.percentile(0.95))
+    found = staged(found.select("event_type", "n", "p50", "p95"), "sketched-percentiles")
+    slack, out = 2 * sketches.rank_error(), found.select("event_type", "n")
+    for name, share in (("p50", 0.5), ("p95", 0.95)):
+        rank = sketches.rank_range(log, found, "event_type", value="value", column=name)
+        out = out.join(rank.select("event_type", ((F.col(f"{name}_low") <= share + slack) & (F.col(f"{name}_high") >= share - slack)).alias(f"{name}_holds")), "event_type")
+    return out
+
+
 QUERIES = {
+    "bucketed_percentiles": (bucketed_percentiles, "SELECT event_type, count(value) AS n, true AS p50_holds, true AS p95_holds FROM events GROUP BY 1"),
     "indexed_topk": (indexed_topk, f"WITH {TOPK_SQL} SELECT query_id, id, round(score, 5) AS score FROM near"),
     "indexed_topk_by_type": (indexed_topk_by_type, f"""WITH near AS (SELECT q.vec_id::VARCHAR AS query_id, e.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score
       FROM embeddings q JOIN embeddings e USING (label) WHERE q.vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, e.vec_id) <= {K})

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loomfield.operators import dataflow, field, graph, postings, retrieval, standing, vector_index
+from loomfield.operators import dataflow, field, graph, postings, retrieval, sketches, standing, vector_index
 from loomfield.sources import buckets, generate, tables
 from loomfield.streaming import events, state
 from test_field import by_hand, small
@@ -236,3 +236,27 @@ def test_streams_of_events_stay_readable(spark, path):
     spark.createDataFrame([(1, "a")], "n bigint, k string").write.parquet(f"{path}/in")
     stream = spark.readStream.schema("n bigint, k string").parquet(f"{path}/in")
     assert events.run_to_end(stream, "plain").count() == 1
+
+
+def test_percentiles_of_merged_sketches(spark):
+    rng = random.Random(7)
+    rows = [("hot" if i % 3 else f"k{i % 4}", i % 30, rng.choice([rng.gauss(0, 1), rng.expovariate(0.1), 5.0]) if i % 50 else None) for i in range(30_000)] + [("none", 1, None), ("one", 1, 2.5)]
+    df = spark.createDataFrame(rows, "key string, day int, value double").repartition(7)
+    days = sketches.sketched(df, "key", "day", value="value")
+    got = {r["key"]: r for r in sketches.merged(days, "key").select("key", "n", *[sketches.percentile(p).alias(f"p{i}") for i, p in enumerate((0, 0.25, 0.5, 0.95, 1))]).collect()}
+    assert set(got) == {"hot", "k0", "k1", "k2", "k3", "one"} and got["one"]["p2"] == 2.5
+    for key, r in got.items():
+        held = sorted(v for k, _, v in rows if k == key and v is not None)
+        assert r["n"] == len(held) and (r["p0"], r["p4"]) == (held[0], held[-1])
+        for i, p in ((1, 0.25), (2, 0.5), (3, 0.95)):
+            low, high = sum(v < r[f"p{i}"] for v in held) / len(held), sum(v <= r[f"p{i}"] for v in held) / len(held)
+            assert low - 2 * sketches.rank_error() <= p <= high + 2 * sketches.rank_error()
+    part = sketches.merged(days.where("day < 10"), "key").where("key = 'hot'").first()  # any range of buckets
+    assert part["n"] == sum(k == "hot" and d < 10 and v is not None for k, d, v in rows)
+
+
+def test_hubs_read_their_edges_once(spark):
+    from loomfield.plans import graph_queries
+
+    plan = graph_queries.hubs(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem.parquet") == 1
