@@ -101,6 +101,39 @@ def personalized_pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame |
     return ids.join(mass, "n", "left").select("id", F.coalesce("mass", F.lit(0.0)).alias("mass"))
 
 
+def forward_push(edges: DataFrame, seeds: DataFrame, restart: float = 0.15, bound: float = 1e-4, rounds: int = 200) -> DataFrame:
+    """(query_id, id, mass, residual): Personalized PageRank of many questions at once, touching only nodes that still hold much.
+
+    ``seeds``: (query_id, id, weight), weights above 0; edges count as in ``personalized_pagerank``. A node whose residual
+    exceeds ``bound`` times its number of neighbours keeps ``restart`` of it as mass and hands the rest on along its
+    edges; all such nodes of all questions move in one join and one aggregation. Masses are below the true ones, by the sum
+    of a question's residuals in all. A node without edges hands its rest to the question's seeds. A hub's edges are
+    rows like any others, and the join's skew handling splits them.
+    """
+    weight = F.coalesce(F.col("confidence").cast("double"), F.lit(0.5))
+    walk = ends(edges.where("source_id <> target_id").withColumn("w", F.when(weight > 0, weight).otherwise(0.01)), "w")
+    pairs = staged(walk.groupBy("node", "peer").agg(F.sum("w").alias("w")), "push-pairs")
+    sums = pairs.groupBy("node").agg(F.sum("w").alias("total"), F.count(F.lit(1)).alias("peers"))
+    steps = staged(pairs.join(sums, "node").select("node", "peer", (F.col("w") / F.col("total")).alias("share")), "push-steps")
+    peers = staged(sums.select("node", "peers"), "push-peers")
+    given = seeds.where("weight > 0").groupBy("query_id", F.col("id").alias("node")).agg(F.sum("weight").alias("w"))
+    given = staged(given.select("query_id", "node", (F.col("w") / F.sum("w").over(Window.partitionBy("query_id"))).alias("part")), "push-seeds")
+    state = staged(given.select("query_id", "node", F.lit(0.0).alias("mass"), F.col("part").alias("residual")).join(peers, "node", "left"), "push-state")
+    for _ in range(rounds):
+        much = F.col("residual") > bound * F.coalesce("peers", F.lit(1))
+        if state.where(much).isEmpty():
+            break
+        moving = state.where(much).select("query_id", "node", "peers", ((1 - restart) * F.col("residual")).alias("out"))
+        handed = moving.where("peers is not null").join(steps, "node").select("query_id", F.col("peer").alias("node"), (F.col("out") * F.col("share")).alias("residual"))
+        lost = moving.where("peers is null").groupBy("query_id").agg(F.sum("out").alias("out"))
+        back = lost.join(given, "query_id").select("query_id", "node", (F.col("out") * F.col("part")).alias("residual"))
+        kept = state.select("query_id", "node", (F.col("mass") + F.when(much, restart * F.col("residual")).otherwise(0.0)).alias("mass"), F.when(much, 0.0).otherwise(F.col("residual")).alias("residual"))
+        moved = handed.union(back).select("query_id", "node", F.lit(0.0).alias("mass"), "residual")
+        summed = kept.union(moved).groupBy("query_id", "node").agg(F.sum("mass").alias("mass"), F.sum("residual").alias("residual"))
+        state = staged(summed.join(peers, "node", "left"), "push-state")
+    return state.select("query_id", F.col("node").alias("id"), "mass", "residual")
+
+
 def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:
     """(id, label): all nodes take the most frequent label among their neighbours at once; ties go to the smallest label.
 

@@ -260,3 +260,36 @@ def test_hubs_read_their_edges_once(spark):
 
     plan = graph_queries.hubs(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("lineitem.parquet") == 1
+
+
+@pytest.mark.parametrize("bound", [1e-2, 1e-5])
+def test_pushed_walks_are_within_their_residuals(spark, bound):
+    rng = random.Random(14)
+    nodes = [f"n{i:02d}" for i in range(50)]
+    edges = [(f"e{i}", "n00" if i % 5 == 0 else rng.choice(nodes[:45]), rng.choice(nodes[:45]), rng.choice([0.9, 0.5, 0.0, None])) for i in range(150)]
+    df = spark.createDataFrame([(*e[:3], "uses", e[3]) for e in edges], "id string, source_id string, target_id string, type string, confidence double")
+    seeds = [("a", "n03", 1.0), ("a", "n07", 3.0), ("b", "n00", 1.0), ("c", "n48", 1.0), ("c", "n05", 1.0), ("none", "n01", 0.0)]
+    got = graph.forward_push(df, spark.createDataFrame(seeds, "query_id string, id string, weight double"), bound=bound).collect()
+    assert {r["query_id"] for r in got} == {"a", "b", "c"}
+    links = {}
+    for _, a, b, w in edges:
+        if a != b:
+            w = 0.5 if w is None else w if w > 0 else 0.01
+            for x, y in ((a, b), (b, a)):
+                links.setdefault(x, Counter())[y] += w
+    for q in "abc":
+        start = Counter()
+        for p, n, w in seeds:
+            start[n] += w * (p == q)
+        start = {n: w / sum(start.values()) for n, w in start.items() if w}
+        mass = dict(start)
+        for _ in range(400):
+            nxt = Counter({n: 0.15 * w for n, w in start.items()})
+            for n, m in mass.items():
+                for peer, w in (links.get(n) or start).items():
+                    nxt[peer] += 0.85 * m * w / sum((links.get(n) or start).values())
+            mass = nxt
+        own = {r["id"]: r for r in got if r["query_id"] == q}
+        left = sum(r["residual"] for r in own.values())
+        assert sum(abs(m - (own[n]["mass"] if n in own else 0)) for n, m in mass.items()) == pytest.approx(left, abs=1e-9)
+        assert all(r["residual"] <= bound * max(len(links.get(n, ())), 1) + 1e-12 for n, r in own.items()) and left < 60 * bound * 8
