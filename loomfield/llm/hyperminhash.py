@@ -25,6 +25,8 @@ COLLISIONS = 0.169919487159739093975315012348630288992889
 SLACK = 6
 #: Members of a cell that compares registers; members that one cell holds a pivot for.
 CELL, STAR = 2048, 256
+#: Rows of some numbers each that go to all tasks, so that what they pick does not move; with more, both sides shuffle.
+FEW = 500_000
 #: Nodes and shingles of one chunk of a family whose full sets are compared.
 FAMILY, HELD = 512, 1 << 20
 U64 = np.uint64
@@ -109,9 +111,17 @@ def _bands(reps: DataFrame) -> DataFrame:
     return reps.select(F.explode(keys).alias("band"), "node").where("band is not null")
 
 
+def _shared(bands: DataFrame) -> DataFrame:
+    """(band, node, pivot) of the bands that more than one node has, each with its smallest node."""
+    groups = bands.groupBy("band").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    return bands.join(groups, "band").select("band", "node", "pivot")
+
+
 def _estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """Pairs (node, pivot) that may link by their registers."""
     a, b = reps.select("node", F.col("n").alias("n_a"), F.col("regs").alias("r_a")), reps.select(F.col("node").alias("pivot"), F.col("n").alias("n_b"), F.col("regs").alias("r_b"))
+    pivots = pairs.select("pivot").distinct()
+    b = b.join(F.broadcast(pivots), "pivot", "left_semi") if pivots.limit(FEW + 1).count() <= FEW else b
 
     def run(batches):
         for t in batches:
@@ -120,7 +130,7 @@ def _estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([t.column(0).filter(pa.array(keep)), t.column(1).filter(pa.array(keep))], names=["node", "pivot"])
 
     sizes = 100 * F.least("n_a", "n_b") >= LINK_PER_CENT * F.greatest("n_a", "n_b")
-    return pairs.join(a, "node").join(b, "pivot").where(sizes).select("node", "pivot", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, "node bigint, pivot bigint")
+    return a.join(bounded(pairs, FEW), "node").join(b, "pivot").where(sizes).select("node", "pivot", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, "node bigint, pivot bigint")
 
 
 def _verified(asked: DataFrame, texts: DataFrame) -> DataFrame:
@@ -187,14 +197,13 @@ def _verified(asked: DataFrame, texts: DataFrame) -> DataFrame:
                 yield rows(found)
         yield rows(list(cell.inner()))
 
-    asked = asked.join(texts, "node").select("cell", "side", "node", "comp", "text")
+    asked = texts.join(bounded(asked, FEW), "node").select("cell", "side", "node", "comp", "text")
     return asked.repartition("cell").sortWithinPartitions("cell", "side").mapInArrow(run, "u bigint, v bigint")
 
 
 def _stars(bands: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
     """Links of the members of a band with its smallest node; a node with many members is held by many cells."""
-    groups = bands.groupBy("band").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    pairs = bands.join(groups, "band").where("node <> pivot").select("node", "pivot").distinct()
+    pairs = staged(bands.where("node <> pivot").select("node", "pivot").distinct(), "hyperminhash-stars")
     pairs = staged(_estimated(pairs, reps), "hyperminhash-pairs")
     cells = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("long").alias("cells"))
     member = pairs.join(cells, "pivot").select(F.xxhash64("pivot", F.pmod(F.xxhash64("node"), "cells")).alias("cell"), F.lit(1).alias("side"), "node", F.col("node").alias("comp"))
@@ -295,7 +304,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = signatures(docs)
     nodes = staged(signed.where("key is not null").groupBy("key").agg(F.min("row").alias("node"), F.min("doc_id").alias("low")), "hyperminhash-sets")
     reps = staged(signed.select(F.col("row").alias("node"), "n", "regs").join(nodes, "node", "left_semi"), "hyperminhash-reps")
-    texts, bands = signed.select(F.col("row").alias("node"), "text"), _bands(reps)
+    texts, bands = signed.select(F.col("row").alias("node"), "text"), staged(_shared(_bands(reps)), "hyperminhash-bands")
     links = staged(_stars(bands, reps, texts), "hyperminhash-links")
     root = components(links)
     more = staged(_between(_meetings(bands, reps, root), reps, texts, root), "hyperminhash-more")
