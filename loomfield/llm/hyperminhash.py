@@ -72,20 +72,39 @@ def registers(h: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.where(some, packed, 0).astype("<u2").reshape(n, BUCKETS)
 
 
-def similar(equal: np.ndarray, either: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+def folded(regs: np.ndarray) -> np.ndarray:
+    """Registers as one byte each, 0 for empty ones: what differs agrees by chance once in 255."""
+    mixed = ragged.mix(regs.astype(U64) * U64(ragged.WORD_BASE))
+    return np.where(regs != 0, 1 + mixed % U64(255), 0).astype(np.uint8)
+
+
+def similar(equal: np.ndarray, either: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, byte: bool = False) -> np.ndarray:
     """Whether pairs may link: sizes allow it, and the estimate, less the agreements that chance brings, is not too low.
 
-    ``equal`` counts registers that agree and are not empty, ``either`` those that one of the two sets fills.
+    ``equal`` counts registers that agree and are not empty, ``either`` those that one of the two sets fills; ``byte`` ones are folded.
     """
     ratio = n_a / n_b
     chance = COLLISIONS * 2.0**-MANTISSA * 4 * ratio / (1 + ratio) ** 2 * either
+    if byte:
+        equal = np.maximum(equal - either / 255, 0) * 255 / 254
     line = LINK_PER_CENT / 100
     least = line - SLACK * np.sqrt(line * (1 - line) / np.maximum(either, 1))
     return (100 * np.minimum(n_a, n_b) >= LINK_PER_CENT * np.maximum(n_a, n_b)) & ((equal - chance) / np.maximum(either, 1) >= least)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return ragged.flat(column)[0].view("<u2").reshape(-1, BUCKETS)
+def _matrix(column: pa.Array, kind: str = "<u2") -> np.ndarray:
+    return ragged.flat(column)[0].view(kind).reshape(-1, BUCKETS)
+
+
+def _folded(reps: DataFrame) -> DataFrame:
+    """``reps`` with folded registers."""
+
+    def run(batches):
+        for b in batches:
+            rows = [r.tobytes() for r in folded(_matrix(b.column(2)))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.binary())], names=["node", "n", "regs"])
+
+    return reps.select("node", "n", "regs").mapInArrow(run, "node bigint, n bigint, regs binary")
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -252,7 +271,7 @@ def _meetings(bands: DataFrame, reps: DataFrame, root: DataFrame) -> DataFrame:
                         some = (x != 0).astype(np.float32)
                         equal = np.stack([((q == regs[cols]) & (q != 0)).sum(1) for q in x])
                         either = some.sum(1)[:, None] + full.sum(1)[None, :] - some @ full.T
-                        i, j = np.nonzero(similar(equal, either, n[r][:, None], n[cols][None, :]) & (comp[r][:, None] != comp[cols][None, :]))
+                        i, j = np.nonzero(similar(equal, either, n[r][:, None], n[cols][None, :], True) & (comp[r][:, None] != comp[cols][None, :]))
                         yield r[i], cols[j]
 
             label = joined_labels(len(node), pairs())
@@ -268,11 +287,11 @@ def _meetings(bands: DataFrame, reps: DataFrame, root: DataFrame) -> DataFrame:
                     held = []
                 cell = cells[lo]
                 p = t.slice(lo, hi - lo)
-                held.append((p.column(1).to_numpy(), p.column(2).to_numpy(), p.column(3).to_numpy(), p.column(4).to_numpy(), _matrix(p.column(5))))
+                held.append((p.column(1).to_numpy(), p.column(2).to_numpy(), p.column(3).to_numpy(), p.column(4).to_numpy(), _matrix(p.column(5), "u1")))
         if held:
             yield met()
 
-    dealt = dealt.join(reps, "node").select("cell", "side", "node", "comp", "n", "regs")
+    dealt = dealt.join(_folded(reps), "node").select("cell", "side", "node", "comp", "n", "regs")
     return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "u bigint, v bigint").distinct()
 
 
