@@ -40,7 +40,7 @@ def _initials(words: Column) -> Column:
 
 def _abbreviates(short: Column, long: Column) -> Column:
     """A name whose letters and digits are all initials of the other's words, or its first word and the initials of the rest."""
-    letters = F.regexp_replace(F.lower(F.coalesce(short, F.lit(""))), "[^\\p{L}\\p{N}]+", "")
+    letters = _letters(short)
     tail = F.slice(long, 2, F.greatest(F.size(long) - 1, F.lit(0)))
     led = F.concat(F.get(long, F.lit(0)), _initials(tail))
     return (F.length(letters) > 1) & (F.size(long) > 1) & ((letters == _initials(long)) | (letters == led))
@@ -71,6 +71,25 @@ def may_merge(a: Column, b: Column, kind: Column, other: Column | None = None) -
     return F.coalesce(decided, F.lit(False))
 
 
+def _letters(name: Column) -> Column:
+    return F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), "[^\\p{L}\\p{N}]+", "")
+
+
+def merge_keys(name: Column, other_side: bool = False) -> Column:
+    """Keys of a name; two names that ``may_merge`` share one of them, if one of the two gives those of the ``other_side``.
+
+    Such names have the same words but for generic ones, or one's letters are the other's initials. Names without a word have no key.
+    """
+    words = tokens(name)
+    tail = F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))
+    bare = F.array_sort(F.array_distinct(F.filter(words, lambda w: ~w.isin(*GENERIC))))
+    letters, initials = F.array(_letters(name)), F.array(_initials(words), F.concat(F.get(words, F.lit(0)), _initials(tail)))
+    short, long = (initials, letters) if other_side else (letters, initials)
+    marked = lambda keys, mark: F.transform(keys, lambda k: F.concat(F.lit(mark), k))
+    own = F.concat(F.array(F.concat(F.lit("words "), F.array_join(bare, " "))), marked(short, "short "), marked(long, "long "))
+    return F.when(F.size(words) > 0, F.array_distinct(own)).otherwise(F.array().cast("array<string>"))
+
+
 def _says(verdict: str, confidence: str, reason: str) -> Column:
     return F.struct(F.lit(verdict).alias("verdict"), F.lit(confidence).alias("confidence"), F.lit(reason).alias("reason"))
 

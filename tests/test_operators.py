@@ -113,3 +113,25 @@ def test_cosine(spark):
     assert one.select(cosine(F.lit([0.0, 0.0]), F.lit([1.0, 0.0]))).first()[0] == 0
     with pytest.raises(Exception, match="widths differ"):
         one.select(cosine(F.array(F.lit(1.0)), F.array(F.lit(1.0), F.col("id").cast("double")))).collect()
+
+
+def test_best_of_a_block_is_what_every_pair_would_give(spark):
+    names = ["PPR", "personalized page rank", "P.P.R.", "3DGS", "3D Gaussian Splatting", "red ring", "Red  ring model", "ring red", "model", "models", "GNMT 2", "GNMT 3", "x", "xylophone", "", None, "éa ÉB", "éÉ"]
+    rows = [(f"n{i:03d}", n, t, b, s) for i, (n, t, b, s) in enumerate((n, t, b, 0.8 + 0.01 * ((k * 7 + j) % 12)) for k, n in enumerate(names) for j, (t, b) in enumerate([("m", 1), ("m", 1), ("paper", 1), (None, 1), ("m", 2), ("x", 2), ("Paper_reference", 2)]))]
+    nodes = spark.createDataFrame(rows, "id string, name string, type string, block int, score double")
+    mentions = nodes.select(F.col("id").alias("mention_id"), F.upper("name").alias("name"), "type", "block")
+    every = mentions.select("mention_id", "block").join(nodes.select("id", "block", "score"), "block")
+    unnamed = nodes.withColumn("name", F.concat("name", F.lit(" models")))
+    for held in (nodes, unnamed):
+        whole = resolution.resolve(mentions, held.select("id", "name", "type"), every)
+        few = resolution.nearest_of_block(mentions, held)
+        assert few.count() == few.select("mention_id").distinct().count() > 0
+        assert sorted(map(tuple, resolution.resolve(mentions, held.select("id", "name", "type"), few).collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_copies_of_a_block_are_not_paired(spark):
+    copies = spark.range(60_000)
+    nodes = copies.select(F.format_string("n%06d", "id").alias("id"), F.lit("red ring").alias("name"), F.lit("m").alias("type"), F.lit(0).alias("block"), (F.lit(0.8) + F.col("id") % 10 / 100).alias("score"))
+    mentions = copies.select(F.col("id").alias("mention_id"), F.lit("red ring model").alias("name"), F.lit("m").alias("type"), F.lit(0).alias("block"))
+    found = resolution.nearest_of_block(mentions, nodes)
+    assert [tuple(r) for r in found.groupBy("id").count().collect()] == [("n000009", 60_000)]
