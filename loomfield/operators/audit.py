@@ -20,18 +20,31 @@ PAGE = 500
 # End of fixed values.
 
 
-def co_mentioned(nodes: DataFrame, edges: DataFrame, chosen: Column) -> DataFrame:
-    """(a, b): nodes, a < b, that one source mentions and of which one's name begins or ends with the other's; a is ``chosen``.
+def name_cuts(names: DataFrame) -> DataFrame:
+    """(long, name): names of (id, name) that begin or end with another one, and names of several ids with themselves.
 
-    Every name spells its beginnings and ends, which meet the names of the same source by equality: as many rows as a
-    name has letters, twice, and never all pairs of a source.
+    Every distinct name spells its beginnings and ends once, which meet the names by equality: as many rows as it has letters, twice,
+    whatever the number of sources that mention it.
     """
-    names = nodes.select("id", normalise_name(F.col("name")).alias("name"))
-    held = edges.where("type = 'mentions'").select("source_id", F.col("target_id").alias("id")).distinct().join(names, "id")
+    known = names.groupBy("name").agg((F.min("id") != F.max("id")).alias("shared"))
     n = F.length("name")
     cuts = F.array_distinct(F.concat(F.transform(F.sequence(F.lit(1), n), lambda i: F.substr("name", F.lit(1), i)), F.transform(F.sequence(F.lit(1), n), lambda i: F.substr("name", i, n))))
-    spelt = held.where("name <> ''").select("source_id", F.col("id").alias("long"), F.explode(cuts).alias("name"))
-    pairs = spelt.join(held, ["source_id", "name"]).where("long <> id").select(F.least("long", "id").alias("a"), F.greatest("long", "id").alias("b")).distinct()
+    spelt = known.select(F.col("name").alias("long"), F.explode(cuts).alias("name")).where("name <> long").join(known.select("name"), "name")
+    return spelt.select("long", "name").unionByName(known.where("shared").select(F.col("name").alias("long"), "name"))
+
+
+def co_mentioned(nodes: DataFrame, edges: DataFrame, chosen: Column) -> DataFrame:
+    """(a, b): nodes, a < b, that one source mentions and of which one's name begins or ends with the other's; a is ``chosen``.
+
+    The names that are a beginning or end of another are found first, by ``name_cuts``; only mentions of such names meet, by source and
+    shorter name, so a source's other mentions are neither spelt nor paired.
+    """
+    names = nodes.select("id", normalise_name(F.col("name")).alias("name")).where("name <> ''")
+    cuts = staged(name_cuts(names), "name-cuts")
+    held = edges.where("type = 'mentions'").select("source_id", F.col("target_id").alias("id"))
+    longs = held.join(names.withColumnRenamed("name", "long").join(cuts, "long").select("id", "name"), "id").distinct().withColumnRenamed("id", "long")
+    shorts = held.join(names.join(cuts.select("name").distinct(), "name"), "id").distinct()
+    pairs = longs.join(shorts, ["source_id", "name"]).where("long <> id").select(F.least("long", "id").alias("a"), F.greatest("long", "id").alias("b")).distinct()
     return pairs.join(nodes.where(chosen).select(F.col("id").alias("a")), "a", "left_semi").select("a", "b")
 
 
@@ -68,10 +81,11 @@ def dismissed(findings: DataFrame, ids: list[str]) -> DataFrame:
     return findings.withColumn("status", F.when(F.col("id").isin(*ids) & (F.col("status") == "proposed"), "dismissed").otherwise(F.col("status")) if ids else F.col("status"))
 
 
-def listed(findings: DataFrame, limit: int = PAGE) -> DataFrame:
-    """Surest first, then by detector and id."""
+def listed(findings: DataFrame, limit: int | None = PAGE) -> DataFrame:
+    """Surest first, then by detector and id; without a limit all of them."""
     place = F.array_position(F.array(*map(F.lit, CONFIDENCE)), F.col("confidence"))
-    return findings.orderBy(F.when(place == 0, len(CONFIDENCE) + 1).otherwise(place), "detector", "id").limit(limit)
+    rows = findings.orderBy(F.when(place == 0, len(CONFIDENCE) + 1).otherwise(place), "detector", "id")
+    return rows if limit is None else rows.limit(limit)
 
 
 def summary(findings: DataFrame) -> DataFrame:

@@ -388,3 +388,27 @@ def test_pdf_files(spark, tmp_path):
     assert pdf.text_of(b"%PDF-1.4\n" + stream(b"", shown) + stream(b"/Filter /LZWDecode", b"x"))[1] == "streams not read: LZWDecode"
     bomb = stream(b"/Filter /FlateDecode", zlib.compress(bytes(pdf.MOST_BYTES + 1)))
     assert pdf.text_of(b"%PDF-1.4\n" + bomb)[1].startswith("a stream unpacks to more")
+
+
+def test_co_mentioned_names_meet_as_names(spark):
+    from loomfield.operators import audit
+
+    words = ["red", "red ring", "our red ring", "ring", "Red", " red ", "blue", "", None, "a", "aa", "é", "éé", "red ring k1", "k1"]
+    nodes = spark.createDataFrame([(f"n{i:02d}", w) for i, w in enumerate(words)], "id string, name string")
+    held = [(f"s{s}", f"n{i:02d}") for s in range(5) for i in range(len(words)) if (i * 7 + s) % 3] + [("s0", "n01")]
+    edges = spark.createDataFrame([(a, b, "mentions") for a, b in held] + [("s9", "n00", "uses"), ("s9", "n01", "uses")], "source_id string, target_id string, type string")
+    low = {f"n{i:02d}": w.strip(" ").lower() for i, w in enumerate(words) if w}
+    related = lambda x, y: low.get(x) and low.get(y) and (low[x].startswith(low[y]) or low[x].endswith(low[y]))
+    want = {(a, b) for s, a in held for t, b in held if s == t and a < b and (related(a, b) or related(b, a))}
+    assert {tuple(r) for r in audit.co_mentioned(nodes, edges, F.lit(True)).collect()} == want
+    assert {tuple(r) for r in audit.co_mentioned(nodes, edges, F.col("id") == "n00").collect()} == {p for p in want if p[0] == "n00"}
+    # spelt once for each name, however many sources mention it: nothing of the edges is needed
+    names = spark.createDataFrame([("x", "red ring"), ("y", "red"), ("z", "blue"), ("u", "tin"), ("v", "tin")], "id string, name string")
+    assert {tuple(r) for r in audit.name_cuts(names).collect()} == {("red ring", "red"), ("tin", "tin")}
+
+
+def test_listing_findings_without_a_limit(spark):
+    from loomfield.operators import audit
+
+    found = spark.range(700).select(F.col("id").cast("string").alias("id"), F.lit("low").alias("confidence"), F.lit("d").alias("detector"))
+    assert audit.listed(found).count() == 500 and audit.listed(found, None).count() == 700
