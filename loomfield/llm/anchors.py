@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomfield.sources.tables import release
+
 from . import ragged
 from .common import staged
 from .recurring import keyed, parts_for, recurring, total_bytes
@@ -24,12 +25,6 @@ def block_of(window: int) -> int:
     return (window + 1) // 2
 
 
-def release(spark) -> None:
-    """Let Spark delete the shuffle files of finished steps."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def _words(batch: pa.RecordBatch):
     data, off = ragged.flat(batch.column("text"))
     start, end, by_text = ragged.word_bounds(data, off)

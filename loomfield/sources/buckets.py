@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomfield.sources.tables import release, scope, staged
+
 #: Rows of one bucket, about; a table has as many buckets as its first rows ask for.
 PER_BUCKET = 1 << 20
 #: Keys that are pushed into the scan one by one; with more, only their buckets are.
@@ -68,12 +72,24 @@ class Buckets:
 
     def append(self, rows: DataFrame) -> Buckets:
         """The table with ``rows`` added, as a segment of their own; what has been written before is not touched."""
-        return _published(replace(self, segments=(*self.segments, _written(rows, self.path, self.key, self.buckets)), version=self.version + 1))
+        with _once(rows) as held:
+            return _published(replace(self, segments=(*self.segments, _written(held, self.path, self.key, self.buckets)), version=self.version + 1))
 
     def replaced(self, rows: DataFrame, buckets: int | None = None) -> Buckets:
         """The table with ``rows`` in place of all segments; the old ones stay for readers that hold them."""
         n = buckets or self.buckets
-        return _published(replace(self, buckets=n, segments=(_written(rows, self.path, self.key, n),), version=self.version + 1))
+        with _once(rows) as held:
+            return _published(replace(self, buckets=n, segments=(_written(held, self.path, self.key, n),), version=self.version + 1))
+
+
+@contextmanager
+def _once(rows: DataFrame) -> Iterator[DataFrame]:
+    """``rows`` computed once, as a table that goes with the block; the shuffles that made it go before it is dealt out."""
+    with scope(rows.sparkSession) as own:
+        held = staged(rows, "bucket-rows")
+        release(rows.sparkSession)
+        yield held
+        own.forget()
 
 
 def hashed(key: Column, buckets: int) -> Column:
@@ -81,7 +97,10 @@ def hashed(key: Column, buckets: int) -> Column:
 
 
 def _written(rows: DataFrame, path: str, key: str, buckets: int) -> str:
-    """A new segment: range-sorted by bucket and key, so that a hot key's rows are spread over tasks and files."""
+    """A new segment: range-sorted by bucket and key, so that a hot key's rows are spread over tasks and files.
+
+    ``rows`` are read twice, to find the ranges and to deal them out, so they are a written table.
+    """
     name = f"segment-{uuid.uuid4().hex}"
     rows = rows.withColumn("bucket", hashed(F.col(key), buckets))
     salt = F.xxhash64(*[F.col(f"`{c}`") for c, kind in rows.dtypes if "map<" not in kind])
@@ -96,8 +115,9 @@ def _published(table: Buckets) -> Buckets:
 
 def create(rows: DataFrame, key: str, path: str, per_bucket: int = PER_BUCKET) -> Buckets:
     """Store ``rows`` under ``path`` by ``key``. A null key is stored but never found."""
-    buckets = max(1, -(-rows.count() // per_bucket))
-    return _published(Buckets(rows.sparkSession, path, key, buckets, (_written(rows, path, key, buckets),), 1))
+    with _once(rows) as held:
+        buckets = max(1, -(-held.count() // per_bucket))
+        return _published(Buckets(rows.sparkSession, path, key, buckets, (_written(held, path, key, buckets),), 1))
 
 
 def opened(spark: SparkSession, path: str) -> Buckets:

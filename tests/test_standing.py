@@ -293,3 +293,28 @@ def test_pushed_walks_are_within_their_residuals(spark, bound):
         left = sum(r["residual"] for r in own.values())
         assert sum(abs(m - (own[n]["mass"] if n in own else 0)) for n, m in mass.items()) == pytest.approx(left, abs=1e-9)
         assert all(r["residual"] <= bound * max(len(links.get(n, ())), 1) + 1e-12 for n, r in own.items()) and left < 60 * bound * 8
+
+
+def test_questions_of_one_set_of_terms_are_searched_once_and_no_block_is_spelt(spark, path):
+    docs = spark.createDataFrame([(f"d{i:03d}", "river stone" if i % 9 == 0 else "river") for i in range(300)], "id string, text string")
+    index = postings.create(docs, "id", "text", path, False, per_bucket=100)
+    asked = spark.createDataFrame([("a", "river stone"), ("b", "Stone river river"), ("c", "river"), ("d", "absent")], "query_id string, text string")
+    one, members = index._alike(asked)
+    assert one.count() == 3 and {tuple(r) for r in members.select("query_id", "one").collect()} == {("a", "a"), ("b", "a"), ("c", "c"), ("d", "d")}
+    got = index.search(asked, 5).collect()
+    assert {r["id"] for r in got if r["query_id"] == "a"} == {r["id"] for r in got if r["query_id"] == "b"} and len([r for r in got if r["query_id"] == "c"]) == 5
+
+
+def test_rows_of_a_stored_table_are_computed_once(spark, path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.range(500).mapInArrow(count, "id bigint")
+    table = buckets.create(rows, "id", path, per_bucket=100)
+    assert seen.value == 500 and table.rows.count() == 500
+    table = table.append(rows)
+    assert seen.value == 1000 and table.rows.count() == 1000
