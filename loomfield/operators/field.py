@@ -183,6 +183,34 @@ def walked(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, restart: float
     return rows.groupBy("query_id").applyInPandas(walk, "query_id string, id string, mass double")
 
 
+def walked_by_rounds(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, restart: float = 0.15, rounds: int = 30) -> DataFrame:
+    """``walked`` for neighbourhoods of any size: each round is a join and an aggregation over all questions, and no task holds a question.
+
+    The same masses in the same units; weights and what idle nodes hold are whole numbers, whose sums do not depend on an order.
+    """
+    key = ["query_id", "id"]
+    given = nodes.join(seeds.where("score > 0").groupBy(*key).agg(F.max("score").alias("score")), key, "left").fillna(0.0, ["score"])
+    sums = given.groupBy("query_id").agg(F.sum("score").alias("all"), F.count(F.lit(1)).alias("n"))
+    start = given.join(sums, "query_id").select(*key, F.when(F.col("all") > 0, F.col("score") / F.col("all")).otherwise(1 / F.col("n")).alias("start"))
+    inside = lambda end: nodes.select("query_id", F.col("id").alias(end))
+    weight = F.floor(F.when(F.col("w") > 0, F.col("w")).otherwise(0.01) * WEIGHT_UNITS + 0.5).cast("double")
+    links = edges.where("source_id <> target_id").select("query_id", "source_id", "target_id", weight.alias("w"))
+    links = links.join(inside("source_id"), ["query_id", "source_id"], "left_semi").join(inside("target_id"), ["query_id", "target_id"], "left_semi")
+    way = lambda a, b: F.struct(F.col(a).alias("id"), F.col(b).alias("peer"))
+    links = staged(links.select("query_id", "w", F.explode(F.array(way("source_id", "target_id"), way("target_id", "source_id"))).alias("x")).select("query_id", "x.*", "w"), "walk-links")
+    totals = links.groupBy(*key).agg(F.sum("w").alias("total"))
+    steps = staged(links.join(totals, key).select(*key, "peer", (F.col("w") / F.col("total")).alias("share")), "walk-steps")
+    state = start.join(totals, key, "left").select(*key, "start", F.col("total").isNull().alias("idle"))
+    state = staged(state.withColumn("mass", F.floor(F.col("start") * UNITS + 0.5).cast("double")), "walk-mass")
+    for _ in range(rounds):
+        moved = state.select(*key, "mass").where("mass <> 0").join(steps, key).groupBy("query_id", F.col("peer").alias("id")).agg(F.sum(F.floor(F.col("mass") * F.col("share") + 0.5).cast("double")).alias("moved"))
+        idle = state.groupBy("query_id").agg(F.sum(F.when(F.col("idle"), F.col("mass")).otherwise(0.0)).alias("back"))
+        new = state.drop("mass").join(moved, key, "left").join(idle, "query_id")
+        mass = F.floor((1 - restart) * (F.coalesce("moved", F.lit(0.0)) + F.col("back") * F.col("start")) + restart * UNITS * F.col("start") + 0.5).cast("double")
+        state = staged(new.select(*key, "start", "idle", mass.alias("mass")), "walk-mass")
+    return state.select(*key, (F.col("mass") / UNITS).alias("mass"))
+
+
 def graph_signal(naming: DataFrame, mass: DataFrame, top: DataFrame, depth: int) -> DataFrame:
     """(query_id, id, score): evidence that names one of the ``top`` nodes, by the mass of all nodes it names.
 

@@ -171,3 +171,15 @@ def test_compressed_evidence_by_hand(spark):
         while len(taken) < 5:
             taken.append(max((i for i in near if i not in taken), key=lambda i: 0.7 * rel[i] - 0.3 * max([0] + [cos(vec[i], vec[t]) for t in taken])))
         assert got[q] == taken
+
+
+def test_walk_by_rounds_is_the_walk_of_one_task(spark):
+    nodes = spark.createDataFrame([(q, f"n{i}") for q in "ab" for i in range(7)] + [("c", "n0"), ("c", "n1")], "query_id string, id string")
+    links = [("a", "n0", "n1", 0.3), ("a", "n1", "n2", 0.7), ("a", "n0", "n1", 0.9), ("a", "n3", "n3", 1.0), ("a", "n4", "away", 1.0), ("b", "n0", "n5", 0.0), ("b", "n5", "n6", -1.0), ("b", "n0", "n2", 0.123456)]
+    edges = spark.createDataFrame(links, "query_id string, source_id string, target_id string, w double")
+    seeds = spark.createDataFrame([("a", "n0", 2.0), ("a", "n4", 1.0), ("b", "n0", 0.0), ("b", "away", 1.0)], "query_id string, id string, score double")
+    want = {(r["query_id"], r["id"]): r["mass"] for r in field.walked(nodes, edges, seeds, rounds=4).collect()}
+    by_rounds = field.walked_by_rounds(nodes, edges, seeds, rounds=4)
+    got = {(r["query_id"], r["id"]): r["mass"] for r in by_rounds.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert "Pandas" not in by_rounds._jdf.queryExecution().toString()
