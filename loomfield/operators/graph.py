@@ -230,9 +230,10 @@ def contract(nodes: DataFrame, edges: DataFrame, mapping: DataFrame) -> tuple[Da
     moved = edges.join(source, "source_id", "left").join(target, "target_id", "left")
     moved = moved.withColumn("source_id", F.coalesce("new_source", "source_id")).withColumn("target_id", F.coalesce("new_target", "target_id"))
     moved = moved.drop("new_source", "new_target").where("source_id <> target_id")
-    whole = F.struct(*(F.col(c) for c in edges.columns))
-    best = moved.groupBy("source_id", "target_id", "type").agg(F.min_by(whole, "id").alias("row"))
-    return kept, best.select("row.*")
+    claim = ["source_id", "target_id", "type"]
+    rest = F.struct(*(F.col(c) for c in edges.columns if c not in claim))  # the claim itself is the key of its group
+    best = moved.groupBy(*claim).agg(F.min_by(rest, "id").alias("row"))
+    return kept, best.select(*claim, "row.*").select(*edges.columns)
 
 
 def duplicates(nodes: DataFrame) -> DataFrame:

@@ -135,3 +135,11 @@ def test_copies_of_a_block_are_not_paired(spark):
     mentions = copies.select(F.col("id").alias("mention_id"), F.lit("red ring model").alias("name"), F.lit("m").alias("type"), F.lit(0).alias("block"))
     found = resolution.nearest_of_block(mentions, nodes)
     assert [tuple(r) for r in found.groupBy("id").count().collect()] == [("n000009", 60_000)]
+
+
+def test_contraction_moves_a_claim_once(spark):
+    edges = spark.createDataFrame([("e2", "a", "c", "uses", 0.5), ("e1", "b", "c", "uses", 0.7), ("e3", "a", "b", "uses", 0.1)], "id string, source_id string, target_id string, type string, confidence double")
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
+    _, kept = graph.contract(nodes, edges, spark.createDataFrame([("b", "a")], "loser string, keeper string"))
+    assert kept.columns == edges.columns and [tuple(r) for r in kept.collect()] == [("e1", "a", "c", "uses", 0.7)]
+    assert "source_id" not in kept._jdf.queryExecution().analyzed().toString().split("min_by(")[1].split(") AS")[0]
