@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from loomfield.sources.tables import release
 
 from . import ragged
-from .common import staged
+from .common import shuffled, staged
 from .recurring import keyed, parts_for, recurring, total_bytes
 
 WINDOW = 35
@@ -106,7 +106,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), text, b.column("key"), b.column("hits"), pa.array(np.diff(by_text)), pa.array(sha, pa.string())], names=["doc_id", "text", "key", "hits", "n_words", "sha"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    met = staged(docs.join(blocks, "key", "left").select("doc_id", "text", "key", "hits").mapInArrow(first_pass, f"doc_id {kind}, text string, key binary, hits binary, n_words bigint, sha string"), "anchors")
+    met = staged(docs.join(shuffled(blocks), "key", "left").select("doc_id", "text", "key", "hits").mapInArrow(first_pass, f"doc_id {kind}, text string, key binary, hits binary, n_words bigint, sha string"), "anchors")
     release(spark)
     open_ = met.where("hits is not null")
     found = recurring(open_.select("key", "text", "hits"), _window_keys(window), parts_for(open_.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n")).first()["n"]), "wide")
@@ -134,7 +134,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 spans.append(",".join(f"{x}:{y}" for x, y in runs))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_words"), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(spans, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "spans"])
 
-    done = open_.join(found, "key", "left").select("doc_id", "text", "hits", "again", "n_words").mapInArrow(second_pass, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string, spans string")
+    done = open_.join(shuffled(found), "key", "left").select("doc_id", "text", "hits", "again", "n_words").mapInArrow(second_pass, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string, spans string")
     clear = met.where("hits is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), F.lit("").alias("spans"))
     return done.union(clear)
 

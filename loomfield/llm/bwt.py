@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import ragged
 from .anchors import release
-from .common import bounded, staged
+from .common import bounded, shuffled, staged
 from .recurring import keyed, parts_for, recurring, total_bytes
 
 LENGTH = 200
@@ -224,7 +224,7 @@ def _judged(distinct: DataFrame, length: int, longer: list[int]) -> DataFrame:
 
         parts = staged(many.mapInArrow(split, "whole binary, at int, sample bigint, name binary, body binary, n bigint"), "bwt-parts")
         inner = staged(parts.groupBy("sample", "name").agg(F.first("body").alias("body"), F.sum("n").alias("n")), "bwt-segments")
-        got = parts.select("whole", "at", "name").join(_judged(inner, length, longer[1:]), "name").groupBy("whole").agg(F.collect_list(F.struct("at", "flags")).alias("found"))
+        got = parts.select("whole", "at", "name").join(shuffled(_judged(inner, length, longer[1:])), "name").groupBy("whole").agg(F.collect_list(F.struct("at", "flags")).alias("found"))
 
         def pack(batches):
             for b in batches:
@@ -280,7 +280,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, sample: int = SAMPLE)
             text = pa.array([t if h else None for t, h in zip(texts, hit, strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), text, b.column("key"), b.column("hits"), pa.array([len(t) for t in raw], pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "text", "key", "hits", "n_bytes", "sha"])
 
-    met = staged(docs.join(hits, "key", "left").select("doc_id", "text", "key", "hits").mapInArrow(first_pass, f"doc_id {kind}, text string, key binary, hits binary, n_bytes bigint, sha string"), "bwt")
+    met = staged(docs.join(shuffled(hits), "key", "left").select("doc_id", "text", "key", "hits").mapInArrow(first_pass, f"doc_id {kind}, text string, key binary, hits binary, n_bytes bigint, sha string"), "bwt")
     release(spark)
     open_ = met.where("hits is not null")
 
@@ -322,7 +322,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, sample: int = SAMPLE)
                 yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in text.tolist()], pa.binary()), pa.array(at.astype(np.int32)), pa.array(name, pa.binary())], names=["key", "at", "name"])
 
     where = open_.select("key", "text", "hits").mapInArrow(places, "key binary, at int, name binary")
-    found = where.join(judged, "name").groupBy("key").agg(F.collect_set(F.struct("at", "flags")).alias("found"))
+    found = where.join(shuffled(judged), "name").groupBy("key").agg(F.collect_set(F.struct("at", "flags")).alias("found"))
 
     def last_pass(batches):
         for b in ragged.pieces(batches):
@@ -342,7 +342,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, sample: int = SAMPLE)
                 spans.append(",".join(f"{x}:{y}" for x, y in edge.reshape(-1, 2).tolist()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string()), pa.array(spans, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    done = open_.join(found, "key", "left").select("doc_id", "text", "found", "n_bytes").mapInArrow(last_pass, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans string")
+    done = open_.join(shuffled(found), "key", "left").select("doc_id", "text", "found", "n_bytes").mapInArrow(last_pass, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans string")
     zero = F.lit(0).cast("long")
     clear = met.where("hits is null").select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha").alias("kept_sha256"), F.lit("").alias("spans"))
     return done.union(clear)

@@ -26,6 +26,12 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """Mark ``df`` for a join by shuffle: a staged table that grows with the corpus may be small by its compressed files alone, by
+    which Spark would send it whole through the driver."""
+    return df.hint("merge")
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once per row and hand it to ``body``; inside lambdas Spark would evaluate it again and again."""
     return F.transform(F.array(value), body)[0]
