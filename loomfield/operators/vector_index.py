@@ -22,8 +22,6 @@ PER_CELL, TRAIN = 64, 16_384
 WORDS, PARTS = 256, 16
 #: Most cells by default; their centres go to every task.
 MOST_CELLS = 16_384
-#: Candidates that are broadcast to the scan that scores them exactly; more are joined by a shuffle.
-CANDIDATES = 100_000
 #: The type that is compatible with every other.
 ANY_TYPE = "paper"
 
@@ -109,8 +107,9 @@ class VectorIndex:
 
         ``questions``: (query_id, vector), a stated set; with a column ``type`` on both sides, only rows of a question's type, or
         with ANY_TYPE on either side, count. ``where`` is a condition on the stored columns, part of the scan. Codes choose
-        ``rerank`` times ``k`` candidates for each question, whose vectors are then compared; with ``rerank`` None all
-        vectors of the cells are, and with as many probes as cells the result is the exact one.
+        ``rerank`` times ``k`` candidates for each question among the rows of a cell that come to a task at once, whose vectors
+        are compared where they lie, so candidates never travel; with ``rerank`` None all vectors of the cells are, and with as
+        many probes as cells the result is the exact one.
 
         The cells of a block of questions prune the folders that are read; a task keeps its best for each question.
         """
@@ -139,31 +138,6 @@ class VectorIndex:
         rows = rows if where is None else rows.where(where)
         own = [F.col("type")] if typed else []
 
-        def scan(scored, most: int):
-            """Best ``most`` of each question in each task; ``scored(questions, cell, values)`` gives a matrix of scores."""
-
-            def run(batches):
-                found = None
-                for b in batches:
-                    if not b.num_rows:
-                        continue
-                    _, probed, _, _, types = sent.value
-                    ids, at = np.asarray(b.column(0).to_pylist()), b.column(1).to_numpy()
-                    for cell in np.unique(at):
-                        q, rows = np.flatnonzero(probed[:, cell]), np.flatnonzero(at == cell)
-                        score = scored(q, cell, b.column(2).take(pa.array(rows)))
-                        if types is not None:
-                            of_row = np.array(b.column(3).take(pa.array(rows)).to_pylist(), object)
-                            score = np.where((types[q][:, None] == of_row[None, :]) | (types[q] == ANY_TYPE)[:, None] | (of_row == ANY_TYPE)[None, :], score, -np.inf)
-                        least = np.partition(score, -most, axis=1)[:, -most] if score.shape[1] > most else np.full(len(score), -np.inf)
-                        i, j = np.nonzero((score >= least[:, None]) & (score > -np.inf))
-                        new = q[i], ids[rows[j]], score[i, j]
-                        found = _best(*(new if found is None else (np.concatenate(x) for x in zip(found, new, strict=True))), most)
-                if found is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array(found[0].astype(np.int32)), pa.array(found[1].tolist(), b.column(0).type), pa.array(found[2])], names=["q", "id", "score"])
-
-            return run
-
         def by_code(q, cell, codes):
             vectors, _, centers, words, _ = sent.value
             code = np.frombuffer(b"".join(codes.to_pylist()), np.uint8).reshape(len(codes), -1)
@@ -172,28 +146,37 @@ class VectorIndex:
                 score += (part @ words[j].T)[:, code[:, j]]
             return score
 
-        def exactly(q, cell, values):
-            return np.round(sent.value[0][q] @ _matrix(values).T, DECIMALS)
-
-        schema, value = f"q int, id {kind}, score double", F.col("vector").cast("array<double>")
-        if rerank is None:
-            near = rows.select("id", "cell", value, *own).mapInArrow(scan(exactly, k), schema)
-        else:
-            most = rerank * k
-            near = rows.select("id", "cell", "code", *own).mapInArrow(scan(by_code, most), schema)
-            place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
-            chosen = staged(near.withColumn("place", place).where(F.col("place") <= most).select("q", "id"), "candidates")
-            few = chosen.limit(CANDIDATES + 1).count() <= CANDIDATES
-            taken = rows.select("id", value.alias("vector")).join(F.broadcast(chosen) if few else chosen, "id").select("q", "id", "vector")
-
-            def score(batches):
-                for b in batches:
-                    if b.num_rows:
-                        q = b.column(0).to_numpy()
-                        x = np.round((sent.value[0][q] * _matrix(b.column(2))).sum(1), DECIMALS)
-                        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x)], names=["q", "id", "score"])
-
-            near = taken.mapInArrow(score, schema)
+        def run(batches):
+            """Best ``k`` of each question in each task: of a batch's rows of one cell the codes choose, and the vectors decide."""
+            found = None
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                vectors, probed, _, _, types = sent.value
+                ids, at = np.asarray(b.column(0).to_pylist()), b.column(1).to_numpy()
+                for cell in np.unique(at):
+                    q, rows = np.flatnonzero(probed[:, cell]), np.flatnonzero(at == cell)
+                    fits = np.ones((len(q), len(rows)), bool)
+                    if types is not None:
+                        of_row = np.array(b.column("type").take(pa.array(rows)).to_pylist(), object)
+                        fits = (types[q][:, None] == of_row[None, :]) | (types[q] == ANY_TYPE)[:, None] | (of_row == ANY_TYPE)[None, :]
+                    if rerank is not None and len(rows) > rerank * k:
+                        near = np.where(fits, by_code(q, cell, b.column("code").take(pa.array(rows))), -np.inf)
+                        fits &= near >= np.partition(near, -rerank * k, axis=1)[:, -rerank * k][:, None]
+                        some = np.flatnonzero(fits.any(0))
+                        rows, fits = rows[some], fits[:, some]
+                    if not fits.any():
+                        continue
+                    score = np.where(fits, np.round(vectors[q] @ _matrix(b.column(2).take(pa.array(rows))).T, DECIMALS), -np.inf)
+                    least = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(score), -np.inf)
+                    i, j = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+                    new = q[i], ids[rows[j]], score[i, j]
+                    found = _best(*(new if found is None else (np.concatenate(x) for x in zip(found, new, strict=True))), k)
+            if found is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(found[0].astype(np.int32)), pa.array(found[1].tolist(), b.column(0).type), pa.array(found[2])], names=["q", "id", "score"])
+
+        codes = [] if rerank is None else ["code"]
+        near = rows.select("id", "cell", F.col("vector").cast("array<double>").alias("vector"), *codes, *own).mapInArrow(run, f"q int, id {kind}, score double")
         named = F.array(*[F.lit(n) for n in names])
         return near.select(named[F.col("q")].alias("query_id"), "id", "score")
 
