@@ -149,16 +149,14 @@ def openapi(sources: DataFrame) -> DataFrame:
 
     def read(batches):
         for b in batches:
-            docs = [openapi_document(x) for x in b.column(1).to_pylist()]
-            units = [
-                [{"section": s, "entities": [dict(zip(("mention", "type"), e)) for e in es], "relations": [dict(zip(("subject", "predicate", "object", "evidence"), r)) | {"confidence": 1.0} for r in rs]} for s, es, rs in d.get("units", [])]
-                for d in docs
-            ]
-            title = [d.get("title") for d in docs]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(title, pa.string()), pa.array([t and f"openapi:{t}" for t in title], pa.string()), pa.array([d.get("summary") for d in docs], pa.string()), pa.array(units, pa.list_(UNIT)), pa.array([d.get("error") for d in docs], pa.string())],
-                names=["source_id", "title", "external_id", "summary", "units", "error"],
-            )
+            for i in range(b.num_rows):  # one description at a time
+                d = openapi_document(b.column(1)[i].as_py())
+                units = [{"section": s, "entities": [dict(zip(("mention", "type"), e)) for e in es], "relations": [dict(zip(("subject", "predicate", "object", "evidence"), r)) | {"confidence": 1.0} for r in rs]} for s, es, rs in d.get("units", [])]
+                title = d.get("title")
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(i, 1), pa.array([title], pa.string()), pa.array([title and f"openapi:{title}"], pa.string()), pa.array([d.get("summary")], pa.string()), pa.array([units], pa.list_(UNIT)), pa.array([d.get("error")], pa.string())],
+                    names=["source_id", "title", "external_id", "summary", "units", "error"],
+                )
 
     return sources.select("source_id", "body").mapInArrow(read, f"source_id {kind}, title string, external_id string, summary string, units {UNITS}, error string")
 
