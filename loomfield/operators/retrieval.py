@@ -22,6 +22,8 @@ FUSE = 60
 K1, B = 1.2, 0.75
 #: Questions compared with all rows in one pass.
 BLOCK = 1024
+#: Texts whose terms a task holds at once.
+TEXTS = 128
 #: Decimals of a cosine that count: equal vectors tie however their products were rounded.
 DECIMALS = 12
 
@@ -102,16 +104,17 @@ def lexical_index(docs: DataFrame, id_column: str, text_column: str, stemmed: bo
     kind, split = docs.schema[id_column].dataType.simpleString(), words.terms if stemmed else words.words
 
     def run(batches):
-        for b in batches:
-            ids, terms, tf, length = [], [], [], []
-            for own, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                listed = split(text)
-                counts = Counter(listed)
-                if only is not None and listed:
-                    counts[""] = len(listed)
-                for t in counts if only is None else counts.keys() & (only | {""}):
-                    ids.append(own), terms.append(t), tf.append(counts[t]), length.append(len(listed))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(0).type), pa.array(terms, pa.string()), pa.array(tf, pa.int64()), pa.array(length, pa.int64())], names=["id", "term", "tf", "length"])
+        for whole in batches:
+            for b in (whole.slice(lo, TEXTS) for lo in range(0, whole.num_rows, TEXTS)):
+                ids, terms, tf, length = [], [], [], []
+                for own, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    listed = split(text)
+                    counts = Counter(listed)
+                    if only is not None and listed:
+                        counts[""] = len(listed)
+                    for t in counts if only is None else counts.keys() & (only | {""}):
+                        ids.append(own), terms.append(t), tf.append(counts[t]), length.append(len(listed))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(0).type), pa.array(terms, pa.string()), pa.array(tf, pa.int64()), pa.array(length, pa.int64())], names=["id", "term", "tf", "length"])
 
     return docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, f"id {kind}, term string, tf bigint, length bigint")
 
