@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ BLANK = " \t\n\x0b\x0c\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u
 SIGN_SEED = 0x9DC5811C
 WIDTH = 768
 # End of fixed values.
+#: Texts whose features are summed at once.
+ROWS = 1024
 
 
 def _pieces(text: str, size: int) -> Iterator[tuple[str, str, bool]]:
@@ -82,14 +86,27 @@ def hashed_embedding(docs: DataFrame, key: str, text: str, width: int = WIDTH) -
     """(key, place, value): the places of a unit vector that are not zero.
 
     Each feature adds its sign at its place; the sums are damped by a square root, then scaled to length one. A text
-    without features, or whose signs cancel, points to place 0. One shuffle with sums before it; ``key`` must be unique.
+    without features, or whose signs cancel, points to place 0. A text is one row, so nothing is shuffled or grouped:
+    features and hashes come from Catalyst, numpy sums a batch's. ``key`` must be unique.
     """
-    spread = docs.select(key, F.explode_outer(features(F.col(text))).alias("f"))
-    place = F.coalesce(texts.fnv1a(F.col("f")) % width, F.lit(0))
-    sign = F.when(F.col("f").isNull(), 0).when(texts.fnv1a(F.col("f"), SIGN_SEED) % 2 == 0, 1).otherwise(-1)
-    summed = spread.select(key, place.cast("int").alias("place"), sign.cast("long").alias("s")).groupBy(key, "place").agg(F.sum("s").alias("s"))
-    held = summed.groupBy(key).agg(F.collect_list(F.when(F.col("s") != 0, F.struct("place", "s"))).alias("cells"))
-    size = F.sqrt(F.aggregate("cells", F.lit(0).cast("double"), lambda a, c: a + F.abs(c["s"])))
-    some = F.transform("cells", lambda c: F.struct(c["place"].alias("place"), (F.signum(c["s"].cast("double")) * F.sqrt(F.abs(c["s"])) / F.col("size")).alias("value")))
-    none = F.array(F.struct(F.lit(0).alias("place"), F.lit(1.0).alias("value")))
-    return held.withColumn("size", size).select(key, F.inline(F.when(F.size("cells") == 0, none).otherwise(some)))
+    kind = docs.schema[key].dataType.simpleString()
+    said = docs.select(key, features(F.col(text)).alias("f"))
+    place = F.transform("f", lambda f: (texts.fnv1a(f) % width).cast("int"))
+    even = F.transform("f", lambda f: texts.fnv1a(f, SIGN_SEED) % 2 == 0)
+
+    def run(batches):
+        for whole in batches:
+            for b in (whole.slice(lo, ROWS) for lo in range(0, whole.num_rows, ROWS)):
+                at = np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False))
+                sign = np.where(b.column(2).flatten().to_numpy(zero_copy_only=False), 1.0, -1.0)
+                cell, own = np.unique(at * width + b.column(1).flatten().to_numpy(), return_inverse=True)
+                sums = np.bincount(own, sign, len(cell))
+                cell, sums = cell[sums != 0], sums[sums != 0]
+                row = cell // width
+                size = np.sqrt(np.bincount(row, np.abs(sums), b.num_rows))
+                none = np.flatnonzero(size == 0)
+                row, cell = np.concatenate([row, none]), np.concatenate([cell % width, np.zeros(len(none), np.int64)])
+                value = np.concatenate([np.sign(sums) * np.sqrt(np.abs(sums)) / size[row[: len(sums)]], np.ones(len(none))])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(cell, pa.int32()), pa.array(value)], names=[key, "place", "value"])
+
+    return said.select(key, place.alias("at"), even.alias("even")).mapInArrow(run, f"`{key}` {kind}, place int, value double")
