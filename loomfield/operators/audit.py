@@ -121,8 +121,10 @@ def merged(tables: dict[str, DataFrame], mapping: DataFrame) -> dict[str, DataFr
     moved = edges.join(ends("source_id"), "source_id", "left").join(ends("target_id"), "target_id", "left")
     moved = moved.withColumn("source_id", F.coalesce("new_source_id", "source_id")).withColumn("target_id", F.coalesce("new_target_id", "target_id")).where("source_id <> target_id").select(*edges.columns)
     age = F.struct(*[F.col(c) for c in ("created_at", "id") if c in edges.columns])
-    best = staged(moved.groupBy("source_id", "target_id", "type").agg(F.min_by(F.struct(*edges.columns), age).alias("row")), "merged-edges")
-    out["edges"] = best.select("row.*")
+    claim = ["source_id", "target_id", "type"]
+    rest = F.struct(*[F.col(c) for c in edges.columns if c not in claim])  # the claim itself is the key of its group
+    best = staged(moved.groupBy(*claim).agg(F.min_by(rest, age).alias("row")), "merged-edges")
+    out["edges"] = best.select(*claim, "row.*").select(*edges.columns)
     if "sources" in tables:
         stays = best.select("source_id", "target_id", "type", F.col("row.id").alias("stays"))
         onto = moved.select("source_id", "target_id", "type", F.col("id").alias("edge_id")).join(stays, ["source_id", "target_id", "type"]).select("edge_id", "stays")
