@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomfield.functions.text import ROLE_ORDER, role
+from loomfield.operators import blocks
 from loomfield.sources.tables import staged
 
 #: A side of a join with up to so many counted rows of an id and a number is broadcast; beyond it both sides shuffle.
@@ -69,36 +71,60 @@ def personalized_pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame |
 
     Edges count in both directions, parallel ones add up, loops drop out, weights of 0 or less count 0.01. ``seeds`` has
     (id, weight); without usable seeds every node is one. Mass of nodes without edges returns to the seeds. Such nodes
-    only ever hold what the seeds give them, so their total follows a recurrence on one number, and a round is one
-    join and one aggregation.
+    only ever hold what the seeds give them, so their total follows a recurrence on one number.
     """
     ids = staged(nodes.select("id").distinct().withColumn("n", F.monotonically_increasing_id()), "ppr-ids")  # rounds join numbers, not names
     weight = F.coalesce(F.col("confidence").cast("double"), F.lit(0.5))
-    walk = ends(edges.where("source_id <> target_id").withColumn("w", F.when(weight > 0, weight).otherwise(0.01)), "w")
-    walk = walk.join(ids.toDF("node", "a"), "node").join(ids.toDF("peer", "b"), "peer").select("a", "b", "w")
-    pairs = staged(walk.groupBy("a", "b").agg(F.sum("w").alias("w")), "ppr-pairs")
-    sums = pairs.groupBy("a").agg(F.sum("w").alias("total"))
-    steps = staged(pairs.join(sums, "a").select("a", "b", (F.col("w") / F.col("total")).alias("share")), "ppr-steps")
+    links = blocks.numbered(ids, edges, F.when(weight > 0, weight).otherwise(0.01))
     start = ids.select("n", F.lit(1.0).alias("w"))
     if seeds is not None:
         usable = seeds.where("weight > 0").groupBy("id").agg(F.sum("weight").alias("w")).join(ids, "id").select("n", "w")
         start = usable if not usable.isEmpty() else start
     total = start.agg(F.sum("w")).first()[0]
     start = staged(start.select("n", (F.col("w") / F.lit(total or 1.0)).alias("s")), "ppr-seeds")
-    idle = start.join(steps.select(F.col("a").alias("n")), "n", "left_anti").agg(F.sum("s")).first()[0] or 0.0
-    small = ids.count() <= SMALL
-    steps = (steps if small else steps.repartition("a")).persist(StorageLevel.MEMORY_AND_DISK)  # its lineage is a written table
-    mass, held = start.select("n", F.col("s").alias("mass")), idle
-    for turn in range(1, rounds + 1):
-        given = restart + (1 - restart) * held
-        moved = steps.join(F.broadcast(mass) if small else mass, mass["n"] == steps["a"])
-        moved = moved.select(F.col("b").alias("n"), (F.col("mass") * F.col("share") * (1 - restart)).alias("mass"))
-        mass = moved.unionByName(start.select("n", (F.col("s") * given).alias("mass"))).groupBy("n").agg(F.sum("mass").alias("mass"))
-        held = idle * given
-        if turn % STAGE_EVERY == 0 or turn == rounds:
+    alone = start.join(links.select(F.explode(F.array("a", "b")).alias("n")), "n", "left_anti")
+    idle = alone.agg(F.sum("s")).first()[0] or 0.0
+    given, held = [], idle
+    for _ in range(rounds):
+        given.append(restart + (1 - restart) * held)
+        held = idle * given[-1]
+    walk = _mass_by_rows if blocks.crowded(links, blocks.LINKS) else _mass_by_blocks
+    mass = walk(links, start, restart, given).unionByName(alone.select("n", (F.col("s") * (given[-1] if given else 1.0)).alias("mass")))
+    return ids.join(mass, "n", "left").select("id", F.coalesce("mass", F.lit(0.0)).alias("mass"))
+
+
+def _mass_by_blocks(links: DataFrame, start: DataFrame, restart: float, given: list[float]) -> DataFrame:
+    """(n, mass) of nodes with links: a node sends its mass for one unit of its links' weight."""
+
+    def first(block):
+        return block[4] / np.add.reduceat(block[3], block[1]) if block[4] is not None else np.zeros(len(block[0]))
+
+    def step(block, received, old, turn):
+        _, starts, places, weights, s = block
+        mass = (1 - restart) * np.add.reduceat(weights * received[places], starts) + (0.0 if s is None else s * given[turn - 1])
+        return mass / np.add.reduceat(weights, starts)
+
+    def finish(block, received, old):
+        return old * np.add.reduceat(block[3], block[1])
+
+    return blocks.Blocks(links, start).run(first, step, finish, "float64", len(given)).toDF("n", "mass")
+
+
+def _mass_by_rows(links: DataFrame, start: DataFrame, restart: float, given: list[float]) -> DataFrame:
+    """The same where a node has more links than a block: its links are rows like any others."""
+    pairs = staged(blocks.both_ways(links).groupBy("a", "b").agg(F.sum("w").alias("w")), "ppr-pairs")
+    sums = pairs.groupBy("a").agg(F.sum("w").alias("total"))
+    steps = staged(pairs.join(sums, "a").select("a", "b", (F.col("w") / F.col("total")).alias("share")), "ppr-steps")
+    start = start.join(sums.select(F.col("a").alias("n")), "n", "left_semi")
+    steps = steps.repartition("a").persist(StorageLevel.MEMORY_AND_DISK)  # its lineage is a written table
+    mass = start.select("n", F.col("s").alias("mass"))
+    for turn, part in enumerate(given, 1):
+        moved = steps.join(mass, mass["n"] == steps["a"]).select(F.col("b").alias("n"), (F.col("mass") * F.col("share") * (1 - restart)).alias("mass"))
+        mass = moved.unionByName(start.select("n", (F.col("s") * part).alias("mass"))).groupBy("n").agg(F.sum("mass").alias("mass"))
+        if turn % STAGE_EVERY == 0 or turn == len(given):
             mass = staged(mass, "ppr-mass")
     steps.unpersist()
-    return ids.join(mass, "n", "left").select("id", F.coalesce("mass", F.lit(0.0)).alias("mass"))
+    return mass
 
 
 def forward_push(edges: DataFrame, seeds: DataFrame, restart: float = 0.15, bound: float = 1e-4, rounds: int = 200) -> DataFrame:
