@@ -11,8 +11,6 @@ from loomfield.functions.text import ROLE_ORDER, role
 from loomfield.operators import blocks
 from loomfield.sources.tables import staged
 
-#: A side of a join with up to so many counted rows of an id and a number is broadcast; beyond it both sides shuffle.
-SMALL = 500_000
 #: Rounds of a walk between two written tables.
 STAGE_EVERY = 5
 
@@ -164,24 +162,34 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> D
     """(id, label): all nodes take the most frequent label among their neighbours at once; ties go to the smallest label.
 
     Rounds are synchronous so that reruns agree, and end early when no label changes. A node's own label has no vote;
-    isolated nodes keep theirs. A node's votes are summed before its labels meet, so a hub is no task of its own.
+    isolated nodes keep theirs.
     """
     # numbers in the order of the ids: the smallest number is the smallest label
     ids = staged(nodes.select("id").distinct().orderBy("id").withColumn("n", F.monotonically_increasing_id()), "lpa-ids")
-    walk = ends(edges.where("source_id <> target_id")).groupBy("node", "peer").agg(F.count("*").alias("n"))
-    walk = walk.join(ids.toDF("node", "a"), "node").join(ids.toDF("peer", "b"), "peer").select("a", "b", F.col("n").alias("w"))
-    labels = staged(ids.select("n", F.col("n").alias("label")), "lpa-labels")
-    small = labels.count() <= SMALL
-    walk = staged(walk, "lpa-walk").persist(StorageLevel.MEMORY_AND_DISK)  # its lineage is a written table
+    links = blocks.numbered(ids, edges, F.lit(1.0))
+    vote = _labels_by_rows if blocks.crowded(links, blocks.LINKS) else _labels_by_blocks
+    won = ids.join(vote(links, rounds), "n", "left").select("id", F.coalesce("label", "n").alias("label"))  # isolated ones keep theirs
+    return won.join(ids.toDF("name_of", "label"), "label").select("id", F.col("name_of").alias("label"))
+
+
+def _labels_by_blocks(links: DataFrame, rounds: int) -> DataFrame:
+    """(n, label) of nodes with links."""
+    return blocks.Blocks(links).run(lambda block: block[0], blocks.most_voted, lambda block, received, old: old, "int64", rounds, until_still=True).toDF("n", "label")
+
+
+def _labels_by_rows(links: DataFrame, rounds: int) -> DataFrame:
+    """The same where a node has more links than a block: its votes are summed before its labels meet, so a hub is no task of its own."""
+    walk = staged(blocks.both_ways(links).groupBy("a", "b").agg(F.sum("w").alias("w")), "lpa-walk").repartition("b").persist(StorageLevel.MEMORY_AND_DISK)  # its lineage is a written table
+    labels = staged(walk.select(F.col("a").alias("n")).distinct().withColumn("label", F.col("n")), "lpa-labels")
     for _ in range(rounds):
-        votes = walk.join(F.broadcast(labels) if small else labels, walk["b"] == labels["n"]).groupBy("a", "label").agg(F.sum("w").alias("votes"))
+        votes = walk.join(labels, walk["b"] == labels["n"]).groupBy("a", "label").agg(F.sum("w").alias("votes"))
         won = votes.groupBy(F.col("a").alias("n")).agg(F.min(F.struct((-F.col("votes")).alias("v"), "label"))["label"].alias("won"))
-        new = staged(labels.join(won, "n", "left").select("n", F.coalesce("won", "label").alias("label"), (F.col("won") != F.col("label")).alias("moved")), "lpa-labels")
+        new = staged(labels.join(won, "n").select("n", F.col("won").alias("label"), (F.col("won") != F.col("label")).alias("moved")), "lpa-labels")
         labels = new.select("n", "label")
         if new.where("moved").isEmpty():
             break
     walk.unpersist()
-    return labels.join(ids, "n").join(ids.toDF("name_of", "label"), "label").select("id", F.col("name_of").alias("label"))
+    return labels
 
 
 def communities(nodes: DataFrame, labels: DataFrame, least: int = 3) -> DataFrame:

@@ -34,6 +34,11 @@ def test_pagerank_in_blocks(spark, odd, monkeypatch):
     assert found == pytest.approx(rows, abs=1e-12)
 
 
+def test_labels_in_blocks(odd, monkeypatch):
+    found, rows = _both(monkeypatch, lambda: {r["id"]: r["label"] for r in graph.label_propagation(*odd, rounds=4).collect()})
+    assert found == rows and found["n59"] == "n59" and len(set(found.values())) < 50
+
+
 def test_a_crowded_node_is_no_task(odd):
     nodes, edges = odd
     links = blocks.numbered(nodes.withColumn("n", F.substring("id", 2, 9).cast("long")), edges, F.lit(1.0))
