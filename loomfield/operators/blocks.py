@@ -44,9 +44,14 @@ def both_ways(links: DataFrame) -> DataFrame:
     return links.select(F.explode(F.array(way("a", "b"), way("b", "a"))).alias("way"), "w").select("way.a", "way.b", "w")
 
 
-def crowded(links: DataFrame, most: int) -> bool:
+def degrees(links: DataFrame) -> DataFrame:
+    """(n, links) of the nodes that have any, written."""
+    return staged(both_ways(links).groupBy(F.col("a").alias("n")).agg(F.count(F.lit(1)).alias("links")), "degrees")
+
+
+def crowded(degrees: DataFrame, most: int) -> bool:
     """Whether a node has more links than a block should hold."""
-    return not both_ways(links).groupBy("a").count().where(F.col("count") > most).isEmpty()
+    return not degrees.where(F.col("links") > most).isEmpty()
 
 
 def _array(cell, kind: type) -> np.ndarray:

@@ -58,10 +58,13 @@ def subgraph(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int) ->
 
 
 def within_domain(nodes: DataFrame, edges: DataFrame, chosen: Column) -> DataFrame:
-    """Edges whose two ends both satisfy ``chosen``: traversal never leaves the domain."""
-    ids = nodes.where(chosen).select("id")
-    kept = edges.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi")
-    return kept.join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
+    """Edges whose two ends both satisfy ``chosen``: traversal never leaves the domain.
+
+    The ids shuffle: by the size of their compressed files they would be broadcast, and every task would hold all of them.
+    """
+    for end in ("source_id", "target_id"):
+        edges = edges.join(nodes.where(chosen).select(F.col("id").alias(end)).hint("shuffle_hash"), end, "left_semi")
+    return edges
 
 
 def personalized_pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None, restart: float = 0.15, rounds: int = 30) -> DataFrame:
@@ -80,15 +83,16 @@ def personalized_pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame |
         start = usable if not usable.isEmpty() else start
     total = start.agg(F.sum("w")).first()[0]
     start = staged(start.select("n", (F.col("w") / F.lit(total or 1.0)).alias("s")), "ppr-seeds")
-    alone = start.join(links.select(F.explode(F.array("a", "b")).alias("n")), "n", "left_anti")
+    held = blocks.degrees(links)
+    alone = start.join(held, "n", "left_anti")
     idle = alone.agg(F.sum("s")).first()[0] or 0.0
-    given, held = [], idle
+    given, rest = [], idle
     for _ in range(rounds):
-        given.append(restart + (1 - restart) * held)
-        held = idle * given[-1]
-    walk = _mass_by_rows if blocks.crowded(links, blocks.LINKS) else _mass_by_blocks
+        given.append(restart + (1 - restart) * rest)
+        rest = idle * given[-1]
+    walk = _mass_by_rows if blocks.crowded(held, blocks.LINKS) else _mass_by_blocks
     mass = walk(links, start, restart, given).unionByName(alone.select("n", (F.col("s") * (given[-1] if given else 1.0)).alias("mass")))
-    return ids.join(mass, "n", "left").select("id", F.coalesce("mass", F.lit(0.0)).alias("mass"))
+    return ids.join(mass.hint("shuffle_hash"), "n", "left").select("id", F.coalesce("mass", F.lit(0.0)).alias("mass"))
 
 
 def _mass_by_blocks(links: DataFrame, start: DataFrame, restart: float, given: list[float]) -> DataFrame:
@@ -167,9 +171,9 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> D
     # numbers in the order of the ids: the smallest number is the smallest label
     ids = staged(nodes.select("id").distinct().orderBy("id").withColumn("n", F.monotonically_increasing_id()), "lpa-ids")
     links = blocks.numbered(ids, edges, F.lit(1.0))
-    vote = _labels_by_rows if blocks.crowded(links, blocks.LINKS) else _labels_by_blocks
-    won = ids.join(vote(links, rounds), "n", "left").select("id", F.coalesce("label", "n").alias("label"))  # isolated ones keep theirs
-    return won.join(ids.toDF("name_of", "label"), "label").select("id", F.col("name_of").alias("label"))
+    vote = _labels_by_rows if blocks.crowded(blocks.degrees(links), blocks.LINKS) else _labels_by_blocks
+    won = ids.join(vote(links, rounds).hint("shuffle_hash"), "n", "left").select("id", F.coalesce("label", "n").alias("label"))  # isolated ones keep theirs
+    return won.join(ids.toDF("name_of", "label").hint("shuffle_hash"), "label").select("id", F.col("name_of").alias("label"))
 
 
 def _labels_by_blocks(links: DataFrame, rounds: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomfield.sources.tables import table
+from loomfield.sources.tables import dealt, parts, table
 
 #: (table, key, name, type)
 KINDS = [
@@ -44,7 +44,8 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
         part = table(spark, sf, name).select(_id(kind, key).alias("source_id"), _id(up, ref).alias("target_id"), F.lit("belongs_to").alias("type"), F.lit(1.0).alias("confidence"))
         found = part if found is None else found.unionByName(part)
     cents = F.expr("(100 * count(*) - sum(cast(round(l_discount * 100) as bigint))) div count(*)")
-    sold = table(spark, sf, "lineitem").groupBy("l_suppkey", "l_partkey").agg((cents / 100.0).alias("confidence"))
+    lines = table(spark, sf, "lineitem")
+    sold = dealt(lines.select("l_suppkey", "l_partkey", "l_discount"), parts(lines), "l_suppkey", "l_partkey").groupBy("l_suppkey", "l_partkey").agg((cents / 100.0).alias("confidence"))
     sold = sold.select(_id("supplier", "l_suppkey").alias("source_id"), _id("part", "l_partkey").alias("target_id"), F.lit("supplies").alias("type"), "confidence")
     return found.unionByName(sold).withColumn("id", F.concat_ws("|", "source_id", "type", "target_id"))
 

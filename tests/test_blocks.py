@@ -21,9 +21,9 @@ def odd(spark):
 def _both(monkeypatch, ask):
     """Answers by blocks of 32 links, whatever the hub, and by rows."""
     monkeypatch.setattr(blocks, "LINKS", 32)
-    monkeypatch.setattr(blocks, "crowded", lambda links, most: False)
+    monkeypatch.setattr(blocks, "crowded", lambda degrees, most: False)
     in_blocks = ask()
-    monkeypatch.setattr(blocks, "crowded", lambda links, most: True)
+    monkeypatch.setattr(blocks, "crowded", lambda degrees, most: True)
     return in_blocks, ask()
 
 
@@ -42,4 +42,14 @@ def test_labels_in_blocks(odd, monkeypatch):
 def test_a_crowded_node_is_no_task(odd):
     nodes, edges = odd
     links = blocks.numbered(nodes.withColumn("n", F.substring("id", 2, 9).cast("long")), edges, F.lit(1.0))
-    assert blocks.crowded(links, 40) and not blocks.crowded(links, 400)
+    held = blocks.degrees(links)
+    assert blocks.crowded(held, 40) and not blocks.crowded(held, 400)
+
+
+def test_ids_of_a_domain_are_not_broadcast(odd):
+    nodes, edges = odd
+    kept = graph.within_domain(nodes, edges, F.col("id") != "n3")
+    assert kept.count() == edges.where("source_id <> 'n3' and target_id not in ('n3', 'nobody')").count()
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=shuffle_hash") == 2
+    assert "BroadcastHashJoin" not in kept._jdf.queryExecution().executedPlan().toString()
