@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomfield.sources.tables import dealt
+
 
 def insert_new(state: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
     """``state`` and the rows whose key it lacks (one for each key)."""
@@ -55,12 +57,15 @@ def rewritten(ids: Column, mapping: Column) -> Column:
     return F.array_distinct(F.transform(ids, lambda x: F.coalesce(F.try_element_at(mapping, x), x)))
 
 
-def backfilled(edges: DataFrame, propositions: DataFrame) -> tuple[DataFrame, DataFrame]:
+def backfilled(edges: DataFrame, propositions: DataFrame, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """``edges`` (id, source_id, target_id, type, domain, confidence) with the mentions that propositions name and that lack, and a source
-    (edge_id, paper_id, section) for each of the new ones. ``propositions``: (paper_id, paper_node, section, domain, node_ids)."""
+    (edge_id, paper_id, section) for each of the new ones. ``propositions``: (paper_id, paper_node, section, domain, node_ids).
+    ``parts``: tasks among which named nodes meet mentions; None leaves it to Spark."""
+    pair = ["paper_node", "target_id"]
     named = propositions.select("paper_id", "paper_node", "section", "domain", F.explode("node_ids").alias("target_id")).where("paper_node <> target_id")
-    pairs = named.groupBy("paper_node", "target_id").agg(F.min(F.struct("paper_id", "section", "domain")).alias("r"))
-    new = pairs.join(edges.where("type = 'mentions'").select(F.col("source_id").alias("paper_node"), "target_id"), ["paper_node", "target_id"], "left_anti")
+    pairs = dealt(named, parts, *pair).groupBy(*pair).agg(F.min(F.struct("paper_id", "section", "domain")).alias("r"))
+    held = edges.where("type = 'mentions'").select(F.col("source_id").alias("paper_node"), "target_id")
+    new = pairs.join(dealt(held, parts, *pair), pair, "left_anti")
     own = F.sha1(F.concat_ws("\u0000", "paper_node", F.lit("mentions"), "target_id").cast("binary"))
     written = new.select(own.alias("id"), F.col("paper_node").alias("source_id"), "target_id", F.lit("mentions").alias("type"), "r.domain", F.lit(1.0).alias("confidence"))
     return edges.select(*written.columns).unionByName(written), new.select(own.alias("edge_id"), "r.paper_id", "r.section")
