@@ -201,7 +201,7 @@ def communities(nodes: DataFrame, labels: DataFrame, least: int = 3) -> DataFram
 
     The three names come out of a ranked window, so no group's names are gathered whole.
     """
-    named = nodes.select("id", "name").join(labels, "id")
+    named = staged(nodes.select("id", "name").join(labels.hint("shuffle_hash"), "id"), "named")  # read twice
     rank = F.row_number().over(Window.partitionBy("label").orderBy("name", "id"))
     firsts = named.withColumn("rank", rank).where("rank <= 3").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("rank", "name"))).alias("first"))
     sizes = named.groupBy("label").agg(F.count("*").alias("size")).where(F.col("size") >= least)
