@@ -147,6 +147,24 @@ def expand(seeds: DataFrame, edges, hops: int, most: int) -> tuple[DataFrame, Da
     return seen.select("query_id", "id"), edges, reduce(DataFrame.unionByName, cut).distinct()
 
 
+def whole(seeds: DataFrame, edges: DataFrame, hops: int) -> tuple[DataFrame, DataFrame]:
+    """Neighbourhoods of (query_id, id) without a bound: (query_id, id) and (query_id, edge columns) of all that lies within ``hops``.
+
+    What ``expand`` gives where nothing is cut. Nothing is put in order, so no task holds all rows of a question.
+    """
+    walk, key = _walk(edges), ["query_id", "id"]
+    seen = staged(seeds.select(*key).distinct().withColumn("hop", F.lit(0)), "field-seen")
+    taken = []
+    for hop in range(1, hops + 1):
+        frontier = seen.where(F.col("hop") == hop - 1).select(*key)
+        met = frontier.join(walk, frontier["id"] == walk["node"]).select("query_id", "edge", "source_id", "target_id", "w")
+        met = staged(met.dropDuplicates(["query_id", "edge"]), "field-edges")
+        taken.append(met)
+        new = met.select("query_id", F.explode(F.array("source_id", "target_id")).alias("id")).distinct().join(seen, key, "left_anti")
+        seen = staged(seen.unionByName(new.select(*key, F.lit(hop).alias("hop"))), "field-seen")
+    return seen.select(*key), reduce(DataFrame.unionByName, taken).dropDuplicates(["query_id", "edge"])
+
+
 def walked(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, restart: float = 0.15, rounds: int = 30) -> DataFrame:
     """(query_id, id, mass) of a Personalized PageRank on each question's own bounded subgraph, one task for each.
 

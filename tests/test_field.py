@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loomfield.functions import words
 from loomfield.operators import evalset, field, retrieval
+from loomfield.plans import paper_queries
 
 STORE = {}
 
@@ -183,3 +184,22 @@ def test_walk_by_rounds_is_the_walk_of_one_task(spark):
     got = {(r["query_id"], r["id"]): r["mass"] for r in by_rounds.collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
     assert "Pandas" not in by_rounds._jdf.queryExecution().toString()
+
+
+def test_walks_have_all_of_a_large_neighbourhood(spark, tmp_path, monkeypatch):
+    """A nation of more customers than the million nodes that its walk once stopped at."""
+    n = 10**6 + 5
+    for name in ("region", "nation", "supplier", "part", "lineitem"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"/root/testdata/sf0.001/{name}.parquet")
+    spark.range(n).selectExpr("id AS c_custkey", "cast(0 AS bigint) AS c_nationkey", "concat('Customer#', id) AS c_name").write.parquet(f"{tmp_path}/customer.parquet")
+    monkeypatch.setattr(field, "walked_by_rounds", lambda near, *rest, **options: near.withColumn("mass", F.lit(0.0)))
+    assert paper_queries.field_walks(spark, str(tmp_path)).where("query_id = 'nation#0' and id like 'customer#%'").count() == n
+
+
+def test_whole_neighbourhoods_are_those_that_nothing_cuts(spark):
+    rng = random.Random(4)
+    links = spark.createDataFrame([(f"e{i:03d}", f"n{rng.randrange(60)}", f"n{rng.randrange(60)}", rng.random()) for i in range(90)], "id string, source_id string, target_id string, w double")
+    seeds = spark.createDataFrame([("a", "n1"), ("a", "n2"), ("b", "n1"), ("c", "away")], "query_id string, id string")
+    near, inner, _ = field.expand(seeds, links, 3, 10**6)
+    for got, want in zip(field.whole(seeds, links, 3), (near, inner)):
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
