@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomfield.sources.tables import delete, scope, scratch, staged  # noqa: F401
+from loomfield.sources.tables import WIDE_ROWS, delete, scope, scratch, staged  # noqa: F401
 
 #: Separators of words: space and 0x09-0x0D.
 SEPARATORS = " \t\n\x0b\x0c\r"
